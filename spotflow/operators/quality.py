@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from spotflow.functions.columns import as_ts, hours_ago, parse_iso
@@ -109,110 +107,141 @@ def classify_records(df: DataFrame) -> DataFrame:
 
 # -- validation -------------------------------------------------------------------
 
+# Members an event must have, and members no rule covers.
 REQUIRED = ("event", "place", "@timestamp", "object", "object.vehicle")
-NOT_NULL_TEXT = ("@timestamp",)
-# Rules do not cover these members.
 UNCHECKED = ("used", "event.source", "event.email")
+# How JSON types read as the type of a variant.
+VARIANT_TYPES = {
+    "string": ("STRING",), "null": ("VOID",), "object": ("OBJECT",), "array": ("ARRAY",),
+    "number": ("BIGINT", "DECIMAL", "DOUBLE", "FLOAT"),
+}
 
 
-def _leaves(schema: T.StructType, path: str = ""):
+def _members(schema: T.StructType, path: str = ""):
     for f in schema.fields:
         here = f"{path}{f.name}"
         if here in UNCHECKED:
             continue
         yield here, f.dataType
         if isinstance(f.dataType, T.StructType):
-            yield from _leaves(f.dataType, f"{here}.")
-
-
-def _path(name: str) -> str:
-    return "$" + "".join(f"['{p}']" for p in name.split("."))
-
-
-def event_rules() -> list[tuple[str, str, tuple]]:
-    """(kind, member, argument) rules of a valid event."""
-    rules: list[tuple[str, str, tuple]] = [("required", n, ()) for n in REQUIRED]
-    for name, kind in _leaves(EVENT_SCHEMA):
-        if isinstance(kind, T.StructType):
-            allowed = ("object",)
-        elif isinstance(kind, T.ArrayType):
-            allowed = ("array",)
-        elif isinstance(kind, T.DoubleType):
-            allowed = ("number", "null")
-        else:
-            allowed = ("string",) if name in NOT_NULL_TEXT else ("string", "null")
-        rules.append(("type", name, allowed))
-    rules.append(("items", "object.signature", ("number", "null")))
-    rules.append(("min_length", "event.type", (1,)))
-    rules.append(("enum", "event.type", EVENT_TYPES))
-    return rules
-
-
-# How the type names of a variant read in JSON terms.
-_JSON_TYPE = {
-    "string": "^STRING$",
-    "number": "^(BIGINT|DOUBLE|DECIMAL.*|FLOAT)$",
-    "null": "^VOID$",
-    "object": "^OBJECT.*$",
-    "array": "^ARRAY.*$",
-}
+            yield from _members(f.dataType, f"{here}.")
+
+
+def _loose(kind: T.DataType) -> T.DataType:
+    """The schema with leaves of any type."""
+    if not isinstance(kind, T.StructType):
+        return T.VariantType()
+    return T.StructType([T.StructField(f.name, _loose(f.dataType)) for f in kind.fields])
+
 
+def _allowed(name: str, kind: T.DataType) -> tuple[str, ...]:
+    if isinstance(kind, T.StructType):
+        return ("object",)
+    if isinstance(kind, T.ArrayType):
+        return ("array",)
+    if isinstance(kind, T.DoubleType):
+        return ("number", "null")
+    return ("string",) if name == "@timestamp" else ("string", "null")
 
-def _is_type(schema_text: Column, allowed: tuple[str, ...]) -> Column:
-    return reduce(lambda a, b: a | b, [schema_text.rlike(_JSON_TYPE[t]) for t in allowed])
 
+def _types(values: list[Column]) -> Column:
+    """Types of variants as one text; empty where a member is absent."""
+    return F.concat_ws(";", *[F.coalesce(F.schema_of_variant(v), F.lit("")) for v in values])
 
-def _violation(kind: str, name: str, arg: tuple, doc: Column) -> Column:
-    """The message where the rule is broken, else null."""
-    member = F.try_variant_get(doc, _path(name), "variant")
-    text = F.schema_of_variant(member)
-    if kind == "required":
-        parent = name.rpartition(".")[0]
-        present = F.lit(True)
-        if parent:
-            present = F.schema_of_variant(F.try_variant_get(doc, _path(parent), "variant")).rlike(
-                _JSON_TYPE["object"]
+
+def _ill_typed(types: Column, names: list[str], allowed: list[tuple]) -> Column:
+    """Messages of the members whose type is not an allowed one."""
+    rules = F.array(
+        *[
+            F.struct(
+                F.array(*[F.lit(t) for v in a for t in VARIANT_TYPES[v]]).alias("ok"),
+                F.lit(f"{n}: not of type {'/'.join(a)}").alias("text"),
             )
-        return F.when(present & text.isNull(), f"{name}: missing")
-    if kind == "type":
-        return F.when(text.isNotNull() & ~_is_type(text, arg), f"{name}: not of type {'/'.join(arg)}")
-    if kind == "items":
-        inner = F.regexp_extract(text, "^ARRAY<(.*)>$", 1)
-        return F.when(
-            text.rlike("^ARRAY<.*>$") & ~_is_type(inner, arg), f"{name}: items not {'/'.join(arg)}"
-        )
-    value = F.when(text == "STRING", F.try_variant_get(doc, _path(name), "string"))
-    if kind == "min_length":
-        return F.when(F.length(value) < arg[0], f"{name}: shorter than {arg[0]}")
-    # An enumeration does not list null, so null breaks it too.
-    return F.when(
-        text.isNotNull() & ~F.coalesce(value.isin(*arg), F.lit(False)),
-        f"{name}: not one of the known values",
+            for n, a in zip(names, allowed)
+        ]
     )
 
-
-def validate_events(df: DataFrame, value: str = "value", rules=None) -> DataFrame:
-    """Adds ``flag`` (valid?) and ``message`` (one line per broken rule)."""
-    parsed = df.withColumn("_doc", F.try_parse_json(F.col(value)))
-    doc = F.col("_doc")
-    broken = F.array_compact(
-        F.array(
-            F.when(
-                ~F.coalesce(F.schema_of_variant(doc).rlike("^OBJECT.*$"), F.lit(False)),
-                "not a JSON object",
-            ),
-            *[_violation(k, n, a, doc) for k, n, a in (rules or event_rules())],
-        )
+    def fault(t, r):
+        plain = F.substring_index(F.substring_index(t, "<", 1), "(", 1)
+        return F.when((plain != "") & ~F.array_contains(r.ok, plain), r.text)
+
+    return F.zip_with(F.split(types, ";"), rules, fault)
+
+
+def _type_pattern(allowed: list[tuple]) -> str:
+    """Pattern of the types of well-typed members."""
+    texts = {"number": r"BIGINT|DOUBLE|FLOAT|DECIMAL\([^;]*\)", "string": "STRING", "null": "VOID",
+             "array": r"ARRAY<(VOID|BIGINT|DOUBLE|FLOAT|DECIMAL\([^;]*\))?>"}
+    return "^" + ";".join("(" + "|".join([texts[t] for t in a] + [""]) + ")" for a in allowed) + "$"
+
+
+def validate_events(df: DataFrame, value: str = "value") -> DataFrame:
+    """Adds ``flag`` (valid?) and ``message`` (one line per broken rule).
+
+    The text is parsed once into leaves of any type, and one pattern over the
+    leaf types clears nearly every row. Only rows that look odd (a struct of
+    another type, a null, a required member absent) are taken apart a second time.
+    """
+    loose = _loose(EVENT_SCHEMA).add("_odd", "string")
+    members = list(_members(EVENT_SCHEMA))
+    leaves = [n for n, k in members if not isinstance(k, T.StructType)]
+    allowed = [_allowed(n, k) for n, k in members if not isinstance(k, T.StructType)]
+    structs = [n for n, k in members if isinstance(k, T.StructType)]
+
+    def at(name):
+        return F.col("_j." + ".".join(f"`{p}`" for p in name.split(".")))
+
+    def inside(name):
+        doc = F.try_parse_json(F.col(value))
+        return F.try_variant_get(doc, "$" + "".join(f"['{p}']" for p in name.split(".")), "variant")
+
+    options = {"columnNameOfCorruptRecord": "_odd"}
+    parsed = df.withColumn("_j", F.from_json(F.col(value), loose, options))
+    odd = at("_odd").isNotNull() | F.col("_j").isNull() | F.contains(F.col(value), F.lit("null"))
+    for n in REQUIRED:
+        odd = odd | at(n).isNull()
+    seen = parsed.select(
+        *df.columns,
+        _types([at(n) for n in leaves]).alias("_leaf"),
+        F.when(odd, _types([F.try_parse_json(F.col(value)), *[inside(n) for n in structs], inside("@timestamp")])).alias("_second"),
+        F.try_variant_get(at("event.type"), "$", "string").alias("_type"),
+        F.coalesce(F.schema_of_variant(at("event.type")), F.lit("")).alias("_type_is"),
+        F.coalesce(F.schema_of_variant(at("object.signature")), F.lit("")).alias("_items"),
+    )
+    second = F.split("_second", ";")
+    root = second[0]
+    of = {n: second[i] for i, n in enumerate(["$", *structs, "@timestamp"])}
+    missing = [F.when(of[n] == "", f"{n}: missing") for n in REQUIRED if n != "object.vehicle"]
+    missing.append(
+        F.when(of["object"].startswith("OBJECT") & (of["object.vehicle"] == ""), "object.vehicle: missing")
+    )
+    body = F.slice(second, 2, len(structs))
+    structured = F.when(F.col("_second").isNull(), F.array().cast("array<string>")).when(
+        ~root.startswith("OBJECT"), F.array(F.lit("not a JSON object"))
+    ).otherwise(
+        F.concat(F.array(*missing), _ill_typed(F.array_join(body, ";"), structs, [("object",)] * len(structs)))
+    )
+    known = F.coalesce(F.col("_type").isin(*EVENT_TYPES), F.lit(False))
+    values = F.array(
+        F.when((F.col("_type_is") != "") & ~known, "event.type: not one of the known values"),
+        F.when((F.col("_type_is") == "STRING") & (F.length("_type") < 1), "event.type: shorter than 1"),
+        F.when(
+            F.col("_items").startswith("ARRAY") & ~F.col("_items").rlike(_type_pattern([("array",)])),
+            "object.signature: items not number/null",
+        ),
+    )
+    found = F.array_compact(F.concat(structured, _ill_typed(F.col("_leaf"), leaves, allowed), values))
+    fine = (
+        F.col("_second").isNull() & F.col("_leaf").rlike(_type_pattern(allowed))
+        & (known | (F.col("_type_is") == ""))
     )
-    return (
-        parsed.withColumn("_broken", broken)
-        .select(
-            *df.columns,
-            (F.size("_broken") == 0).alias("flag"),
-            F.array_join("_broken", "\n").alias("message"),
-        )
+    text = F.when(fine, F.lit("")).otherwise(F.array_join(found, "\n"))
+    # As a generated column the text is computed once: filters on it are not
+    # pushed below, where they would repeat the whole expression.
+    return seen.select(*df.columns, F.explode(F.array(text)).alias("message")).select(
+        *df.columns, (F.col("message") == "").alias("flag"), "message"
     )
 
 
-def invalid_events(df: DataFrame, value: str = "value", rules=None) -> DataFrame:
-    return validate_events(df, value, rules).where(~F.col("flag"))
+def invalid_events(df: DataFrame, value: str = "value") -> DataFrame:
+    return validate_events(df, value).where(~F.col("flag"))
