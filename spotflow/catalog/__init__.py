@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-SECTIONS = ("events", "anomalies", "places", "roads", "tracking", "feeds")
+SECTIONS = ("events", "anomalies", "places", "roads", "tracking", "feeds", "streams")
 
 
 def load() -> None:

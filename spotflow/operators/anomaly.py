@@ -98,7 +98,8 @@ def unlisted(df: DataFrame, white: DataFrame, black: DataFrame) -> DataFrame:
 # -- stopped where it should not ----------------------------------------------------
 
 
-def _on_the_way(df: DataFrame) -> DataFrame:
+def on_the_way(df: DataFrame) -> DataFrame:
+    """Rows of identified vehicles that are on no spot."""
     rows = df.where(~F.col("type").isin("parked", "empty", "reset"))
     return with_vehicle_key(identified_only(rows))
 
@@ -112,7 +113,7 @@ def motion_windows(df: DataFrame, window_s: int = 30) -> DataFrame:
     first = F.struct("ts", "id", "x", "y", "site", "level", "spot", "object_id", "license")
     last = F.struct("ts", "id", "video")
     return (
-        _on_the_way(df)
+        on_the_way(df)
         .groupBy("plate", F.window("ts", f"{window_s} seconds").alias("w"))
         .agg(
             F.min_by(first, F.struct(*ORDER)).alias("first"),

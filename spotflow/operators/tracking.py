@@ -404,7 +404,7 @@ def match_frames(rows: DataFrame, max_d: float = 20.0, carry_s: float = 3.0,
     id_type = dict(rows.dtypes)["id"]
     schema = f"site string, level string, no long, prev_id {id_type}, id {id_type}, distance double"
 
-    def assign(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def assign(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         found = [(*key, *p) for p in _assign(pdf, max_d)]
         return pd.DataFrame(found, columns=["site", "level", "no", "prev_id", "id", "distance"])
 
