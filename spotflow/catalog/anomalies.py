@@ -119,7 +119,7 @@ def site_stats(d):
 
 STAYS = """n AS (SELECT *, lead(ts) OVER w AS end_ts, lead(type) OVER w AS next_type, lead(video) OVER w AS exit_video
   FROM d WHERE type IN ('parked', 'empty') WINDOW w AS (PARTITION BY site, level, spot ORDER BY ts, id)),
-v AS (SELECT *, ((epoch_us(end_ts) // 1000) - (epoch_us(ts) // 1000)) / 3600000.0 AS hours FROM n WHERE type = 'parked')"""
+v AS (SELECT *, (epoch_us(end_ts) // 1000) - (epoch_us(ts) // 1000) AS ms FROM n WHERE type = 'parked')"""
 
 
 @query("spot_intervals", f"""WITH {{D}}, {STAYS} SELECT id, site, level, spot, license, epoch_us(ts) AS start_ts,
@@ -130,14 +130,14 @@ def spot_intervals(d):
 
 
 @query("overstay", f"""WITH {{D}}, {STAYS} SELECT id, site, level, spot, license, epoch_us(ts) AS start_ts,
-  epoch_us(end_ts) AS end_ts, round(hours, 4) AS hours FROM v WHERE next_type = 'empty' AND hours > 2""")
+  epoch_us(end_ts) AS end_ts, ((ms + 180) // 360) / 10000.0 AS hours FROM v WHERE next_type = 'empty' AND ms > 7200000""")
 def overstay(d):
     return anomaly.overstay(d, 2).select(
         "id", "site", "level", "spot", "license", us("start_ts"), us("end_ts"), r4("hours"))
 
 
 @query("overstay_open", f"""WITH {{D}}, {STAYS} SELECT id, spot, next_type,
-  round(((epoch_us(coalesce(end_ts, TIMESTAMP '2024-02-01 00:00:00')) // 1000) - (epoch_us(ts) // 1000)) / 3600000.0, 4) AS hours
+  (((epoch_us(coalesce(end_ts, TIMESTAMP '2024-02-01 00:00:00')) // 1000) - (epoch_us(ts) // 1000) + 180) // 360) / 10000.0 AS hours
 FROM v WHERE (next_type = 'empty' OR next_type IS NULL)
   AND ((epoch_us(coalesce(end_ts, TIMESTAMP '2024-02-01 00:00:00')) // 1000) - (epoch_us(ts) // 1000)) / 3600000.0 > 2""")
 def overstay_open(d):
@@ -206,15 +206,15 @@ def _anomaly_sql(source, kind, stamp, start, end, text, entry, exit_, aisle="''"
 
 
 @query("build_overstay", f"WITH {{D}}, {STAYS} " + _anomaly_sql(
-    "v WHERE next_type = 'empty' AND hours > 2", "Overstay", "end_ts", "ts", "end_ts",
-    "'Overstay, ' || CAST(round(hours, 2) AS VARCHAR) || ' hrs'", "video", "exit_video"))
+    "v WHERE next_type = 'empty' AND ms > 7200000", "Overstay", "end_ts", "ts", "end_ts",
+    "'Overstay, ' || CAST(((ms + 18000) // 36000) / 100.0 AS VARCHAR) || ' hrs'", "video", "exit_video"))
 def build_overstay(d):
     return _anomaly(projections.build_overstay(anomaly.overstay(d, 2)))
 
 
 @query("build_understay", f"WITH {{D}}, {UNDER} " + _anomaly_sql(
     "u", "Understay", "start_ts", "start_ts", "end_ts",
-    "'Short Stay ' || CAST(round(((epoch_us(end_ts) // 1000) - (epoch_us(start_ts) // 1000)) / 60000.0, 2) AS VARCHAR) || ' minutes'",
+    "'Short Stay ' || CAST(((epoch_us(end_ts) // 1000 - epoch_us(start_ts) // 1000 + 300) // 600) / 100.0 AS VARCHAR) || ' minutes'",
     "entry_video", "exit_video", license="plate"))
 def build_understay(d):
     return _anomaly(projections.build_understay(anomaly.understay(d, 12 * HOUR)))
@@ -245,7 +245,7 @@ def stalled_windows(d):
 
 @query("build_stalled", f"WITH {{D}}, {STALLED} " + _anomaly_sql(
     "st", "UnexpectedStopping", "start_ts", "start_ts", "end_ts",
-    "'Unexpected Stopping ' || CAST(round(((epoch_us(end_ts) // 1000) - (epoch_us(start_ts) // 1000)) / 1000.0, 2) AS VARCHAR) || ' seconds'",
+    "'Unexpected Stopping ' || CAST(((epoch_us(end_ts) // 1000 - epoch_us(start_ts) // 1000 + 5) // 10) / 100.0 AS VARCHAR) || ' seconds'",
     "''", "''", "video", "plate"))
 def build_stalled(d):
     return _anomaly(projections.build_stalled(anomaly.stalled_windows(d, 2 * DAY, 60, 12 * HOUR)))

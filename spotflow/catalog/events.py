@@ -260,8 +260,8 @@ def great_circle_point(d):
     return d.select("id", r4(lon, "lon"), r4(lat, "lat"))
 
 
-@query("hours_between", """WITH {D} SELECT id, round(((epoch_us(TIMESTAMP '2024-02-01') // 1000) - (epoch_us(ts) // 1000)) / 3600000.0, 4) AS hours,
-  CAST(round(((epoch_us(TIMESTAMP '2024-02-01') // 1000) - (epoch_us(ts) // 1000)) / 3600000.0, 2) AS VARCHAR) AS text,
+@query("hours_between", """WITH {D} SELECT id, ((epoch_us(TIMESTAMP '2024-02-01') // 1000 - epoch_us(ts) // 1000 + 180) // 360) / 10000.0 AS hours,
+  CAST(((epoch_us(TIMESTAMP '2024-02-01') // 1000 - epoch_us(ts) // 1000 + 18000) // 36000) / 100.0 AS VARCHAR) AS text,
   year(ts) AS year, month(ts) AS month, sha1(strftime(ts, '%Y-%m-%dT%H:%M:%S.%gZ')) AS mark,
   epoch_us(ts + INTERVAL 8 HOUR) AS utc FROM d""")
 def hours_between(d):

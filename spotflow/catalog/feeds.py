@@ -30,7 +30,7 @@ def event_hits(d):
 
 STAYS = """n AS (SELECT *, lead(ts) OVER w AS end_ts, lead(type) OVER w AS next_type, lead(video) OVER w AS exit_video
   FROM d WHERE type IN ('parked', 'empty') WINDOW w AS (PARTITION BY site, level, spot ORDER BY ts, id)),
-al AS (SELECT license, end_ts AS ts, level, 'Overstay, ' || CAST(round(((epoch_us(end_ts) // 1000) - (epoch_us(ts) // 1000)) / 3600000.0, 2) AS VARCHAR) || ' hrs' AS description,
+al AS (SELECT license, end_ts AS ts, level, 'Overstay, ' || CAST(((epoch_us(end_ts) // 1000 - epoch_us(ts) // 1000 + 18000) // 36000) / 100.0 AS VARCHAR) || ' hrs' AS description,
   video AS entry_video, exit_video, end_ts FROM n WHERE type = 'parked' AND next_type = 'empty'
   AND ((epoch_us(end_ts) // 1000) - (epoch_us(ts) // 1000)) / 3600000.0 > 2)"""
 ALERT = "license, epoch_us(ts) AS ts, level, description, entry_video, exit_video, epoch_us(end_ts) AS end_ts"

@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from spotflow.functions.columns import hours_between
+from spotflow.operators.lineage import python_groups
 from spotflow.operators.occupancy import SPOT_KEY, spot_events
 from spotflow.operators.ordered import DAY, after, before
 from spotflow.operators.projections import with_vehicle_key
@@ -220,7 +221,7 @@ def stalled_episodes(df: DataFrame, window_s: int = 30, extent: float = 4.0, min
                             hit["ms"], hit["end_ms"], hit["video"]))
         return pd.DataFrame(out, columns=[c.split()[0] for c in EPISODE.split(", ")])
 
-    found = window_summaries(df, window_s).groupBy("plate").applyInPandas(follow, EPISODE)
+    found = python_groups(window_summaries(df, window_s), "plate").groupBy("plate").applyInPandas(follow, EPISODE)
     return found.select(
         "plate", "window_start", *WHO,
         F.timestamp_millis("start_ms").alias("start_ts"),

@@ -23,3 +23,13 @@ def cut(df: DataFrame) -> DataFrame:
     """Materialise a step of an iteration in the shared folder."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def python_groups(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows spread by key over all shuffle partitions, for a Python step on groups.
+
+    Adaptive execution sizes partitions by bytes; a few megabytes that cost
+    minutes of Python would end up in one task.
+    """
+    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(width, *keys)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from spotflow.functions.columns import camera_point, cell, euclid
 from spotflow.operators.assign import complete_linkage, min_cost_matching
 from spotflow.operators.graphs import chain_heads, connected_components
-from spotflow.operators.lineage import cut
+from spotflow.operators.lineage import cut, python_groups
 from spotflow.operators.occupancy import SPOT_KEY, latest_per_key, spot_events
 from spotflow.operators.ordered import DAY, before, numbered
 from spotflow.operators.regions import spread
@@ -177,13 +177,18 @@ def cluster_frame(df: DataFrame, max_d: float, conflicts: DataFrame | None = Non
     id_type = dict(df.dtypes)["id"]
 
     def link(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids = np.unique(np.concatenate([pdf["id1"].to_numpy(), pdf["id2"].to_numpy()]))
-        at = {v: i for i, v in enumerate(ids)}
-        pairs = [(at[a], at[b], d) for a, b, d in zip(pdf["id1"], pdf["id2"], pdf["distance"])]
-        label = complete_linkage(len(ids), pairs, max_d)
-        return pd.DataFrame({"id": ids, "cluster": [ids[v] for v in label]})
-
-    found = pairs.groupBy(*FRAME_KEY).applyInPandas(link, f"id {id_type}, cluster {id_type}")
+        out = []
+        for _, rows in pdf.groupby("frame", sort=False):
+            one, two = rows["id1"].to_numpy(), rows["id2"].to_numpy()
+            ids = np.unique(np.concatenate([one, two]))
+            near = zip(np.searchsorted(ids, one), np.searchsorted(ids, two), rows["distance"])
+            label = complete_linkage(len(ids), near, max_d)
+            out += [(v, ids[k]) for v, k in zip(ids, label)]
+        return pd.DataFrame(out, columns=["id", "cluster"])
+
+    block = [*PLACE, "block"]
+    blocks = pairs.withColumn("block", F.floor(F.col("frame") / BLOCK))
+    found = python_groups(blocks, *block).groupBy(*block).applyInPandas(link, f"id {id_type}, cluster {id_type}")
     return df.join(found, "id", "left").select(
         *df.columns, F.coalesce("cluster", "id").alias("cluster")
     )
@@ -336,16 +341,9 @@ def _conflict_lists(rows: DataFrame, conflicts: DataFrame | None) -> DataFrame:
     return rows.join(lists, "sensor", "left")
 
 
-def _assign(pdf: pd.DataFrame, max_d: float) -> list[tuple]:
+def _assign(old: dict, new: dict, max_d: float) -> list[tuple]:
     """(earlier id, later id, distance) of one frame's optimal assignment."""
-    pdf = pdf.sort_values(["ts", "id"])
-    old, new = pdf[pdf["old"]], pdf[~pdf["old"]]
-    if old.empty or new.empty:
-        return []
-    d = np.hypot(
-        old["x"].to_numpy()[:, None] - new["x"].to_numpy()[None, :],
-        old["y"].to_numpy()[:, None] - new["y"].to_numpy()[None, :],
-    )
+    d = np.hypot(old["x"][:, None] - new["x"][None, :], old["y"][:, None] - new["y"][None, :])
     cost = d.copy()
     at: dict = {}
     for i, ids in enumerate(old["ids"]):
@@ -353,18 +351,37 @@ def _assign(pdf: pd.DataFrame, max_d: float) -> list[tuple]:
             at.setdefault(v, []).append(i)
     for j, ids in enumerate(new["ids"]):
         for v in ids:
-            cost[at.get(v, []), j] = 0.0
+            if v in at:
+                cost[at[v], j] = 0.0
     top = max(cost.max(), 1.1 * max_d)
     cost[cost > max_d] = top
-    sensors: dict = {}
-    for j, s in enumerate(new["sensor"]):
-        sensors.setdefault(s, []).append(j)
     for i, barred in enumerate(old["conflicts"]):
-        for s in barred if barred is not None else ():
-            cost[i, sensors.get(s, [])] = top
+        if barred is not None and len(barred):
+            cost[i, np.isin(new["sensor"], barred)] = top
+    if cost.min() > max_d:
+        return []
     pairs = min_cost_matching(cost**2)
-    a, b = old["id"].to_numpy(), new["id"].to_numpy()
-    return [(a[i], b[j], float(d[i, j])) for i, j in pairs if cost[i, j] <= max_d]
+    return [(old["id"][i], new["id"][j], float(d[i, j])) for i, j in pairs if cost[i, j] <= max_d]
+
+
+# Frames that share one call of the Python function, which saves its fixed cost.
+BLOCK = 64
+
+
+def _assign_block(pdf: pd.DataFrame, max_d: float) -> list[tuple]:
+    """(frame no, earlier id, later id, distance) for some frames of one place."""
+    pdf = pdf.sort_values(["no", "old", "ts", "id"], kind="stable")
+    cols = {c: pdf[c].to_numpy() for c in ("id", "x", "y", "ids", "sensor", "conflicts")}
+    no, is_old = pdf["no"].to_numpy(), pdf["old"].to_numpy().astype(bool)
+    cuts = np.flatnonzero(np.r_[True, no[1:] != no[:-1], True])
+    found = []
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        mid = a + int((~is_old[a:b]).sum())  # new rows come first
+        if a < mid < b:
+            new = {c: v[a:mid] for c, v in cols.items()}
+            old = {c: v[mid:b] for c, v in cols.items()}
+            found += [(no[a], *p) for p in _assign(old, new, max_d)]
+    return found
 
 
 def match_frames(rows: DataFrame, max_d: float = 20.0, carry_s: float = 3.0,
@@ -382,8 +399,8 @@ def match_frames(rows: DataFrame, max_d: float = 20.0, carry_s: float = 3.0,
     in parallel under the assumption that every row is still unmatched; frames
     whose candidates turn out differently are assigned again, until nothing
     changes. A frame is final once the frames before it are, so the fixed point
-    is the result of the sequential fold, and a group is never more than one
-    frame with what is carried into it.
+    is the result of the sequential fold, and Python never sees more than a few
+    frames of one place with what is carried into them.
     """
     rows = rows if "ids" in rows.columns else rows.withColumn("ids", F.array("object_id"))
     base = _conflict_lists(rows.select(*FRAME_KEY, "id", "ts", "sensor", "x", "y", "ids"), conflicts)
@@ -405,9 +422,11 @@ def match_frames(rows: DataFrame, max_d: float = 20.0, carry_s: float = 3.0,
     schema = f"site string, level string, no long, prev_id {id_type}, id {id_type}, distance double"
 
     def assign(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        found = [(*key, *p) for p in _assign(pdf, max_d)]
+        found = [(key[0], key[1], *p) for p in _assign_block(pdf, max_d)]
         return pd.DataFrame(found, columns=["site", "level", "no", "prev_id", "id", "distance"])
 
+    block = [*PLACE, "block"]
+
     frame_no = [*PLACE, "no"]
     pairs, taken, todo = None, None, None
     while True:
@@ -420,7 +439,8 @@ def match_frames(rows: DataFrame, max_d: float = 20.0, carry_s: float = 3.0,
         # A frame with nothing before it has nothing to decide.
         new = new.join(old.select(*frame_no).distinct(), frame_no, "left_semi")
         group = old.withColumn("old", F.lit(True)).unionByName(new.withColumn("old", F.lit(False)))
-        fresh = group.groupBy(*frame_no).applyInPandas(assign, schema)
+        group = group.withColumn("block", F.floor(F.col("no") / BLOCK))
+        fresh = python_groups(group, *block).groupBy(*block).applyInPandas(assign, schema)
         if todo is not None:
             fresh = pairs.join(todo, frame_no, "left_anti").select(*pairs.columns).unionByName(fresh)
         pairs = cut(fresh)
