@@ -204,8 +204,8 @@ def validate_events(d):
     kind = F.pmod(F.col("key").cast("long"), F.lit(7))
     bad = (
         F.when(kind == 0, F.concat(F.lit("["), F.col("value")))
-        .when(kind == 1, F.regexp_replace("value", '("event":\\{.*"type":")[a-z]+', "$1flying"))
-        .when(kind == 2, F.replace(F.regexp_replace("value", '("object".*"x":)[^,]*', '$1"far"'), F.lit('"place":'), F.lit('"plaza":')))
+        .when(kind == 1, F.regexp_replace("value", '"type":"(entry|exit|moving|parked|empty)"', '"type":"flying"'))
+        .when(kind == 2, F.replace(F.regexp_replace("value", '"x":[-0-9.]+', '"x":"far"'), F.lit('"place":'), F.lit('"plaza":')))
         .otherwise(F.col("value"))
     )
     return q.validate_events(adapter.wire(d).withColumn("value", bad)).select("key", "flag", "message")

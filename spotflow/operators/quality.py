@@ -192,18 +192,23 @@ def validate_events(df: DataFrame, value: str = "value") -> DataFrame:
         return F.col("_j." + ".".join(f"`{p}`" for p in name.split(".")))
 
     def inside(name):
-        doc = F.try_parse_json(F.col(value))
-        return F.try_variant_get(doc, "$" + "".join(f"['{p}']" for p in name.split(".")), "variant")
+        path = "$" + "".join(f"['{p}']" for p in name.split("."))
+        return F.try_variant_get("_doc", path, "variant")
 
     options = {"columnNameOfCorruptRecord": "_odd"}
     parsed = df.withColumn("_j", F.from_json(F.col(value), loose, options))
     odd = at("_odd").isNotNull() | F.col("_j").isNull() | F.contains(F.col(value), F.lit("null"))
     for n in REQUIRED:
         odd = odd | at(n).isNull()
+    parsed = parsed.withColumn("_is_odd", odd).withColumn(
+        "_doc", F.when(F.col("_is_odd"), F.try_parse_json(F.col(value)))
+    )
     seen = parsed.select(
         *df.columns,
         _types([at(n) for n in leaves]).alias("_leaf"),
-        F.when(odd, _types([F.try_parse_json(F.col(value)), *[inside(n) for n in structs], inside("@timestamp")])).alias("_second"),
+        F.when(
+            F.col("_is_odd"), _types([F.col("_doc"), *[inside(n) for n in structs], inside("@timestamp")])
+        ).alias("_second"),
         F.try_variant_get(at("event.type"), "$", "string").alias("_type"),
         F.coalesce(F.schema_of_variant(at("event.type")), F.lit("")).alias("_type_is"),
         F.coalesce(F.schema_of_variant(at("object.signature")), F.lit("")).alias("_items"),

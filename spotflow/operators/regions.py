@@ -105,7 +105,7 @@ def nearest_node(points: DataFrame, nodes: DataFrame, key: str = "id",
     Looks within a radius first and doubles it for the points still without an
     answer, until the radius spans the extent of all data: what is found within
     a radius is the true nearest, so no all-pairs comparison is needed. The
-    first radius defaults to the spacing the nodes would have on an even grid.
+    first radius defaults to a quarter of the spacing of nodes on an even grid.
     """
     both = points.select("x", "y").unionByName(nodes.select("x", "y"))
     box = both.agg(
@@ -115,7 +115,7 @@ def nearest_node(points: DataFrame, nodes: DataFrame, key: str = "id",
         return nearest_within(points, nodes, 1.0, key)
     extent = math.hypot(box[1] - box[0], box[3] - box[2]) or 1.0
     if start is None:
-        start = extent / math.sqrt(max(nodes.count(), 1))
+        start = extent / math.sqrt(max(nodes.count(), 1)) / 4
     places = points.groupBy("x", "y").agg(F.min(key).alias(key))
     left, rounds, radius = places, [], start
     while True:

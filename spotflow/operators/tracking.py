@@ -364,23 +364,29 @@ def _assign(old: dict, new: dict, max_d: float) -> list[tuple]:
     return [(old["id"][i], new["id"][j], float(d[i, j])) for i, j in pairs if cost[i, j] <= max_d]
 
 
-# Frames that share one call of the Python function, which saves its fixed cost.
+# Consecutive frames that one call of the Python function works through.
 BLOCK = 64
 
 
 def _assign_block(pdf: pd.DataFrame, max_d: float) -> list[tuple]:
-    """(frame no, earlier id, later id, distance) for some frames of one place."""
+    """(frame no, earlier id, later id, distance) for consecutive frames of one place.
+
+    A row that found its partner is not offered to the later frames of the block.
+    """
     pdf = pdf.sort_values(["no", "old", "ts", "id"], kind="stable")
     cols = {c: pdf[c].to_numpy() for c in ("id", "x", "y", "ids", "sensor", "conflicts")}
     no, is_old = pdf["no"].to_numpy(), pdf["old"].to_numpy().astype(bool)
     cuts = np.flatnonzero(np.r_[True, no[1:] != no[:-1], True])
-    found = []
+    found, used = [], set()
     for a, b in zip(cuts[:-1], cuts[1:]):
         mid = a + int((~is_old[a:b]).sum())  # new rows come first
-        if a < mid < b:
+        free = [i for i in range(mid, b) if cols["id"][i] not in used]
+        if a < mid and free:
             new = {c: v[a:mid] for c, v in cols.items()}
-            old = {c: v[mid:b] for c, v in cols.items()}
-            found += [(no[a], *p) for p in _assign(old, new, max_d)]
+            old = {c: v[free] for c, v in cols.items()}
+            pairs = _assign(old, new, max_d)
+            used.update(p[0] for p in pairs)
+            found += [(no[a], *p) for p in pairs]
     return found
 
 
@@ -395,12 +401,12 @@ def match_frames(rows: DataFrame, max_d: float = 20.0, carry_s: float = 3.0,
     cameras excluded, rows with a common id at distance 0.
 
     What is carried into a frame depends on the frames before it. Instead of
-    folding over a site's whole time line in one task, all frames are assigned
-    in parallel under the assumption that every row is still unmatched; frames
-    whose candidates turn out differently are assigned again, until nothing
-    changes. A frame is final once the frames before it are, so the fixed point
-    is the result of the sequential fold, and Python never sees more than a few
-    frames of one place with what is carried into them.
+    folding over a site's whole time line in one task, blocks of consecutive
+    frames are worked through in parallel, at first as if nothing from earlier
+    blocks had found a partner there. Blocks for which that was wrong are done
+    again, until nothing changes. A block is final once the ones before it
+    are, so the fixed point is the result of the sequential fold, and Python
+    never sees more than a block of one place with what is carried into it.
     """
     rows = rows if "ids" in rows.columns else rows.withColumn("ids", F.array("object_id"))
     base = _conflict_lists(rows.select(*FRAME_KEY, "id", "ts", "sensor", "x", "y", "ids"), conflicts)
@@ -426,35 +432,36 @@ def match_frames(rows: DataFrame, max_d: float = 20.0, carry_s: float = 3.0,
         return pd.DataFrame(found, columns=["site", "level", "no", "prev_id", "id", "distance"])
 
     block = [*PLACE, "block"]
-
-    frame_no = [*PLACE, "no"]
+    here, offers = (
+        side.withColumn("block", F.floor(F.col("no") / BLOCK)) for side in (here, offers)
+    )
     pairs, taken, todo = None, None, None
     while True:
         old, new = offers, here
         if taken is not None:
-            old = old.join(taken, "id", "left").where("_no is null or _no >= no").drop("_no")
+            gone = F.floor(F.col("_no") / BLOCK) < F.col("block")
+            old = old.join(taken, "id", "left").where(~F.coalesce(gone, F.lit(False))).drop("_no")
         if todo is not None:
-            old = old.join(todo, frame_no, "left_semi")
-            new = new.join(todo, frame_no, "left_semi")
-        # A frame with nothing before it has nothing to decide.
-        new = new.join(old.select(*frame_no).distinct(), frame_no, "left_semi")
+            old = old.join(todo, block, "left_semi")
+            new = new.join(todo, block, "left_semi")
         group = old.withColumn("old", F.lit(True)).unionByName(new.withColumn("old", F.lit(False)))
-        group = group.withColumn("block", F.floor(F.col("no") / BLOCK))
         fresh = python_groups(group, *block).groupBy(*block).applyInPandas(assign, schema)
         if todo is not None:
-            fresh = pairs.join(todo, frame_no, "left_anti").select(*pairs.columns).unionByName(fresh)
+            kept = pairs.withColumn("block", F.floor(F.col("no") / BLOCK)).join(todo, block, "left_anti")
+            fresh = kept.select(*pairs.columns).unionByName(fresh)
         pairs = cut(fresh)
-        now = cut(pairs.groupBy(F.col("prev_id").alias("id")).agg(F.min("no").alias("_no")))
-        was = taken if taken is not None else now.where("false")
-        moved = (
-            now.join(was.withColumnRenamed("_no", "_was"), "id", "full")
-            .where(~F.col("_no").eqNullSafe(F.col("_was")))
-            .select("id", F.least("_no", "_was").alias("_first"))
-        )
-        # Only frames after the first of the two answers see a different row.
-        todo = cut(
-            offers.join(moved, "id").where(F.col("no") > F.col("_first")).select(*frame_no).distinct()
-        )
+        now = pairs.groupBy(F.col("prev_id").alias("id")).agg(F.min("no").alias("_no"))
+        if taken is None:
+            moved = now.select("id", F.col("_no").alias("_first"))
+        else:
+            moved = (
+                now.join(taken.withColumnRenamed("_no", "_was"), "id", "full")
+                .where(~F.col("_no").eqNullSafe(F.col("_was")))
+                .select("id", F.least("_no", "_was").alias("_first"))
+            )
+        # A block itself knows what it matched; only later ones are told.
+        told = F.col("block") > F.floor(F.col("_first") / BLOCK)
+        todo = cut(offers.join(moved, "id").where(told).select(*block).distinct())
         taken = now
         if todo.isEmpty():
             return pairs
