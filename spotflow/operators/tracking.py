@@ -392,7 +392,7 @@ def _assign_block(pdf: pd.DataFrame, max_d: float) -> list[tuple]:
 
 def match_frames(rows: DataFrame, max_d: float = 20.0, carry_s: float = 3.0,
                  frame_s: float = 0.5, conflicts: DataFrame | None = None,
-                 width: float = DAY) -> DataFrame:
+                 width: float = DAY, carried: DataFrame | None = None) -> DataFrame:
     """Which row of an earlier frame is which row of a later one: (prev_id, id, …).
 
     Each frame is matched with the frame before it and with earlier rows that
@@ -407,15 +407,21 @@ def match_frames(rows: DataFrame, max_d: float = 20.0, carry_s: float = 3.0,
     again, until nothing changes. A block is final once the ones before it
     are, so the fixed point is the result of the sequential fold, and Python
     never sees more than a block of one place with what is carried into it.
+    ``carried``: rows an earlier run left open; they are offered to the first frames.
     """
     rows = rows if "ids" in rows.columns else rows.withColumn("ids", F.array("object_id"))
-    base = _conflict_lists(rows.select(*FRAME_KEY, "id", "ts", "sensor", "x", "y", "ids"), conflicts)
+    point = ("id", "ts", "sensor", "x", "y", "ids")
+    base = _conflict_lists(rows.select(*FRAME_KEY, *point), conflicts)
     order = _frame_list(rows, width)
     here = cut(base.join(order.select(*FRAME_KEY, "no"), FRAME_KEY).drop("frame"))
     reach = math.ceil(carry_s / frame_s) + 2
     frame_at = order.select(*PLACE, "no", "at_before")
+    earlier = here
+    if carried is not None:
+        open_rows = _conflict_lists(carried.select(*PLACE, *point), conflicts)
+        earlier = here.unionByName(open_rows.withColumn("no", F.lit(0).cast("long")))
     offers = cut(
-        here.withColumn("_from", F.col("no"))
+        earlier.withColumn("_from", F.col("no"))
         .withColumn("no", F.explode(F.sequence(F.col("no") + 1, F.col("no") + reach)))
         .join(frame_at, [*PLACE, "no"])
         .where(
@@ -467,36 +473,53 @@ def match_frames(rows: DataFrame, max_d: float = 20.0, carry_s: float = 3.0,
             return pairs
 
 
-def label_tracks(rows: DataFrame, pairs: DataFrame, width: float = DAY) -> DataFrame:
+def label_tracks(rows: DataFrame, pairs: DataFrame, width: float = DAY,
+                 carried: DataFrame | None = None, made: DataFrame | None = None) -> DataFrame:
     """Carry plate and object id along matched rows; adds ``track_id``, ``heading``, ``prev_id``.
 
     A row without plate takes that of the row before it; with the same plate
     it takes its object id. A chain that starts without a plate gets a made-up
-    one (UNK-M-n, counted per site and level).
+    one (UNK-M-n, counted per site and level). ``carried``: labelled rows of an
+    earlier run which chains may start from; ``made`` (site, level, made): how
+    many plates it made up.
     """
     links = pairs.select("prev_id", "id")
-    heads = chain_heads(links, rows)
     order = ["ts", "id"]
+    base = rows.withColumn("_track", F.lit(None).cast(dict(rows.dtypes)["id"])).withColumn(
+        "_turn", F.lit(None).cast("double")
+    )
+    if carried is not None:
+        base = base.unionByName(
+            carried.select(*rows.columns, F.col("track_id").alias("_track"), F.col("heading").alias("_turn"))
+        )
+    heads = chain_heads(links, base).withColumnRenamed("head", "_head")
+    known = base.where("_track is not null").select(F.col("id").alias("_head"), F.col("_track").alias("_known"))
+    chained = base.join(heads, "id").join(links, "id", "left").join(known, "_head", "left")
     blank = F.coalesce(F.trim("license"), F.lit("")) == ""
-    chained = rows.join(heads.withColumnRenamed("head", "track_id"), "id").join(links, "id", "left")
     unknown = numbered(
-        chained.where(blank & F.col("prev_id").isNull()).select("id", *PLACE, "ts"),
+        chained.where(blank & F.col("prev_id").isNull() & F.col("_track").isNull()).select("id", *PLACE, "ts"),
         PLACE, order, "_n", width=width,
-    ).select("id", F.concat(F.lit("UNK-M-"), (F.col("_n") - 1).cast("string")).alias("_made"))
+    )
+    if made is not None:
+        unknown = unknown.join(made, PLACE, "left").withColumn("_n", F.col("_n") + F.coalesce("made", F.lit(0)))
+    unknown = unknown.select("id", F.concat(F.lit("UNK-M-"), (F.col("_n") - 1).cast("string")).alias("_made"))
     named = chained.join(unknown, "id", "left").withColumn(
         "_own", F.coalesce(F.when(~blank, F.col("license")), "_made")
     )
-    past = before(named, ["track_id"], order, {"_past": F.col("_own")}, width)
+    past = before(named, ["_head"], order, {"_past": F.col("_own")}, width)
     starts = F.col("prev_id").isNull() | (
         F.col("_own").isNotNull() & ~F.col("_own").eqNullSafe(F.col("_past"))
     )
     marked = past.withColumn("_start", F.when(starts, F.struct("object_id"))).withColumn(
         "license", F.coalesce("_own", "_past")
     )
-    carried = before(marked, ["track_id"], order, {"_run": F.col("_start")}, width)
-    labelled = carried.withColumn("object_id", F.coalesce("_start.object_id", "_run.object_id"))
-    out = labelled.select(*rows.columns, "track_id", "prev_id", F.col("_made").isNotNull().alias("synthetic"))
-    return heading(out, ["track_id"], order, width)
+    run = before(marked, ["_head"], order, {"_run": F.col("_start")}, width)
+    labelled = run.withColumn("object_id", F.coalesce("_start.object_id", "_run.object_id")).select(
+        *rows.columns, "_head", "_track", "_turn", "prev_id",
+        F.coalesce("_known", "_head").alias("track_id"), F.col("_made").isNotNull().alias("synthetic"),
+    )
+    turned = heading(labelled, ["_head"], order, width, known="_turn")
+    return turned.where("_track is null").drop("_head", "_track", "_turn")
 
 
 # -- figures about a run ---------------------------------------------------------------------

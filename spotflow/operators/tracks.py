@@ -125,12 +125,14 @@ def track_summary(df: DataFrame, keys: list[str], threshold: int = 100,
 
 
 def heading(df: DataFrame, keys: list[str], order: list[str] = ["ts", "id"],
-            width: float = DAY) -> DataFrame:
-    """Degrees [0, 360) from the previous position; kept while the vehicle stands."""
+            width: float = DAY, known: str | None = None) -> DataFrame:
+    """Degrees [0, 360) from the previous position; kept while the vehicle stands.
+
+    ``known``: a column with headings that are given, where not null.
+    """
     prev = before(df, keys, order, {"_p": F.struct("x", "y")}, width)
     moved = (F.col("_p.x") != F.col("x")) | (F.col("_p.y") != F.col("y"))
-    turned = prev.withColumn(
-        "_h", F.when(moved, angle_rad("_p.x", "_p.y", "x", "y") * 180.0 / math.pi)
-    ).drop("_p")
+    turn = F.when(moved, angle_rad("_p.x", "_p.y", "x", "y") * 180.0 / math.pi)
+    turned = prev.withColumn("_h", F.coalesce(known, turn) if known else turn).drop("_p")
     kept = before(turned, keys, order, {"_k": F.col("_h")}, width)
     return kept.select(*df.columns, F.coalesce("_h", "_k").alias("heading"))
