@@ -13,6 +13,8 @@ Key columns must not be null.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from spotflow.functions.columns import _c
@@ -75,6 +77,54 @@ def after(df: DataFrame, keys: list[str], order: list[str], exprs: dict[str, Col
     return _look(df, keys, order, exprs, width, ahead=True)
 
 
+def marked(df: DataFrame, keys: list[str], order: list[str], prev: Column,
+           mark: Callable[[Callable[[str], Column], Column], Column], needs: list[str],
+           width: float = DAY) -> DataFrame:
+    """Marks that depend on the row before, and the last mark up to each row.
+
+    ``mark(get, before)`` builds a nullable expression from columns of the row
+    (``get(name)``, names listed in ``needs``) and ``before``, the value of
+    ``prev`` in the row before (null at the start of a key). Adds ``before``
+    and ``last_mark``, the newest non-null mark at or before the row.
+
+    One pass does both: a slice's summary keeps its first row, its last
+    ``prev`` value and its last mark, so the mark of the first row, which needs
+    the slice before, is decided on summaries.
+    """
+    base = _sliced(df, order, width).withColumn("_m_prev", prev)
+    rank = F.struct(*order)
+    within = W.partitionBy(*keys, "_slice").orderBy(*order)
+    upto = within.rowsBetween(W.unboundedPreceding, W.currentRow)
+    stepped = base.withColumn("_m_local", F.lag("_m_prev").over(within)).withColumn(
+        "_m_first", F.row_number().over(within) == 1
+    ).withColumn("_m_mark", F.when(~F.col("_m_first"), mark(F.col, F.col("_m_local"))))
+    summary = stepped.groupBy(*keys, "_slice").agg(
+        F.min_by(F.struct(*needs), rank).alias("_m_head"),
+        F.max_by("_m_prev", rank).alias("_m_tail"),
+        F.max_by("_m_mark", F.when(F.col("_m_mark").isNotNull(), rank)).alias("_m_last"),
+    )
+    across = W.partitionBy(*keys).orderBy("_slice")
+    opened = summary.withColumn("_m_before", F.lag("_m_tail").over(across))
+    opened = opened.withColumn("_m_open", mark(lambda c: F.col(f"_m_head.{c}"), F.col("_m_before")))
+    carried = opened.select(
+        *keys, "_slice", "_m_before",
+        F.coalesce(
+            "_m_open",
+            F.last(F.coalesce("_m_last", "_m_open"), ignorenulls=True).over(
+                across.rowsBetween(W.unboundedPreceding, -1)
+            ),
+        ).alias("_m_carry"),
+    )
+    local = stepped.select(
+        *df.columns, "_slice", "_m_first", "_m_local", F.last("_m_mark", ignorenulls=True).over(upto).alias("_m_seen")
+    )
+    return local.join(carried, [*keys, "_slice"], "left").select(
+        *df.columns,
+        F.when(F.col("_m_first"), F.col("_m_before")).otherwise(F.col("_m_local")).alias("before"),
+        F.coalesce("_m_seen", "_m_carry").alias("last_mark"),
+    )
+
+
 def numbered(df: DataFrame, keys: list[str], order: list[str], name: str = "n",
              total: str | None = None, width: float = DAY) -> DataFrame:
     """Add the 1-based position of a row within its key, and the key's row count."""

@@ -18,7 +18,7 @@ from spotflow.operators.assign import complete_linkage, min_cost_matching
 from spotflow.operators.graphs import chain_heads, connected_components
 from spotflow.operators.lineage import cut, python_groups
 from spotflow.operators.occupancy import SPOT_KEY, latest_per_key, spot_events
-from spotflow.operators.ordered import DAY, before, numbered
+from spotflow.operators.ordered import DAY, before, marked, numbered
 from spotflow.operators.regions import spread
 from spotflow.operators.tracks import heading
 
@@ -308,16 +308,17 @@ def departed_vehicle(df: DataFrame, width: float = DAY) -> DataFrame:
     That is the first one parked there since the spot was last empty, now with
     place, sensor and time of the empty event.
     """
-    order = ["ts", "id"]
-    rows = before(spot_events(df), SPOT_KEY, order, {"_prev": F.col("type")}, width)
-    fresh = (F.col("type") == "parked") & (F.col("_prev").isNull() | (F.col("_prev") == "empty"))
-    who = F.struct("id", "license", "object_id", "x", "y", "ts")
-    held = before(rows, SPOT_KEY, order, {"_car": F.when(fresh, who)}, width)
-    return held.where((F.col("type") == "empty") & (F.col("_prev") == "parked")).select(
-        "id", "ts", *SPOT_KEY, "sensor",
-        F.col("_car.id").alias("parked_id"), F.col("_car.license").alias("license"),
-        F.col("_car.object_id").alias("object_id"),
-        F.col("_car.x").alias("x"), F.col("_car.y").alias("y"), F.col("_car.ts").alias("parked_ts"),
+    who = ["id", "license", "object_id", "x", "y", "ts"]
+
+    def arrives(get, before):
+        fresh = (get("type") == "parked") & (before.isNull() | (before == "empty"))
+        return F.when(fresh, F.struct(*[get(c).alias(c) for c in who]))
+
+    rows = marked(spot_events(df), SPOT_KEY, ["ts", "id"], F.col("type"), arrives, ["type", *who], width)
+    return rows.where((F.col("type") == "empty") & (F.col("before") == "parked")).select(
+        "id", "ts", *SPOT_KEY, "sensor", F.col("last_mark.id").alias("parked_id"),
+        *[F.col(f"last_mark.{c}").alias(c) for c in ("license", "object_id", "x", "y")],
+        F.col("last_mark.ts").alias("parked_ts"),
     )
 
 
@@ -506,7 +507,7 @@ def label_tracks(rows: DataFrame, pairs: DataFrame, width: float = DAY,
     named = chained.join(unknown, "id", "left").withColumn(
         "_own", F.coalesce(F.when(~blank, F.col("license")), "_made")
     )
-    past = before(named, ["_head"], order, {"_past": F.col("_own")}, width)
+    past = cut(before(cut(named), ["_head"], order, {"_past": F.col("_own")}, width))
     starts = F.col("prev_id").isNull() | (
         F.col("_own").isNotNull() & ~F.col("_own").eqNullSafe(F.col("_past"))
     )
@@ -518,7 +519,7 @@ def label_tracks(rows: DataFrame, pairs: DataFrame, width: float = DAY,
         *rows.columns, "_head", "_track", "_turn", "prev_id",
         F.coalesce("_known", "_head").alias("track_id"), F.col("_made").isNotNull().alias("synthetic"),
     )
-    turned = heading(labelled, ["_head"], order, width, known="_turn")
+    turned = heading(cut(labelled), ["_head"], order, width, known="_turn")
     return turned.where("_track is null").drop("_head", "_track", "_turn")
 
 

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from spotflow.functions.columns import angle_rad, euclid
-from spotflow.operators.ordered import DAY, before, chunked, numbered
+from spotflow.operators.ordered import DAY, chunked, marked, numbered
 
 CHUNK = 10_000
 
@@ -26,15 +26,15 @@ def bounding_box(df: DataFrame, *keys: str) -> DataFrame:
 def track_sessions(df: DataFrame, keys: list[str], gap_s: float = 6.0,
                    width: float = DAY) -> DataFrame:
     """Add ``track_start``: rows of a key belong together until a gap of ``gap_s``."""
-    order = ["ts", "id"]
+    gap = int(gap_s * 1_000_000)
     keyed = df.where(" and ".join(f"`{k}` is not null" for k in keys))
-    step = before(keyed, keys, order, {"_prev": F.col("ts")}, width)
-    opens = F.col("_prev").isNull() | (
-        F.unix_micros("ts") - F.unix_micros("_prev") >= int(gap_s * 1_000_000)
-    )
-    marked = step.withColumn("_open", F.when(opens, F.col("ts"))).drop("_prev")
-    carried = before(marked, keys, order, {"_start": F.col("_open")}, width)
-    return carried.select(*df.columns, F.coalesce("_open", "_start").alias("track_start"))
+
+    def opens(get, before):
+        late = F.unix_micros(get("ts")) - F.unix_micros(before) >= gap
+        return F.when(before.isNull() | late, get("ts"))
+
+    rows = marked(keyed, keys, ["ts", "id"], F.col("ts"), opens, ["ts"], width)
+    return rows.select(*df.columns, F.col("last_mark").alias("track_start"))
 
 
 def valid_tracks(df: DataFrame, keys: list[str] = ["sensor", "object_id"], gap_s: float = 6.0,
@@ -130,9 +130,11 @@ def heading(df: DataFrame, keys: list[str], order: list[str] = ["ts", "id"],
 
     ``known``: a column with headings that are given, where not null.
     """
-    prev = before(df, keys, order, {"_p": F.struct("x", "y")}, width)
-    moved = (F.col("_p.x") != F.col("x")) | (F.col("_p.y") != F.col("y"))
-    turn = F.when(moved, angle_rad("_p.x", "_p.y", "x", "y") * 180.0 / math.pi)
-    turned = prev.withColumn("_h", F.coalesce(known, turn) if known else turn).drop("_p")
-    kept = before(turned, keys, order, {"_k": F.col("_h")}, width)
-    return kept.select(*df.columns, F.coalesce("_h", "_k").alias("heading"))
+    def turn(get, before):
+        moved = (before.x != get("x")) | (before.y != get("y"))
+        angle = F.when(moved, angle_rad(before.x, before.y, get("x"), get("y")) * 180.0 / math.pi)
+        return F.coalesce(get(known), angle) if known else angle
+
+    needs = ["x", "y", known] if known else ["x", "y"]
+    rows = marked(df, keys, order, F.struct("x", "y"), turn, needs, width)
+    return rows.select(*df.columns, F.col("last_mark").alias("heading"))

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import Window as W, functions as F
 
-from spotflow.operators.ordered import after, before, chunked, numbered
+from spotflow.operators.ordered import after, before, chunked, marked, numbered
 
 
 @pytest.fixture(scope="module")
@@ -53,3 +53,17 @@ def test_chunks_hold_the_next_rows(spark):
     assert rows[0] == (list(range(1, 14)), 9)
     assert rows[1] == (list(range(10, 24)), 10)
     assert rows[2] == (list(range(20, 26)), 6)
+
+
+@pytest.mark.parametrize("width", [600, 3600, 10**9])
+def test_marked(skewed, width):
+    w = W.partitionBy("k").orderBy("ts", "id")
+
+    def mark(get, prev):
+        return F.when(prev.isNull() | (prev.id > get("id")), get("id"))
+
+    got = marked(skewed, ["k"], ["ts", "id"], F.struct("id"), mark, ["id"], width)
+    step = skewed.withColumn("before", F.lag(F.struct("id")).over(w))
+    step = step.withColumn("m", mark(F.col, F.col("before")))
+    upto = w.rowsBetween(W.unboundedPreceding, 0)
+    _same(got, step.select(*skewed.columns, "before", F.last("m", True).over(upto).alias("last_mark")))
