@@ -164,7 +164,7 @@ def understay(d):
 
 # -- lists ---------------------------------------------------------------------------------
 
-def _lists(d):
+def plate_lists(d):
     """Plates V1 to V9: even ones white, odd ones black."""
     listed = d.select("license").distinct().where(F.col("license").rlike("^V[1-9]$"))
     even = F.substring("license", 2, 1).cast("int") % 2 == 0
@@ -177,13 +177,13 @@ LISTED = """l AS (SELECT *, CASE WHEN CAST(license[2:] AS INT) % 2 = 0 THEN 'Whi
 
 @query("list_anomaly", f"WITH {{D}}, {LISTED} SELECT id, license, type, list FROM l")
 def list_anomaly(d):
-    return anomaly.list_anomaly(d, *_lists(d)).select("id", "license", "type", "list")
+    return anomaly.list_anomaly(d, *plate_lists(d)).select("id", "license", "type", "list")
 
 
 @query("unlisted", """WITH {D} SELECT id, license FROM d WHERE type IN ('entry', 'exit')
   AND NOT (CAST(license[2:] AS INT) BETWEEN 1 AND 9)""")
 def unlisted(d):
-    return anomaly.unlisted(d, *_lists(d)).select("id", "license")
+    return anomaly.unlisted(d, *plate_lists(d)).select("id", "license")
 
 
 # -- anomaly rows -----------------------------------------------------------------------------
@@ -225,7 +225,7 @@ def build_understay(d):
                  "CASE WHEN type = 'entry' THEN video ELSE '' END", "CASE WHEN type = 'exit' THEN video ELSE '' END")
     for k in ("Whitelist", "Blacklist")))
 def build_list_anomaly(d):
-    return _anomaly(projections.build_list_anomaly(anomaly.list_anomaly(d, *_lists(d))))
+    return _anomaly(projections.build_list_anomaly(anomaly.list_anomaly(d, *plate_lists(d))))
 
 
 STALLED = """m AS (SELECT license AS plate, epoch_us(ts) // 172800000000 AS w, min(ts) AS start_ts, max(ts) AS end_ts,

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from spotflow.catalog.base import query, us
 from spotflow.operators import anomaly, projections, search
+from spotflow.sources import adapter, writers
 
 HOUR = 3600
 T0, T1 = "2024-01-05 00:00:00", "2024-01-25 00:00:00"
@@ -97,3 +98,31 @@ FROM d GROUP BY 1""")
 def distinct_anomalies(d):
     sent = d.withColumn("ts", F.date_trunc("hour", "ts"))
     return search.distinct_anomalies(sent).select("fingerprint")
+
+
+# -- messages -----------------------------------------------------------------------------
+
+
+@query("write_anomalies", f"WITH {{D}}, {STAYS} SELECT 'Overstay' AS key, license, description, strftime(end_ts, '%Y-%m-%dT%H:%M:%S.%gZ') AS ended FROM al")
+def anomaly_messages(d):
+    sent = writers.messages(_alerts(d), F.col("event.type"))
+    return sent.select(
+        "key", F.get_json_object("value", "$.object.vehicle.license").alias("license"),
+        F.get_json_object("value", "$.analyticsModule.description").alias("description"),
+        F.get_json_object("value", "$.endTimestamp").alias("ended"))
+
+
+@query("write_pass_through", "WITH {D} SELECT CAST(id AS VARCHAR) AS key, type, site, true AS hidden, true AS placed FROM d")
+def pass_through(d):
+    sent = writers.pass_through(adapter.nested(d), "k" * 32, "i" * 16)
+    plate = F.get_json_object("value", "$.object.vehicle.license")
+    return sent.select(
+        "key", F.get_json_object("value", "$.event.type").alias("type"), F.get_json_object("value", "$.place.name").alias("site"),
+        (~plate.startswith("V") | (F.length(plate) == 24)).alias("hidden"), F.col("partition").between(0, 7).alias("placed"))
+
+
+@query("write_tracked", "WITH {D} SELECT sensor AS key, id, license FROM d")
+def tracked_messages(d):
+    sent = writers.messages(d, F.col("sensor"))
+    return sent.select("key", F.get_json_object("value", "$.id").cast("long").alias("id"),
+                       F.get_json_object("value", "$.license").alias("license"))

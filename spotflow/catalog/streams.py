@@ -11,11 +11,15 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from spotflow.catalog.anomalies import UNDER
+from spotflow.catalog.anomalies import UNDER, plate_lists
 from spotflow.catalog.base import query, r4, us
+from spotflow.catalog.tracking import CFG
+from spotflow.operators.anomaly import list_anomaly
 from spotflow.operators.lineage import shared_folder
-from spotflow.sources import adapter
+from spotflow.operators.quality import invalid_events
+from spotflow.sources import adapter, writers
 from spotflow.streaming import jobs, state
+from spotflow.streaming.tracker import StreamTracker, start_tracker
 
 HOUR, DAY = 3600, 86400
 
@@ -77,3 +81,37 @@ UNION ALL SELECT CAST(id AS VARCHAR), epoch_us(ts), 1 FROM k WHERE type IN ('mov
 def scene_stream(spark, sf_dir):
     found = state.scene_stream(_stream(spark, sf_dir), 6 * HOUR)
     return _drained(spark, found, "scene").select("id", us("ts"), F.col("removed").cast("long"))
+
+
+@query("list_anomaly_stream", """WITH {D} SELECT id, license, CASE WHEN CAST(license[2:] AS INT) % 2 = 0 THEN 'Whitelist' ELSE 'Blacklist' END AS list
+FROM d WHERE type IN ('entry', 'exit') AND CAST(license[2:] AS INT) BETWEEN 1 AND 9""", over="tables")
+def list_anomaly_stream(spark, sf_dir):
+    white, black = plate_lists(adapter.detections(spark, sf_dir))
+    found = list_anomaly(_stream(spark, sf_dir), white, black).select("id", "license", "list")
+    return _drained(spark, found, "lists")
+
+
+@query("validate_stream", "WITH {D} SELECT CAST(id AS VARCHAR) AS key FROM d WHERE id % 7 = 0", over="tables")
+def validate_stream(spark, sf_dir):
+    raw = adapter.wire(_stream(spark, sf_dir))
+    cutoff = F.when(F.col("key").cast("long") % 7 == 0, F.expr("left(value, 20)")).otherwise(F.col("value"))
+    return _drained(spark, invalid_events(raw.withColumn("value", cutoff)), "invalid").select("key")
+
+
+@query("state_tables_stream", """WITH {D} SELECT site, level, spot, id, type FROM d
+WHERE type IN ('parked', 'empty') QUALIFY row_number() OVER (PARTITION BY site, level, spot ORDER BY ts DESC, id DESC) = 1""", over="tables")
+def state_tables_stream(spark, sf_dir):
+    root = f"{shared_folder(spark)}/streams/state-{uuid.uuid4().hex}"
+    run = jobs.StreamRun(f"{root}/checkpoints", f"{root}/tables", drain=True)
+    jobs.await_all(spark, jobs.start_state_tables(run, _stream(spark, sf_dir)))
+    return writers.read_spot_state(spark, f"{root}/tables/spot_state").select("site", "level", "spot", "id", "type")
+
+
+@query("track_stream", over="tables")
+def track_stream(spark, sf_dir):
+    root = f"{shared_folder(spark)}/streams/tracker-{uuid.uuid4().hex}"
+    run = jobs.StreamRun(f"{root}/checkpoints", f"{root}/tables", drain=True)
+    tracker = StreamTracker(f"{root}/tables", CFG)
+    jobs.await_all(spark, start_tracker(run, _stream(spark, sf_dir), tracker))
+    rows = spark.read.parquet(f"{root}/tables/tracked")
+    return rows.select("id", "license", "object_id", "track_id", r4("heading"), "record_class")
