@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from spotflow.functions.columns import euclid, point_along
 from spotflow.operators.lineage import cut
+from spotflow.operators.ordered import chunked
+
+LEGS = 10_000
 
 
 def segments(polylines: DataFrame) -> DataFrame:
@@ -156,25 +159,33 @@ def paths_to(found: DataFrame, targets: DataFrame) -> DataFrame:
 def interpolate_path(points: DataFrame, times: DataFrame, step_s: float = 0.5) -> DataFrame:
     """Positions every ``step_s`` along each path at constant speed, ends included.
 
-    ``points``: (path_id, seq, x, y); ``times``: (path_id, t0, t1). Positions are
-    found on the segment that holds them: each segment emits the ticks which
-    fall on it, so no path is compared with all ticks.
+    ``points``: (path_id, seq, x, y), seq without gaps; ``times``: (path_id, t0, t1).
+    Each leg emits the ticks that fall on it, so no path is compared with all
+    ticks. Lengths are summed in chunks of a path, then over the chunks.
     """
-    w = W.partitionBy("path_id").orderBy("seq")
-    seg = euclid("x", "y", "nx", "ny")
+    w = W.partitionBy("path_id", "_chunk").orderBy("seq")
+    spread = chunked(points, "seq", LEGS, 1).withColumns(
+        {"nx": F.lead("x").over(w), "ny": F.lead("y").over(w)}
+    )
+    legs = spread.where(F.col("_home") & F.col("nx").isNotNull()).withColumn(
+        "d", euclid("x", "y", "nx", "ny")
+    ).where("d > 0")
+    chunks = legs.groupBy("path_id", "_chunk").agg(F.sum("d").alias("_d"))
+    past = W.partitionBy("path_id").orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
+    offsets = chunks.select(
+        "path_id", "_chunk", F.coalesce(F.sum("_d").over(past), F.lit(0.0)).alias("_offset")
+    )
+    totals = legs.groupBy("path_id").agg(F.sum("d").alias("total"), F.max("seq").alias("_end"))
+    within = w.rowsBetween(W.unboundedPreceding, -1)
     legs = (
-        points.select("path_id", "seq", "x", "y", F.lead("x").over(w).alias("nx"),
-                      F.lead("y").over(w).alias("ny"))
-        .where(F.col("nx").isNotNull())
-        .withColumn("d", seg)
-        .withColumn("from_d", F.coalesce(F.sum("d").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)))
-        .withColumn("total", F.sum("d").over(W.partitionBy("path_id")))
-        .where("d > 0")
+        legs.withColumn("_from", F.coalesce(F.sum("d").over(within), F.lit(0.0)))
+        .join(offsets, ["path_id", "_chunk"]).join(totals, "path_id")
+        .withColumn("from_d", F.col("_from") + F.col("_offset"))
     )
     micros = F.unix_micros("t1") - F.unix_micros("t0")
     timed = legs.join(times, "path_id").withColumn("_us", micros).where("_us > 0")
     tick = int(step_s * 1_000_000)
-    last = F.col("from_d") + F.col("d") >= F.col("total")
+    last = F.col("seq") == F.col("_end")
     first_k = F.ceil(F.col("from_d") / F.col("total") * F.col("_us") / tick).cast("long")
     past_k = F.ceil((F.col("from_d") + F.col("d")) / F.col("total") * F.col("_us") / tick).cast("long") - 1
     end_k = F.floor(F.col("_us") / tick).cast("long")

@@ -11,9 +11,9 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from spotflow.functions.columns import camera_point, cell, euclid
+from spotflow.functions.columns import as_ts, camera_point, cell, euclid
 from spotflow.operators.assign import complete_linkage, min_cost_matching
 from spotflow.operators.graphs import chain_heads, connected_components
 from spotflow.operators.lineage import cut, python_groups
@@ -284,11 +284,18 @@ def cluster_output(df: DataFrame) -> DataFrame:
 
 def id_sets(clustered: DataFrame) -> DataFrame:
     """Object ids that were ever in one cluster: (member, root, size, updated)."""
-    first = F.min("object_id").over(W.partitionBy("cluster"))
-    pairs = clustered.select(first.alias("a"), F.col("object_id").alias("b"))
+    seen = clustered.select("cluster", "object_id").distinct()
+    first = seen.groupBy("cluster").agg(F.min("object_id").alias("a"))
+    pairs = seen.join(first, "cluster").select("a", F.col("object_id").alias("b"))
     return set_table(connected_components(pairs), clustered)
 
 
+def live_sets(sets: DataFrame, now, keep_s: float = 20.0) -> DataFrame:
+    """Sets that were seen within ``keep_s`` before ``now``; older ones are forgotten."""
+    age = F.unix_micros(as_ts(now)) - F.unix_micros("updated")
+    return sets.where(age <= int(keep_s * 1e6))
+
+
 def set_table(groups: DataFrame, rows: DataFrame) -> DataFrame:
     """Size and newest time of each id set."""
     seen = rows.groupBy(F.col("object_id").alias("member")).agg(F.max("ts").alias("_ts"))

@@ -251,3 +251,34 @@ def test_plate_cipher_round_trip(spark):
 @pytest.mark.parametrize("value, text", [(2.675, "2.68"), (0.125, "0.13"), (1.0, "1.0"), (2.004, "2.0")])
 def test_half_up(spark, value, text):
     assert spark.range(1).select(c.two_places(F.lit(value)).alias("t")).first().t == text
+
+
+# -- roads ---------------------------------------------------------------------------------------------
+
+
+def test_roads_from_lines_to_positions(spark, monkeypatch):
+    from spotflow.operators import roads
+
+    lines = spark.createDataFrame(
+        [("a", [(0.0, 0.0), (10.0, 0.0), (10.0, 7.0)]), ("b", [(10.0, 7.02), (0.0, 7.0)])],
+        "line_id string, points array<struct<x: double, y: double>>")
+    dense = roads.densify(roads.segments(lines), 3.0)
+    first = dense.where("line_id = 'a' and segment = 0").orderBy("pos").collect()
+    assert [round(r.x, 6) for r in first] == [0, 3, 6, 9, 10]
+    drawn_back = dense.where("line_id = 'b'").orderBy("pos").collect()
+    assert [round(r.x) for r in drawn_back] == [10, 9, 6, 3, 0]
+    nodes = roads.build_nodes(dense)
+    edges = roads.cut(roads.build_edges(dense, nodes))
+    assert nodes.count() == 5 + 3 + 4  # the lines share the corner (10, 7)
+    source = nodes.where("x = 0 and y = 0").select("node_id")
+    found = roads.cut(roads.shortest_paths(edges, source))
+    end = nodes.where("x = 0 and y = 7").select(F.col("node_id").alias("target"))
+    path = roads.paths_to(found, source.select(F.col("node_id").alias("source")).crossJoin(end)).orderBy("seq").collect()
+    assert path[0].distance == 0 and round(path[-1].distance, 1) == 27.0 and len(path) == 12
+    monkeypatch.setattr(roads, "LEGS", 2)
+    points = spark.createDataFrame([("p", i, x, y) for i, (x, y) in enumerate([(0.0, 0.0), (1.0, 0.0), (1.0, 0.0), (4.0, 0.0), (4.0, 6.0)])],
+                                   "path_id string, seq long, x double, y double")
+    times = spark.sql("select 'p' as path_id, timestamp '2024-01-01 00:00:00' as t0, timestamp '2024-01-01 00:00:02.2' as t1")
+    out = roads.interpolate_path(points, times, 0.5).orderBy("ts").collect()
+    want = [(min(s, 4.0), max(0.0, s - 4)) for s in (10 * t / 2.2 for t in (0, 0.5, 1, 1.5, 2, 2.2))]
+    assert [(round(r.x, 6), round(r.y, 6)) for r in out] == [(round(a, 6), round(b, 6)) for a, b in want]
