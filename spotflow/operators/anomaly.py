@@ -8,14 +8,14 @@ from pyspark.sql import DataFrame, functions as F
 from spotflow.functions.columns import hours_between
 from spotflow.operators.lineage import python_groups
 from spotflow.operators.occupancy import SPOT_KEY, spot_events
-from spotflow.operators.ordered import DAY, after, before
+from spotflow.operators.ordered import SLICE, after, before
 from spotflow.operators.projections import with_vehicle_key
 from spotflow.operators.quality import identified_only
 
 ORDER = ["ts", "id"]
 
 
-def spot_intervals(df: DataFrame, width: float = DAY) -> DataFrame:
+def spot_intervals(df: DataFrame, width: float = SLICE) -> DataFrame:
     """Every parked row with the next event of its spot (null if there is none)."""
     nxt = F.struct("ts", "type", "video")
     return (
@@ -33,7 +33,7 @@ def spot_intervals(df: DataFrame, width: float = DAY) -> DataFrame:
 
 
 def overstay(df: DataFrame, threshold_h: float = 5 / 60, include_open: bool = False, now=None,
-             width: float = DAY) -> DataFrame:
+             width: float = SLICE) -> DataFrame:
     """Stays that ended with ``empty`` and took longer than the threshold (hours).
 
     ``include_open`` adds vehicles still there, measured up to ``now``.
@@ -46,7 +46,7 @@ def overstay(df: DataFrame, threshold_h: float = 5 / 60, include_open: bool = Fa
     return stays.where(ended).withColumn("hours", hours).where(F.col("hours") > threshold_h)
 
 
-def understay(df: DataFrame, interval_s: float = 300, width: float = DAY) -> DataFrame:
+def understay(df: DataFrame, interval_s: float = 300, width: float = SLICE) -> DataFrame:
     """Vehicles that left within ``interval_s`` of their last entry.
 
     The exit must be later than the entry; of several exits after one entry

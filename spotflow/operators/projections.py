@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from spotflow.functions.columns import _c, two_places, vehicle_key
-from spotflow.operators.ordered import DAY, numbered
+from spotflow.operators.ordered import SLICE, numbered
 from spotflow.schema import EVENT_SCHEMA, WIRE_TIME
 
 
@@ -253,7 +253,7 @@ def topic_partition(*cols: str, partitions: int = 8) -> Column:
     return F.pmod(F.hash(*cols), F.lit(partitions)).cast("int")
 
 
-def synthetic_vehicle(df: DataFrame, order: list[str], width: float = DAY) -> DataFrame:
+def synthetic_vehicle(df: DataFrame, order: list[str], width: float = SLICE) -> DataFrame:
     """Give rows with an empty plate a made-up one, counted up per site and level.
 
     ``UNK-P-n`` for rows of a spot, ``UNK-M-n`` for the others; attributes UNKNOWN.

@@ -18,7 +18,7 @@ from spotflow.operators.assign import complete_linkage, min_cost_matching
 from spotflow.operators.graphs import chain_heads, connected_components
 from spotflow.operators.lineage import cut, python_groups
 from spotflow.operators.occupancy import SPOT_KEY, latest_per_key, spot_events
-from spotflow.operators.ordered import DAY, before, marked, numbered
+from spotflow.operators.ordered import SLICE, before, marked, numbered
 from spotflow.operators.regions import spread
 from spotflow.operators.tracks import heading
 
@@ -309,7 +309,7 @@ def set_table(groups: DataFrame, rows: DataFrame) -> DataFrame:
 # -- spots ------------------------------------------------------------------------------
 
 
-def departed_vehicle(df: DataFrame, width: float = DAY) -> DataFrame:
+def departed_vehicle(df: DataFrame, width: float = SLICE) -> DataFrame:
     """For each ``empty`` event the vehicle that leaves the spot.
 
     That is the first one parked there since the spot was last empty, now with
@@ -400,7 +400,7 @@ def _assign_block(pdf: pd.DataFrame, max_d: float) -> list[tuple]:
 
 def match_frames(rows: DataFrame, max_d: float = 20.0, carry_s: float = 3.0,
                  frame_s: float = 0.5, conflicts: DataFrame | None = None,
-                 width: float = DAY, carried: DataFrame | None = None) -> DataFrame:
+                 width: float = SLICE, carried: DataFrame | None = None) -> DataFrame:
     """Which row of an earlier frame is which row of a later one: (prev_id, id, …).
 
     Each frame is matched with the frame before it and with earlier rows that
@@ -481,7 +481,7 @@ def match_frames(rows: DataFrame, max_d: float = 20.0, carry_s: float = 3.0,
             return pairs
 
 
-def label_tracks(rows: DataFrame, pairs: DataFrame, width: float = DAY,
+def label_tracks(rows: DataFrame, pairs: DataFrame, width: float = SLICE,
                  carried: DataFrame | None = None, made: DataFrame | None = None) -> DataFrame:
     """Carry plate and object id along matched rows; adds ``track_id``, ``heading``, ``prev_id``.
 

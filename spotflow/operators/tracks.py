@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from spotflow.functions.columns import angle_rad, euclid
-from spotflow.operators.ordered import DAY, chunked, marked, numbered
+from spotflow.operators.ordered import SLICE, chunked, marked, numbered
 
 CHUNK = 10_000
 
@@ -24,7 +24,7 @@ def bounding_box(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def track_sessions(df: DataFrame, keys: list[str], gap_s: float = 6.0,
-                   width: float = DAY) -> DataFrame:
+                   width: float = SLICE) -> DataFrame:
     """Add ``track_start``: rows of a key belong together until a gap of ``gap_s``."""
     gap = int(gap_s * 1_000_000)
     keyed = df.where(" and ".join(f"`{k}` is not null" for k in keys))
@@ -38,7 +38,7 @@ def track_sessions(df: DataFrame, keys: list[str], gap_s: float = 6.0,
 
 
 def valid_tracks(df: DataFrame, keys: list[str] = ["sensor", "object_id"], gap_s: float = 6.0,
-                 min_s: float = 3.0, width: float = DAY) -> DataFrame:
+                 min_s: float = 3.0, width: float = SLICE) -> DataFrame:
     """Rows of the tracks that last longer than ``min_s``; shorter ones are noise."""
     rows = track_sessions(df, keys, gap_s, width)
     lasting = (
@@ -50,7 +50,7 @@ def valid_tracks(df: DataFrame, keys: list[str] = ["sensor", "object_id"], gap_s
 
 
 def smooth_track(df: DataFrame, keys: list[str], order: list[str] = ["ts", "id"],
-                 threshold: int = 100, width: float = DAY) -> DataFrame:
+                 threshold: int = 100, width: float = SLICE) -> DataFrame:
     """Points of each track in order (``seq`` from 0).
 
     A track of ``threshold`` points or more becomes its first point, the means
@@ -116,7 +116,7 @@ def track_speed(distance, duration):
 
 
 def track_summary(df: DataFrame, keys: list[str], threshold: int = 100,
-                  width: float = DAY) -> DataFrame:
+                  width: float = SLICE) -> DataFrame:
     """Distance, straight distance, duration and speed of each track."""
     along = track_distance(smooth_track(df, keys, threshold=threshold, width=width), keys)
     return along.join(track_duration(df, keys), keys).withColumn(
@@ -125,7 +125,7 @@ def track_summary(df: DataFrame, keys: list[str], threshold: int = 100,
 
 
 def heading(df: DataFrame, keys: list[str], order: list[str] = ["ts", "id"],
-            width: float = DAY, known: str | None = None) -> DataFrame:
+            width: float = SLICE, known: str | None = None) -> DataFrame:
     """Degrees [0, 360) from the previous position; kept while the vehicle stands.
 
     ``known``: a column with headings that are given, where not null.

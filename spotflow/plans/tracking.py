@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from spotflow.operators import tracking as tr
-from spotflow.operators.ordered import DAY
+from spotflow.operators.ordered import SLICE
 from spotflow.operators.projections import qualify_object_id
 from spotflow.operators.quality import classify_records, drop_reset
 from spotflow.operators.regions import ignore_flags, snap_to_roads
@@ -21,7 +21,7 @@ class TrackerConfig:
     carry_s: float = 3.0
     snap: bool = False
     snap_d: float = 20.0
-    slice_s: float = DAY
+    slice_s: float = SLICE
 
 
 @dataclass(frozen=True)
