@@ -167,8 +167,8 @@ def cluster_frame(d):
     return t.cluster_frame(_seen(d), NEAR, _cameras(d, 1, 0, 2)).select("id", "frame", "cluster")
 
 
-# Ids are linked here through positions on a fine grid that several vehicles pass.
-SETS = """i AS (SELECT DISTINCT object_id AS m, floor(x / 4) || ':' || floor(y / 4) AS g FROM d WHERE y < 4 AND x > 100),
+# Ids are linked here through places on a very fine grid which several vehicles passed.
+SETS = """i AS (SELECT DISTINCT object_id AS m, floor(x * 10) || ':' || y AS g FROM d),
 a AS (SELECT DISTINCT p.m AS u, q.m AS v FROM i p JOIN i q USING (g) WHERE p.m <> q.m)"""
 
 
@@ -178,8 +178,8 @@ r(m, root) USING KEY (m) AS (SELECT DISTINCT u, u FROM a UNION
 s AS (SELECT root, count(*) AS size FROM r GROUP BY root)
 SELECT m AS member, r.root, size FROM r JOIN s ON s.root = r.root""")
 def id_sets(d):
-    spot = F.concat_ws(":", F.floor(F.col("x") / 4), F.floor(F.col("y") / 4))
-    rows = d.where("y < 4 and x > 100").withColumn("cluster", spot)
+    spot = F.concat_ws(":", F.floor(F.col("x") * 10), "y")
+    rows = d.withColumn("cluster", spot)
     return t.id_sets(rows).select("member", "root", "size")
 
 
