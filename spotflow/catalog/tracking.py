@@ -150,14 +150,15 @@ def merge_attributes(d):
 
 
 @query("cluster_output", f"""WITH {{D}}, {GROUPED}, {MERGED},
-q AS (SELECT cluster, count(*) AS k, array_to_string(list_sort(list_distinct(list(object_id))), ',') AS ids,
+q AS (SELECT cluster, count(DISTINCT sensor) AS k, array_to_string(list_sort(list_distinct(list(object_id))), ',') AS ids,
   arg_max(x, (greatest(bbox_top, bbox_bottom), -epoch_us(ts))) AS px, arg_max(y, (greatest(bbox_top, bbox_bottom), -epoch_us(ts))) AS py FROM g GROUP BY cluster),
 w AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY
   CASE WHEN type IN ('entry', 'exit') THEN 0 WHEN video <> '' THEN 1 ELSE 2 END,
   CASE WHEN type IN ('entry', 'exit') OR video <> '' THEN '' ELSE (SELECT CASE WHEN h.n = 1 THEN h.o1 WHEN h.n = 0 THEN h.o0 ELSE g.object_id END FROM h WHERE h.cluster = g.cluster) END,
   CASE WHEN type IN ('entry', 'exit') OR video <> '' THEN -epoch_us(ts) ELSE epoch_us(ts) END) = 1)
-SELECT w.id, CASE WHEN n = 1 THEN p1 WHEN n = 0 THEN '' ELSE plate END AS license, ids, CASE WHEN k > 1 THEN px ELSE x END AS x, CASE WHEN k > 1 THEN py ELSE y END AS y
-FROM w JOIN h USING (cluster) JOIN q USING (cluster)""")
+SELECT w.id, CASE WHEN n = 1 THEN p1 WHEN n = 0 THEN '' ELSE plate END AS license, ids, px AS x, py AS y
+FROM w JOIN h USING (cluster) JOIN q USING (cluster) WHERE k > 1
+UNION ALL SELECT g.id, plate, object_id, x, y FROM g JOIN q USING (cluster) WHERE k = 1""")
 def cluster_output(d):
     return t.cluster_output(_grouped(d)).select("id", "license", F.array_join("ids", ",").alias("ids"), "x", "y")
 

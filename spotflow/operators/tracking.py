@@ -266,8 +266,8 @@ def cluster_output(df: DataFrame) -> DataFrame:
     attributes and the object ids of all members.
     """
     own = F.array("object_id").alias("ids")
-    cameras = df.groupBy("cluster").agg(F.count(F.lit(1)).alias("_n"))
-    several = cameras.where("_n > 1").select("cluster")
+    cameras = df.groupBy("cluster").agg(F.min("sensor").alias("_a"), F.max("sensor").alias("_b"))
+    several = cameras.where("_a <> _b").select("cluster")
     many = df.join(several, "cluster", "left_semi").select(*df.columns)
     alone = df.join(several, "cluster", "left_anti").select(*df.columns, own)
     rep = cluster_representative(merge_attributes(many))
