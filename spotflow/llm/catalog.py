@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -46,3 +47,15 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "n_removed", sha("kept_text").alias("kept_sha256")
     )
+
+
+@query("op6_exact_dedup", """
+WITH d AS (SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS h FROM documents)
+SELECT doc_id, max(doc_id) OVER (PARTITION BY h) AS keep_id, count(*) OVER (PARTITION BY h) AS group_size,
+       doc_id = max(doc_id) OVER (PARTITION BY h) AS kept, h AS text_sha256
+FROM d
+""")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spotflow.llm.exact_dedup import DigestIndex
+
+    return DigestIndex(spark, f"digests_{uuid.uuid4().hex}").decide(table(spark, sf_dir, "documents"), "documents")
