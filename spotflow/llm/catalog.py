@@ -59,3 +59,16 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     from spotflow.llm.exact_dedup import DigestIndex
 
     return DigestIndex(spark, f"digests_{uuid.uuid4().hex}").decide(table(spark, sf_dir, "documents"), "documents")
+
+
+@query("op4_byte_bpe")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from spotflow.llm.byte_bpe import encode
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN).select(
+        "doc_id", F.expr("octet_length(ids) div 4").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"), sha("decoded").alias("decoded_sha256"),
+    )
