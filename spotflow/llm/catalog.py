@@ -72,3 +72,20 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.expr("octet_length(ids) div 4").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"), sha("decoded").alias("decoded_sha256"),
     )
+
+
+def _joined(spans):
+    return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+
+
+@query("op10_secrets")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spotflow.llm.secrets import KINDS, scan
+
+    kinds = [k for k, *_ in KINDS]
+    base = F.filter("spans", lambda x: x["kind"].isin(kinds))
+    return scan(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        *[F.size(F.filter("spans", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in kinds],
+        F.sha2(_joined(base).cast("binary"), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"),
+    )
