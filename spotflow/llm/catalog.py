@@ -83,9 +83,22 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     from spotflow.llm.secrets import KINDS, scan
 
     kinds = [k for k, *_ in KINDS]
+
+    def of_kind(kind: str):
+        return lambda x: x["kind"] == kind
+
     base = F.filter("spans", lambda x: x["kind"].isin(kinds))
     return scan(table(spark, sf_dir, "documents")).select(
         "doc_id",
-        *[F.size(F.filter("spans", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in kinds],
+        *[F.size(F.filter("spans", of_kind(k))).cast("long").alias(f"n_{k}") for k in kinds],
         F.sha2(_joined(base).cast("binary"), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"),
     )
+
+
+@query("op5_simhash")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spotflow.llm.simhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents")).select(
+        "doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id"
+    )

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Odd multiplier of the rolling hashes (mod 2**64) and its inverse.
@@ -90,7 +91,7 @@ def runs(texts: list[bytes], most: int) -> Iterator[list[bytes]]:
 def batches(source: Iterator[pa.RecordBatch], most: int = 1 << 22, column: str = "text") -> Iterator[pa.RecordBatch]:
     """The same rows in batches whose texts take about so many bytes."""
     for batch in source:
-        size = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch[column]), 0), np.int64)
+        size = np.asarray(pc.fill_null(pc.binary_length(batch[column]), 0), np.int64)
         group = np.cumsum(size) // most
         edges = [0, *(np.flatnonzero(np.diff(group)) + 1), batch.num_rows]
         for a, b in zip(edges, edges[1:]):
@@ -100,7 +101,7 @@ def batches(source: Iterator[pa.RecordBatch], most: int = 1 << 22, column: str =
 
 def as_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     """UTF-8 bytes of each value; null gives none."""
-    return pa.compute.fill_null(column.cast(pa.binary()), b"").to_pylist()
+    return pc.fill_null(column.cast(pa.binary()), b"").to_pylist()
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -54,14 +54,17 @@ def _spans(text: Column, kind: str, pattern: str, keep) -> Column:
     return F.when(text.rlike(pattern), F.filter(made, lambda x: keep(x["value"]))).otherwise(none)
 
 
+def _long_enough(pattern: str, group: int, least: int):
+    return lambda v: F.char_length(F.regexp_extract(v, pattern, group)) >= least
+
+
 def base_spans(text: Column) -> Column:
     """Spans of the fixed patterns, by start and then by kind as listed."""
     parts = []
     for kind, pattern, group, least in KINDS:
         # a run of one class of characters: asking for its length finds the same matches
         fixed = pattern if group else f"{pattern[:-1]}{{{least - 4 if kind == 'access' else least},}}"
-        keep = (lambda v, p=pattern, g=group, n=least: F.char_length(F.regexp_extract(v, p, g)) >= n) if group else (lambda v: F.lit(True))
-        parts.append(_spans(text, kind, fixed, keep))
+        parts.append(_spans(text, kind, fixed, _long_enough(pattern, group, least) if group else lambda v: F.lit(True)))
     return in_order(F.concat(*parts))
 
 
