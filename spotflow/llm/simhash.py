@@ -2,7 +2,7 @@
 
 For radius r every bit position gets a random vector of r + 1 bits. Each of the
 2**(r+1) - 1 nonzero vectors v gives a mask: the positions whose vector is
-orthogonal to v. Two fingerprints that differ in r bits or fewer agree under at
+not orthogonal to v. Two fingerprints that differ in r bits or fewer agree under at
 least one mask, since r vectors cannot span r + 1 dimensions. So all pairs
 within the radius meet in some table; no link is lost.
 
@@ -56,7 +56,7 @@ def masks(radius: int, seed: int) -> list[int]:
     vectors = np.random.default_rng(seed).integers(0, 1 << (radius + 1), 64)
     out = []
     for v in range(1, 1 << (radius + 1)):
-        mask = sum(1 << i for i, x in enumerate(vectors.tolist()) if (v & x).bit_count() % 2 == 0)
+        mask = sum(1 << i for i, x in enumerate(vectors.tolist()) if (v & x).bit_count() % 2)
         out.append(mask - (1 << 64) if mask >> 63 else mask)
     return out
 
