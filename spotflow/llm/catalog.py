@@ -102,3 +102,15 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select(
         "doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+@query("op8_language_id")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from spotflow.llm.language_id import identify, train
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    model = train(docs.where(~held), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    return identify(docs.select("doc_id", "text"), model).select("doc_id", held.alias("held_out"), "lang_pred", "score")

@@ -3,8 +3,9 @@
 For radius r every bit position gets a random vector of r + 1 bits. Each of the
 2**(r+1) - 1 nonzero vectors v gives a mask: the positions whose vector is
 not orthogonal to v. Two fingerprints that differ in r bits or fewer agree under at
-least one mask, since r vectors cannot span r + 1 dimensions. So all pairs
-within the radius meet in some table; no link is lost.
+least one mask: r vectors cannot span r + 1 dimensions, so some v is orthogonal
+to all vectors where they differ. So all pairs within the radius meet in some
+table; no link is lost.
 
 Only distinct fingerprints take part, one row each. A bucket with too many of
 them is divided again by masks over the bits that its own mask left free, until
