@@ -114,3 +114,13 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
     model = train(docs.where(~held), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     return identify(docs.select("doc_id", "text"), model).select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
+@query("op7_main_text")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spotflow.llm.main_text import main_text, train
+
+    pages = table(spark, sf_dir, "pages")
+    return main_text(pages.select("page_id", "url", "html"), train(pages)).select(
+        "page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars")
+    )
