@@ -124,3 +124,10 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text(pages.select("page_id", "url", "html"), train(pages)).select(
         "page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars")
     )
+
+
+@query("op9_decontaminate")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spotflow.llm.decontaminate import leaks
+
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
