@@ -16,6 +16,8 @@ from __future__ import annotations
 import base64
 import codecs
 import gc
+import re
+import unicodedata
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from spotflow.llm.common import batches
 
 #: Encoded pieces, and states, that a worker remembers before it starts anew.
-PIECES, STATES = 600_000, 150_000
+PIECES, STATES = 1_000_000, 150_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -52,8 +54,8 @@ class Transducer:
         self.bytes_of = {r: t for t, r in ranks.items()}
         # trie nodes are prefixes of tokens
         prefixes = sorted({t[:n] for t in ranks for n in range(1, len(t) + 1)}, key=len)
-        self.nodes = {p: i for i, p in enumerate(prefixes, 1)}
-        self.text_of = [b"", *prefixes]
+        nodes = {b"": 0} | {p: i for i, p in enumerate(prefixes, 1)}
+        self.below = {nodes[p[:-1]] << 8 | p[-1]: nodes[p] for p in prefixes}  # node << 8 | byte -> node
         self.token_of = [None, *map(ranks.get, prefixes)]
         self._parts: dict[int, tuple[bytes, bytes] | None] = {}
         self._edges: dict[tuple[int, int], list] = {}
@@ -117,25 +119,29 @@ class Transducer:
         return known
 
     def _arrow(self, key: int) -> int:
-        byte = bytes((key & 255,))
-        open_, ended = [], None
+        byte, below, token_of = key & 255, self.below, self.token_of
+        ended = None
+        hypotheses = [None]
         for pending, node, last in self.states[key >> 8]:
-            to = self.nodes.get(self.text_of[node] + byte)
+            to = below.get(node << 8 | byte)
             if to is None:
                 continue
-            open_.append((pending, to, last))
-            token = self.token_of[to]
-            if ended is None and token is not None and self._may_follow(pending[-1] if pending else last, token):
-                ended = ((*pending, token), 0, last)
-        hypotheses = [ended, *open_]
+            hypotheses.append((pending, to, last))
+            if ended is None:
+                token = token_of[to]
+                if token is not None and self._may_follow(pending[-1] if pending else last, token):
+                    ended = hypotheses[0] = (*pending, token), 0, None
         n, first = 0, ended[0]  # what all agree on is written
-        while n < len(first) and all(len(p) > n and p[n] == first[n] for p, _, _ in open_):
-            n += 1
+        for n, token in enumerate(first):
+            if not all(len(h[0]) > n and h[0][n] == token for h in hypotheses):
+                break
+        else:
+            n = len(first)
         if n:
             self.writes[key] = first[:n]
             last = first[n - 1]
-            hypotheses = [(p[n:], node, last) for p, node, _ in hypotheses]
-        rest = tuple([(p, node, None if p else last) for p, node, last in hypotheses])
+            hypotheses = [(p[n:], node, None if len(p) > n else last) for p, node, _ in hypotheses]
+        rest = tuple(hypotheses)
         state = self.ids.get(rest)
         if state is None:
             state = self.ids[rest] = len(self.states)
@@ -177,6 +183,22 @@ class Pieces(dict):
         return ids
 
 
+def narrow(pattern: str, below: int = 0x250):
+    """The pattern for texts whose characters lie below a code point, for the faster ``re``.
+
+    \\p{L}, \\p{N} and white space become explicit classes, by the categories of
+    these characters.
+    """
+    kinds = {"L": "", "N": "", "s": "\\x09-\\x0d\\x20\\x85\\xa0"}
+    for c in map(chr, range(below)):
+        if (kind := unicodedata.category(c)[0]) in "LN":
+            kinds[kind] += c
+    for name, known in (("\\p{L}", kinds["L"]), ("\\p{N}", kinds["N"]), ("\\s", kinds["s"])):
+        pattern = re.sub(r"(\[[^\]]*?)" + re.escape(name), lambda m, k=known: m[1] + k, pattern)
+        pattern = pattern.replace(name, f"[{known}]")
+    return re.compile(pattern.replace("\\S", f"[^{kinds['s']}]")), re.compile(f"[\\x00-\\u{below - 1:04x}]*")
+
+
 class Codec:
     """Encodes texts piece by piece, as the pattern splits them, and decodes ids."""
 
@@ -184,7 +206,9 @@ class Codec:
         import regex
 
         ranks = read_ranks(rank_file)
-        self.split = regex.compile(pattern).findall
+        self.any_split = regex.compile(pattern).findall
+        few, all_few = narrow(pattern)
+        self.few_split, self.are_few = few.findall, all_few.fullmatch
         self.pieces = Pieces(Transducer(ranks))
         self.bytes_of = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
@@ -193,7 +217,8 @@ class Codec:
     def encode(self, text: str) -> bytes:
         if len(self.pieces) > PIECES:
             self.pieces.clear()
-        return b"".join(map(self.pieces.__getitem__, self.split(text)))
+        split = self.few_split if self.are_few(text) else self.any_split
+        return b"".join(map(self.pieces.__getitem__, split(text)))
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))

@@ -131,3 +131,12 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     from spotflow.llm.decontaminate import leaks
 
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op2_line_dedup")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spotflow.llm.line_dedup import line_dedup
+
+    return line_dedup(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_lines", "n_removed", sha("kept_text").alias("kept_sha256")
+    )
