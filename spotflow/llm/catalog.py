@@ -140,3 +140,14 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_lines", "n_removed", sha("kept_text").alias("kept_sha256")
     )
+
+
+@query("op3_context_tree")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spotflow.llm.context_tree import score
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
+    return score(docs, docs.where(~held)).select(
+        "doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes"
+    )
