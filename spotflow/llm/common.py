@@ -127,14 +127,15 @@ def total_chars(docs: DataFrame, column: str = "text") -> int:
     return docs.agg(F.coalesce(F.sum(F.octet_length(column)), F.lit(0))).first()[0]
 
 
-def blocked(docs: DataFrame, chars: int, most: int = 1 << 25) -> DataFrame:
+def blocked(docs: DataFrame, chars: int, most: int = 1 << 25, per_partition: int = 4) -> DataFrame:
     """Add ``_block``: consecutive ranges of doc_id with some megabytes of text each.
 
     Rows of one doc_id share a block; null counts as the smallest id. The bounds
-    are approximate quantiles of doc_id; only they reach the driver. A block
-    takes 2 MB at least and ``most`` bytes on average at most.
+    are approximate quantiles of doc_id; only they reach the driver. There are
+    ``per_partition`` blocks for each shuffle partition, of 2 MB at least and
+    ``most`` bytes at most, on average.
     """
-    size = min(max(1 << 21, chars // (4 * width(docs.sparkSession))), most)
+    size = min(max(1 << 21, chars // (per_partition * width(docs.sparkSession))), most)
     n = max(1, -(-chars // size))
     cuts = docs.select("doc_id").approxQuantile("doc_id", [i / n for i in range(1, n)], 0.2 / n) if n > 1 else []
     bounds = np.unique(np.asarray(cuts or [], np.float64)).astype(np.int64)

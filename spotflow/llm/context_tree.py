@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from spotflow.llm.common import as_bytes, batches, blocked, mix, stored, total_chars, width, word_hashes
+from spotflow.llm.common import as_bytes, batches, blocked, mix, runs, stored, total_chars, width, word_hashes
 
 #: Byte after the end of a text; it occurs in no UTF-8 text. Zeros stand before the start.
 END = b"\xff"
@@ -141,6 +141,23 @@ def _texts(table: pa.Table | pa.RecordBatch) -> list[bytes]:
     return [t.lower() for t in as_bytes(table["text"])]  # bytes: A-Z only
 
 
+def _distinct(texts: list[bytes], depth: int) -> list[np.ndarray]:
+    """Distinct strings and words of texts, in order."""
+    found = [np.zeros(0, np.uint64)] * 2
+    for part in runs(texts, 1 << 21):
+        for kind, keys in enumerate((strings(part, depth)[0], word_hashes(part)[0])):
+            found[kind] = tallied(np.concatenate([found[kind], tallied(keys)[0]]))[0]
+    return found
+
+
+def _looked_up(keys: np.ndarray, known: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """The value of each key; keys are asked for in order, which is kind to the cache."""
+    order = np.argsort(keys)
+    out = np.empty(len(keys), values.dtype)
+    out[order] = values[np.searchsorted(known, keys[order])]
+    return out
+
+
 def _dealt(keys: np.ndarray, of: np.ndarray, counts: np.ndarray | None = None):
     """(bucket, keys, counts) of each bucket; sorted keys stay sorted."""
     order = np.argsort(of, kind="stable")
@@ -239,16 +256,14 @@ def score(docs: DataFrame, training: DataFrame, depth: int = 5) -> DataFrame:
 
     tokens = ends + (counted.where(F.col("bucket") >= n).select("counts").mapInArrow(total, "n long").agg(F.sum("n")).first()[0] or 0)
     kinds = sizes + (ends > 0)
-    rows = blocked(docs, chars).select("_block", "doc_id", "text")
+    rows = blocked(docs, chars, per_partition=1).select("_block", "doc_id", "text")
 
     def in_order(table: pa.Table) -> pa.Table:
         return table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
 
     def send(table: pa.Table) -> pa.Table:
-        texts = _texts(table)
         out = []
-        for kind, keys in enumerate((strings(texts, depth)[0], word_hashes(texts)[0])):
-            keys = tallied(keys)[0]
+        for kind, keys in enumerate(_distinct(_texts(table), depth)):
             out += [(b, k) for b, k, _ in _dealt(keys, _buckets(kind, keys, depth, n))]
         return pa.table({
             "block": pa.array([table["_block"][0].as_py()] * len(out), pa.int32()),
@@ -278,35 +293,27 @@ def score(docs: DataFrame, training: DataFrame, depth: int = 5) -> DataFrame:
         texts = _texts(table)
         got = dict(zip(answers["bucket"].to_pylist(), answers["values"].to_pylist()))
 
-        def looked_up(kind: int, keys: np.ndarray, dtype) -> np.ndarray:
-            order = np.argsort(keys)
-            sorted_ = keys[order]
-            new = np.append(True, sorted_[1:] != sorted_[:-1])[:len(keys)]
-            distinct = sorted_[new]
-            of = _buckets(kind, distinct, depth, n)
-            value = np.zeros(len(distinct), dtype)
-            by = np.argsort(of, kind="stable")
-            if len(by):
-                value[by] = np.concatenate([np.frombuffer(got[int(b)], dtype) for b in np.unique(of)])
-            out = np.empty(len(keys), dtype)
-            out[order] = value[np.cumsum(new) - 1]
-            return out
-
-        keys, per_text = strings(texts, depth)
-        logs = looked_up(0, keys, np.float32)
-        del keys
-        words, per_doc = word_hashes(texts)
-        c = looked_up(1, words, np.int64)
-        doc = np.repeat(np.arange(len(texts)), per_doc)
+        known = []
+        for kind, (keys, dtype) in enumerate(zip(_distinct(texts, depth), (np.float32, np.int64))):
+            of = _buckets(kind, keys, depth, n)
+            values = np.zeros(len(keys), dtype)
+            if len(keys):
+                values[np.argsort(of, kind="stable")] = np.concatenate([np.frombuffer(got.pop(int(b)), dtype) for b in np.unique(of)])
+            known.append((keys, values))
         scale = np.log10(tokens + kinds + 1.0)
-        base = np.bincount(doc, np.log10(c + 1.0) - scale, len(texts)) + np.log10(ends + 1.0) - scale
-        known = np.bincount(doc, c > 0, len(texts)).astype(np.int64) + (ends > 0)
-        return pa.table({
-            "doc_id": table["doc_id"], "n_bytes": pa.array(per_text, pa.int64()),
-            "score": pa.array(np.bincount(np.repeat(np.arange(len(texts)), per_text), logs, len(texts))),
-            "n_tokens": pa.array(per_doc + 1, pa.int64()), "n_known": pa.array(known, pa.int64()),
-            "train_tokens": pa.array([tokens] * len(texts), pa.int64()), "base_score": pa.array(base),
-        })
+        out = []
+        for part in runs(texts, 1 << 21):
+            keys, places = strings(part, depth)
+            logs = _looked_up(keys, *known[0])
+            words, per_doc = word_hashes(part)
+            c = _looked_up(words, *known[1])
+            text, doc = np.repeat(np.arange(len(part)), places), np.repeat(np.arange(len(part)), per_doc)
+            out.append((
+                places, np.bincount(text, logs, len(part)), per_doc + 1, np.bincount(doc, c > 0, len(part)).astype(np.int64) + (ends > 0),
+                np.full(len(part), tokens), np.bincount(doc, np.log10(c + 1.0) - scale, len(part)) + np.log10(ends + 1.0) - scale,
+            ))
+        names = ("n_bytes", "score", "n_tokens", "n_known", "train_tokens", "base_score")
+        return pa.table({"doc_id": table["doc_id"]} | {name: pa.array(np.concatenate(x)) for name, x in zip(names, zip(*out))})
 
     asked = rows.groupBy("_block").applyInArrow(send, "block int, bucket int, asked binary")
     answers = asked.groupBy("bucket").cogroup(counted.groupBy("bucket")).applyInArrow(answer, "block int, bucket int, values binary")
