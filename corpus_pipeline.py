@@ -1,17 +1,65 @@
-"""From raw documents to encoded training text, stage by stage."""
+"""From raw documents to encoded training text, stage by stage.
+
+Every stage takes what the one before kept and returns whole rows; the last one
+adds the token ids.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from uuid import uuid4
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from spotflow.llm import byte_bpe, decontaminate, exact_dedup, language_id, simhash
+from spotflow.llm.common import stored
+
+RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which a language can be told; the model learns from those that name theirs."""
+    model = language_id.train(docs, RANKS)
+    return language_id.identify(docs, model).where("lang_pred <> 'und'").select(*docs.columns)
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each text, the one with the largest doc_id; the index is new in each run."""
+    return exact_dedup.DigestIndex(spark, f"digests_{uuid4().hex}").keep(docs, "documents")
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return simhash.keep_one(docs)
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids (little-endian unsigned 32-bit), their number, and whether they decode to the text."""
+    return byte_bpe.encode(docs, RANKS, public_tokenizers.PATTERN).select(
+        *docs.columns, "ids", F.expr("octet_length(ids) div 4").alias("n_tokens"),
+        (F.coalesce("text", F.lit("")) == F.col("decoded")).alias("same_text"),
+    )
+
 
-STAGES: list = []
+STAGES = [
+    ("language ID", language), ("exact dedup", exact), ("SimHash near-dedup", near),
+    ("benchmark decontamination", benchmark), ("byte-level BPE", encode),
+]
 
 #: Segmentation models, fingerprints, latent vectors and merges are beyond SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the whole ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = stored(docs)
     return docs

@@ -42,14 +42,16 @@ def fingerprint(text: bytes, size: int) -> int:
 
 
 def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
-    """(doc_id, text) → doc_id, fingerprint as a signed long. A null text has no words."""
+    """(doc_id, text) → doc_id, text_hash, fingerprint as a signed long. A null text has no words."""
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(source):
             made = np.array([fingerprint(t, size) for t in as_bytes(batch["text"])], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(made)], names=["doc_id", "fingerprint"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["text_hash"], pa.array(made)], names=["doc_id", "text_hash", "fingerprint"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fingerprint long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash")).mapInArrow(
+        run, "doc_id long, text_hash long, fingerprint long"
+    )
 
 
 def masks(radius: int, seed: int) -> list[int]:
@@ -116,7 +118,7 @@ def links(prints: DataFrame, radius: int = 3, most: int = 2048) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, radius: int = 3, size: int = 3) -> DataFrame:
-    """(doc_id, text) → doc_id, fingerprint, component_id; one row for each row.
+    """(doc_id, text) → doc_id, text_hash, fingerprint, component_id; one row for each row.
 
     ``fingerprint`` is a signed long, ``component_id`` the smallest doc_id that
     links reach, a link being ``radius`` differing bits or fewer. Texts without
@@ -128,7 +130,7 @@ def near_duplicates(docs: DataFrame, radius: int = 3, size: int = 3) -> DataFram
 
 
 def components(prints: DataFrame, radius: int = 3) -> DataFrame:
-    """(doc_id, fingerprint) → doc_id, fingerprint, component_id."""
+    """(doc_id, fingerprint) → the same columns and component_id."""
     one = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first")).select("fingerprint", "first")
     # a fingerprint is its own id among links; only at the end doc_ids take part
     one = stored(one)
@@ -137,4 +139,15 @@ def components(prints: DataFrame, radius: int = 3) -> DataFrame:
     rooted = one.join(roots, "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     classes = rooted.join(least, "root").select("fingerprint", "component_id")
-    return prints.join(classes, "fingerprint").select("doc_id", "fingerprint", "component_id")
+    return prints.join(classes, "fingerprint").select(*prints.columns, "component_id")
+
+
+def keep_one(docs: DataFrame, radius: int = 3, size: int = 3) -> DataFrame:
+    """The whole rows that stay: of each component the one of smallest doc_id (null last), then smallest text hash.
+
+    Rows alike in doc_id and text stay or go together.
+    """
+    found = near_duplicates(docs, radius, size)
+    group = F.struct(F.col("component_id").isNull().alias("n"), "component_id")
+    stays = found.groupBy(group.alias("g")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"))).alias("s"))
+    return docs.join(stays.select("s._d", "s._h"), F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & F.xxhash64("text").eqNullSafe(F.col("_h")), "left_semi")
