@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 
 
@@ -68,3 +70,80 @@ def min_cost_matching(cost: np.ndarray) -> list[tuple[int, int]]:
             owner[col] = owner[prev] if prev >= 0 else row
             col = prev
     return sorted((int(owner[c]), c) for c in range(m) if owner[c] >= 0)
+
+
+def near_pairs(ax, ay, bx, by, limit: float):
+    """(i, j, distance) of points of two sets within the limit; only points near in x are compared."""
+    order = np.argsort(bx, kind="stable")
+    lo = np.searchsorted(bx[order], ax - limit, side="left")
+    n = np.searchsorted(bx[order], ax + limit, side="right") - lo
+    i = np.repeat(np.arange(len(ax)), n)
+    j = order[np.repeat(lo, n) + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)]
+    d = np.hypot(ax[i] - bx[j], ay[i] - by[j])
+    ok = d <= limit
+    return zip(i[ok].tolist(), j[ok].tolist(), d[ok].tolist())
+
+
+def farthest(ax, ay, bx, by) -> float:
+    """The largest distance between points of two sets, a few rows of distances at a time."""
+    step = max(1, (1 << 20) // max(1, len(bx)))
+    return max(
+        float(np.hypot(ax[k:k + step, None] - bx, ay[k:k + step, None] - by).max()) for k in range(0, len(ax), step)
+    )
+
+
+def best_pairing(options: list[list[tuple[int, float]]], alone: float) -> list[tuple[int, int]]:
+    """One-to-one pairs (row, column) of least total cost, a row without partner costing ``alone``.
+
+    ``options[row]`` lists (column, cost) of the pairs allowed. Rows enter one by
+    one; each looks for the cheapest chain of exchanges, by Dijkstra's search
+    over costs that potentials keep from being negative. Rows that share no
+    chain of options never meet, so separate groups are solved separately.
+    """
+    row_pot = [0.0] * len(options)
+    col_pot: dict[int, float] = {}
+    owner: dict[int, int] = {}
+    partner: dict[int, int] = {}
+    for start in range(len(options)):
+        dist: dict[int, float] = {}
+        via: dict[int, int] = {}
+        done: set[int] = set()
+        heap: list[tuple[float, int]] = []
+        base, row = 0.0, start
+        stop, stop_row = float("inf"), start
+        while True:
+            if base + alone - row_pot[row] < stop:
+                stop, stop_row = base + alone - row_pot[row], row
+            for col, cost in options[row]:
+                d = base + cost - row_pot[row] - col_pot.get(col, 0.0)
+                if col not in done and d < dist.get(col, stop):
+                    dist[col], via[col] = d, row
+                    heapq.heappush(heap, (d, col))
+            while heap and (heap[0][1] in done or heap[0][0] > dist[heap[0][1]]):
+                heapq.heappop(heap)
+            if not heap or heap[0][0] >= stop:
+                end = None
+                break
+            base, col = heapq.heappop(heap)
+            if col not in owner:
+                stop, end = base, col
+                break
+            done.add(col)
+            row = owner[col]
+        row_pot[start] += stop
+        for col in done:
+            row_pot[owner[col]] += stop - dist[col]
+            col_pot[col] = col_pot.get(col, 0.0) - (stop - dist[col])
+        if end is None:  # some row on the way stays alone
+            if stop_row == start:
+                continue
+            end = partner.pop(stop_row)
+        while True:  # hand the columns on, back to the new row
+            row = via[end]
+            owner[end] = row
+            before = partner.get(row)
+            partner[row] = end
+            if row == start:
+                break
+            end = before
+    return sorted(partner.items())

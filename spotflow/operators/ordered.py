@@ -8,12 +8,14 @@ third of all rows is thus spread over as many tasks as it has slices, and the
 answer is the same as that of the plain window.
 
 Rows are ordered by ``order``: a timestamp first, then columns that break ties.
-Key columns must not be null.
+Null is a key value like any other, and rows without a time come first, all in
+one slice; the answers are those of the plain window at any width.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -29,6 +31,18 @@ def _sliced(df: DataFrame, order: list[str], width: float) -> DataFrame:
     return df.withColumn("_slice", F.floor(F.unix_micros(_c(order[0])) / micros).cast("long"))
 
 
+def null_safe(left: DataFrame, right: DataFrame, on: list[str]) -> tuple[DataFrame, Column]:
+    """The right side with its ``on`` columns renamed, and the condition that joins null with null."""
+    named = right.withColumnsRenamed({c: f"_on_{c}" for c in on})
+    return named, reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_on_{c}")) for c in on])
+
+
+def _with_summary(rows: DataFrame, summary: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows with the columns of their (key, slice) summary, null keys and slices included."""
+    right, same = null_safe(rows, summary, [*keys, "_slice"])
+    return rows.join(right, same, "left")
+
+
 def _look(df, keys, order, exprs, width, ahead) -> DataFrame:
     base = _sliced(df, order, width)
     for name, expr in exprs.items():
@@ -62,7 +76,7 @@ def _look(df, keys, order, exprs, width, ahead) -> DataFrame:
         "_slice",
         *[F.last(f"_v_{n}", ignorenulls=True).over(within).alias(f"_l_{n}") for n in exprs],
     )
-    return local.join(carried, [*keys, "_slice"], "left").select(
+    return _with_summary(local, carried, keys).select(
         *df.columns, *[F.coalesce(f"_l_{n}", f"_c_{n}").alias(n) for n in exprs]
     )
 
@@ -120,7 +134,7 @@ def marked(df: DataFrame, keys: list[str], order: list[str], prev: Column,
     local = stepped.select(
         *df.columns, "_slice", "_m_first", "_m_local", F.last("_m_mark", ignorenulls=True).over(upto).alias("_m_seen")
     )
-    return local.join(carried, [*keys, "_slice"], "left").select(
+    return _with_summary(local, carried, keys).select(
         *df.columns,
         F.when(F.col("_m_first"), F.col("_m_before")).otherwise(F.col("_m_local")).alias("before"),
         F.coalesce("_m_seen", "_m_carry").alias("last_mark"),
@@ -140,7 +154,7 @@ def numbered(df: DataFrame, keys: list[str], order: list[str], name: str = "n",
     local = base.withColumn(
         "_rn", F.row_number().over(W.partitionBy(*keys, "_slice").orderBy(*order))
     )
-    return local.join(offsets, [*keys, "_slice"]).select(
+    return _with_summary(local, offsets, keys).select(
         *df.columns,
         (F.col("_rn") + F.col("_offset")).alias(name),
         *([total] if total else []),

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from spotflow.functions.columns import as_ts, camera_point, cell, euclid
-from spotflow.operators.assign import complete_linkage, min_cost_matching
+from spotflow.operators.assign import best_pairing, complete_linkage, farthest, near_pairs
 from spotflow.operators.graphs import chain_heads, connected_components
 from spotflow.operators.lineage import cut, python_groups
 from spotflow.operators.occupancy import SPOT_KEY, latest_per_key, spot_events
@@ -350,26 +350,31 @@ def _conflict_lists(rows: DataFrame, conflicts: DataFrame | None) -> DataFrame:
 
 
 def _assign(old: dict, new: dict, max_d: float) -> list[tuple]:
-    """(earlier id, later id, distance) of one frame's optimal assignment."""
-    d = np.hypot(old["x"][:, None] - new["x"][None, :], old["y"][:, None] - new["y"][None, :])
-    cost = d.copy()
-    at: dict = {}
+    """(earlier id, later id, distance) of one frame.
+
+    Only pairs that may be one vehicle are looked at: near ones, and those with
+    a common id. A pair saves the more the closer it is, measured against the
+    farthest distance in the frame; the pairing that saves most is taken.
+    """
+    pairs: dict[tuple[int, int], float] = {}
+    for i, j, d in near_pairs(old["x"], old["y"], new["x"], new["y"], max_d):
+        pairs[i, j] = d
+    seen: dict = {}
     for i, ids in enumerate(old["ids"]):
         for v in ids:
-            at.setdefault(v, []).append(i)
+            seen.setdefault(v, []).append(i)
     for j, ids in enumerate(new["ids"]):
-        for v in ids:
-            if v in at:
-                cost[at[v], j] = 0.0
-    top = max(cost.max(), 1.1 * max_d)
-    cost[cost > max_d] = top
-    for i, barred in enumerate(old["conflicts"]):
-        if barred is not None and len(barred):
-            cost[i, np.isin(new["sensor"], barred)] = top
-    if cost.min() > max_d:
-        return []
-    pairs = min_cost_matching(cost**2)
-    return [(old["id"][i], new["id"][j], float(d[i, j])) for i, j in pairs if cost[i, j] <= max_d]
+        pairs |= {(i, j): 0.0 for v in ids for i in seen.get(v, ())}
+    options: list[list] = [[] for _ in old["id"]]
+    for (i, j), cost in pairs.items():
+        barred = old["conflicts"][i]
+        if barred is None or new["sensor"][j] not in barred:
+            options[i].append((j, cost**2))
+    alone = max(farthest(old["x"], old["y"], new["x"], new["y"]), 1.1 * max_d) ** 2
+    return [
+        (old["id"][i], new["id"][j], float(np.hypot(old["x"][i] - new["x"][j], old["y"][i] - new["y"][j])))
+        for i, j in best_pairing(options, alone)
+    ]
 
 
 # Consecutive frames that one call of the Python function works through.

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from spotflow.functions.columns import angle_rad, euclid
-from spotflow.operators.ordered import SLICE, chunked, marked, numbered
+from spotflow.operators.ordered import SLICE, chunked, marked, null_safe, numbered
 
 CHUNK = 10_000
 
@@ -27,13 +27,12 @@ def track_sessions(df: DataFrame, keys: list[str], gap_s: float = 6.0,
                    width: float = SLICE) -> DataFrame:
     """Add ``track_start``: rows of a key belong together until a gap of ``gap_s``."""
     gap = int(gap_s * 1_000_000)
-    keyed = df.where(" and ".join(f"`{k}` is not null" for k in keys))
 
     def opens(get, before):
         late = F.unix_micros(get("ts")) - F.unix_micros(before) >= gap
         return F.when(before.isNull() | late, get("ts"))
 
-    rows = marked(keyed, keys, ["ts", "id"], F.col("ts"), opens, ["ts"], width)
+    rows = marked(df, keys, ["ts", "id"], F.col("ts"), opens, ["ts"], width)
     return rows.select(*df.columns, F.col("last_mark").alias("track_start"))
 
 
@@ -46,7 +45,7 @@ def valid_tracks(df: DataFrame, keys: list[str] = ["sensor", "object_id"], gap_s
         .agg(F.max("ts").alias("_end"))
         .where(F.unix_micros("_end") - F.unix_micros("track_start") > int(min_s * 1_000_000))
     )
-    return rows.join(lasting, [*keys, "track_start"], "left_semi")
+    return rows.join(*null_safe(rows, lasting, [*keys, "track_start"]), "left_semi")
 
 
 def smooth_track(df: DataFrame, keys: list[str], order: list[str] = ["ts", "id"],
@@ -119,7 +118,9 @@ def track_summary(df: DataFrame, keys: list[str], threshold: int = 100,
                   width: float = SLICE) -> DataFrame:
     """Distance, straight distance, duration and speed of each track."""
     along = track_distance(smooth_track(df, keys, threshold=threshold, width=width), keys)
-    return along.join(track_duration(df, keys), keys).withColumn(
+    lasted = track_duration(df, keys)
+    other, same = null_safe(along, lasted, keys)
+    return along.join(other, same).select(*along.columns, "duration").withColumn(
         "speed", track_speed(F.col("distance"), F.col("duration"))
     )
 
