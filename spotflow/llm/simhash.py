@@ -150,4 +150,6 @@ def keep_one(docs: DataFrame, radius: int = 3, size: int = 3) -> DataFrame:
     found = near_duplicates(docs, radius, size)
     group = F.struct(F.col("component_id").isNull().alias("n"), "component_id")
     stays = found.groupBy(group.alias("g")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"))).alias("s"))
-    return docs.join(stays.select("s._d", "s._h"), F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & F.xxhash64("text").eqNullSafe(F.col("_h")), "left_semi")
+    stays = stays.select("s._d", "s._h")
+    same = docs["doc_id"].cast("long").eqNullSafe(stays["_d"]) & F.xxhash64(docs["text"]).eqNullSafe(stays["_h"])
+    return docs.join(stays, same, "left_semi")
