@@ -26,8 +26,8 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from spotflow.llm.common import batches
 
-#: Encoded pieces, and states, that a worker remembers before it starts anew (about 400 MB when full).
-PIECES, STATES = 1_000_000, 150_000
+#: Encoded pieces, and states, that a worker remembers before it starts anew (about 200 MB when full).
+PIECES, STATES = 400_000, 100_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:

@@ -61,14 +61,14 @@ def tokens(page: str) -> Iterator[tuple[str, str, bool]]:
                 yield "", m[0], bool(skipped)
             continue
         if m[1]:
-            names = [n for n, _ in open_]
+            names, within = [n for n, _ in open_], bool(skipped)
             if name in names:
                 while True:
                     n, outside = open_.pop()
                     skipped -= outside
                     if n == name:
                         break
-            yield "/" + name, "", bool(skipped)
+            yield "/" + name, "", within
             continue
         if name in ARTICLE and not seen:  # the first one is no comment
             open_, skipped, seen = [(n, False) for n, _ in open_], 0, True

@@ -92,7 +92,8 @@ def labelled(docs: DataFrame, least_docs: int = 20_000) -> DataFrame:
 
     Words are taken from about ``least_docs`` documents, chosen by a hash of
     doc_id; secrets are taken from all documents among these and have a label
-    by the fixed patterns.
+    by the fixed patterns. Long tokens with digits that no pattern marks have
+    no label: they are what the models will judge.
     """
     n = docs.count()
     modulus = max(1, n // least_docs)
@@ -105,25 +106,28 @@ def labelled(docs: DataFrame, least_docs: int = 20_000) -> DataFrame:
     ).where(F.length("token") >= 12)
     word = spans.where(F.size("spans") == 0).select(
         F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))).alias("token"), F.lit(False).alias("random")
-    )
+    ).where((F.length("token") < 20) | ~F.col("token").rlike("[0-9]"))
     return secret.union(word)
 
 
-def train(docs: DataFrame, least_docs: int = 20_000, smoothing: float = 0.5) -> list[float]:
+def train(docs: DataFrame, least_docs: int = 20_000, weight: float = 8.0) -> list[float]:
     """Log-likelihood ratios of all transitions (a, b) at a * (SIZE + 1) + b; 4,624 numbers.
 
-    Additive smoothing keeps an unseen transition possible. Without any
-    labelled secret the random strings are uniform.
+    A transition's chance leans on how frequent its second character is, with
+    the weight of ``weight`` observations, so one that training never saw stays
+    possible. Without any labelled secret the random strings are uniform.
     """
     counts = {(r.random, r.a, r.b): r.n for r in transitions(labelled(docs, least_docs)).collect()}
     side = SIZE + 1
-    out = [0.0] * (side * side)
-    for a in range(side):
-        total = {k: sum(counts.get((k, a, b), 0) for b in range(1, side)) for k in (True, False)}
-        for b in range(1, side):
-            p, q = ((counts.get((k, a, b), 0) + smoothing) / (total[k] + smoothing * SIZE) for k in (True, False))
-            out[a * side + b] = math.log(p / q)
-    return out
+    logs = {}
+    for kind in (True, False):
+        n = [[counts.get((kind, a, b), 0) for b in range(side)] for a in range(side)]
+        total = sum(map(sum, n))
+        each = [(sum(row[b] for row in n) + 0.5) / (total + 0.5 * SIZE) for b in range(side)]
+        logs[kind] = [
+            math.log((n[a][b] + weight * each[b]) / (sum(n[a]) + weight)) if b else 0.0 for a in range(side) for b in range(side)
+        ]
+    return [p - q for p, q in zip(logs[True], logs[False])]
 
 
 def ratio(token: Column, table: Column) -> Column:
