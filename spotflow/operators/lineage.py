@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the session names in ``spark.checkpoint.dir``.
+    """The folder the session names in ``spark.checkpoint.dir``, which all executors share.
 
-    Only where that is unset (a local test) a temporary folder is used.
+    Where that is unset, a folder of the warehouse, which they share as well.
+    A session that sets ``spark.cleaner.referenceTracking.cleanCheckpoints``
+    has the files of a step removed once nothing refers to it.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spotflow-"))
+        sc.setCheckpointDir(named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_steps")
     return sc.getCheckpointDir()
 
 

@@ -115,8 +115,8 @@ def monthly(df: DataFrame, kind: str, ts: str = "ts") -> DataFrame:
 
 def distinct_anomalies(df: DataFrame, ts: str = "ts", kind: str = "type",
                        who: str = "license") -> DataFrame:
-    """One row per fingerprint of (time, type, vehicle): re-sent anomalies collapse."""
+    """One row per fingerprint of (time, type, vehicle): of re-sent anomalies the last by time and id stays."""
     text = F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
-    return df.withColumn("fingerprint", fingerprint(text, kind, who)).dropDuplicates(
-        ["fingerprint"]
-    )
+    rank = F.struct(ts, *[c for c in ("id",) if c in df.columns])
+    marked = df.withColumn("fingerprint", fingerprint(text, kind, who))
+    return marked.groupBy("fingerprint").agg(F.max_by(F.struct(*df.columns), rank).alias("_r")).select("_r.*", "fingerprint")

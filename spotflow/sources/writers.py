@@ -19,7 +19,7 @@ def messages(df: DataFrame, key: Column) -> DataFrame:
 
 def write_table(df: DataFrame, path: str, batch: int = 0, by: tuple[str, ...] = ()) -> None:
     """Write one batch of a table, replacing what an earlier run of the batch left."""
-    parts = ["batch", *by]
+    parts = [*by, "batch"]
     (
         df.withColumn("batch", F.lit(batch).cast("long"))
         .write.partitionBy(*parts)
@@ -92,14 +92,34 @@ def upsert_spot_state(df: DataFrame, path: str, batch: int = 0) -> None:
     write_table(occupancy.spot_state(df), path, batch)
 
 
+# What makes two rows of a table one row, whatever batch they came in.
+TABLE_KEYS = {
+    "spot_state": occupancy.SPOT_KEY,
+    "spot_history": [*occupancy.SPOT_KEY, "sensor", "ts"],
+    "aisle": ["messageid", "ts", "object_id"],
+    "anomalies": ["fingerprint"],
+}
+
+
+def read_table(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """Rows of a table, one per key: that of the last batch which had it."""
+    rows = spark.read.parquet(path)
+    order = ["batch", *[c for c in ("ts", "id") if c in rows.columns and c not in TABLE_KEYS[kind]]]
+    return occupancy.latest_per_key(rows, TABLE_KEYS[kind], order)
+
+
+def compact(spark: SparkSession, path: str, target: str, kind: str, by: tuple[str, ...] = (), batch: int = 0) -> None:
+    """Write what a table says now as the only batch of a new table."""
+    write_table(read_table(spark, path, kind).drop("batch"), target, batch, by)
+
+
 def read_spot_state(spark: SparkSession, path: str) -> DataFrame:
     """Current row per spot: that of the last batch which had one."""
-    return occupancy.latest_per_key(spark.read.parquet(path), occupancy.SPOT_KEY, ["batch", "ts", "id"])
+    return read_table(spark, path, "spot_state")
 
 
 def compact_spot_state(spark: SparkSession, path: str, target: str, batch: int = 0) -> None:
-    """Write the current state as the only batch of a new table."""
-    write_table(read_spot_state(spark, path).drop("batch"), target, batch)
+    compact(spark, path, target, "spot_state", batch=batch)
 
 
 def without_spot(df: DataFrame) -> DataFrame:

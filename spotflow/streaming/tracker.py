@@ -21,10 +21,20 @@ from spotflow.streaming.jobs import StreamRun
 
 
 def _before(spark: SparkSession, path: str, batch: int) -> DataFrame | None:
-    """What the last batch before this one left in a table, if there is any."""
+    """What the last batch before this one left in a table, if there is any.
+
+    That is nearly always the batch just before; only if that left nothing is the table searched.
+    """
+    try:
+        return spark.read.parquet(f"{path}/batch={batch - 1}")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
     try:
         table = spark.read.parquet(path)
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
     last = table.where(F.col("batch") < batch).agg(F.max("batch")).first()[0]
     return None if last is None else table.where(F.col("batch") == last).drop("batch")

@@ -20,8 +20,33 @@ def skewed(spark):
     return spark.createDataFrame(data, "id long, k string, ts timestamp, v long").cache()
 
 
+@pytest.fixture(scope="module")
+def holey(spark):
+    """Null keys and null times among the others."""
+    rng = random.Random(2)
+    t0 = dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)
+    data = [
+        (i, rng.choice(["a", None]), rng.choice(["x", "y", None]), None if i % 17 == 0 else t0 + dt.timedelta(seconds=rng.randrange(4000)), rng.choice([None, 1, 2]))
+        for i in range(400)
+    ]
+    return spark.createDataFrame(data, "id long, k string, l string, ts timestamp, v long").cache()
+
+
+@pytest.mark.parametrize("width", [1, 300, 86_400])
+def test_null_keys_and_times(holey, width):
+    keys, order = ["k", "l"], ["ts", "id"]
+    w = W.partitionBy(*keys).orderBy(*order)
+    part = F.when(F.col("v") == 2, F.col("id"))
+    back = w.rowsBetween(W.unboundedPreceding, -1)
+    _same(before(holey, keys, order, {"p": F.col("id"), "q": part}, width),
+          holey.select("*", F.lag("id").over(w).alias("p"), F.last(part, True).over(back).alias("q")))
+    _same(after(holey, keys, order, {"p": F.col("id")}, width), holey.select("*", F.lead("id").over(w).alias("p")))
+    _same(numbered(holey, keys, order, "n", "total", width),
+          holey.select("*", F.row_number().over(w).cast("long").alias("n"), F.count("id").over(W.partitionBy(*keys)).alias("total")))
+
+
 def _same(a, b):
-    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+    assert sorted(map(repr, map(tuple, a.collect()))) == sorted(map(repr, map(tuple, b.collect())))
 
 
 @pytest.mark.parametrize("width", [600, 3600, 10**9])

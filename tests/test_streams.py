@@ -189,3 +189,17 @@ def test_scene_fold_is_the_visible_scene(rows):
     assert table(scene.visible(df, t), "object_id", "state") == [("n", "moving"), ("p", "parked")]
     gone = scene.scene_delta(df, "2024-01-01 12:00:05", "2024-01-01 12:00:06")
     assert table(gone, "object_id", "removed") == [("m", "1")]
+
+
+def test_a_row_sent_again_in_another_batch_is_one_row(spark, rows, tmp_path):
+    df = rows({"s": 1, "type": "parked", "spot": "PS-1"}, {"s": 2, "type": "empty", "spot": "PS-1"}, {"s": 3, "spot": None})
+    path = str(tmp_path)
+    for batch in (0, 1):
+        writers.append_spot_history(df, f"{path}/history", batch)
+        writers.append_aisle(df, f"{path}/aisle", batch)
+        writers.write_monthly_index(df.select("id", "ts", "type", "license"), f"{path}/index", "anomaly", batch, distinct=True)
+    for table, kind, n in (("history", "spot_history", 2), ("aisle", "aisle", 1), ("index", "anomalies", 3)):
+        assert spark.read.parquet(f"{path}/{table}").count() == 2 * n
+        assert writers.read_table(spark, f"{path}/{table}", kind).count() == n
+        writers.compact(spark, f"{path}/{table}", f"{path}/{table}-now", kind)
+        assert spark.read.parquet(f"{path}/{table}-now").count() == n
