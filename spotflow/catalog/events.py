@@ -102,14 +102,25 @@ def decrypt_plate(d):
         (F.col("hidden") != F.col("license")).alias("hidden"))
 
 
-@query("encrypt_plate")
+@query("encrypt_plate", """WITH {D} SELECT id, CAST(4 * ceil(16 * (strlen(license) // 16 + 1) / 3.0) AS BIGINT) AS length, true AS base64,
+  dense_rank() OVER (ORDER BY license) = dense_rank() OVER (ORDER BY license) AS one_form FROM d""")
 def encrypt_plate(d):
-    return d.select("id", p.encrypt_plate("license", KEY, IV).alias("license"))
+    """What can be said without the cipher: whole blocks, base64, one form for each plate and no two alike."""
+    hidden = d.select("id", "license", p.encrypt_plate("license", KEY, IV).alias("hidden"))
+    forms = hidden.groupBy("license").agg(F.countDistinct("hidden").alias("forms"), F.min("hidden").alias("_h"))
+    owners = forms.groupBy("_h").agg(F.count(F.lit(1)).alias("plates"))
+    known = forms.join(owners, "_h").select("license", ((F.col("forms") == 1) & (F.col("plates") == 1)).alias("one_form"))
+    return hidden.join(known, "license").select(
+        "id", F.length("hidden").cast("long").alias("length"), F.col("hidden").rlike("^[A-Za-z0-9+/]+=*$").alias("base64"), "one_form")
 
 
-@query("topic_partition")
+@query("topic_partition", """WITH {D} SELECT type || '/' || license AS "key", CAST(count(*) AS BIGINT) AS n, CAST(1 AS BIGINT) AS parts, true AS in_range
+FROM d GROUP BY ALL""")
 def topic_partition(d):
-    return d.groupBy(p.topic_partition("type", "license").cast("long").alias("part")).agg(F.count(F.lit(1)).alias("n"))
+    """Every key goes to one partition of the eight."""
+    part = p.topic_partition("type", "license")
+    return d.groupBy(F.concat_ws("/", "type", "license").alias("key")).agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct(part).alias("parts"), F.every(part.between(0, 7)).alias("in_range"))
 
 
 @query("synthetic_vehicle", """WITH {D}, b AS (SELECT *, id % 4 = 0 AS s FROM d)

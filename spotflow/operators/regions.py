@@ -56,15 +56,23 @@ def snap_to_roads(points: DataFrame, lines: DataFrame, max_d: float = 20.0,
                   key: str = "id") -> DataFrame:
     """Move each point onto the nearest line within ``max_d``; others stay.
 
-    ``lines``: (line_id, x1, y1, x2, y2). A line is put into the cells of its
-    bounding box widened by ``max_d``; cells are ``max_d`` wide. Adds ``line_id``
-    and ``snap_distance``, null where no line is near.
+    ``lines``: (line_id, x1, y1, x2, y2). A line is walked in steps of
+    ``max_d`` or less and put into the cells of that width around each step, so
+    its cells grow with its length. A point in reach is 1.5 ``max_d`` from a step
+    at most, two cells. Adds ``line_id`` and ``snap_distance``, null where no
+    line is near.
     """
-    lo = lambda a, b: F.floor((F.least(a, b) - max_d) / max_d).cast("long")
-    hi = lambda a, b: F.floor((F.greatest(a, b) + max_d) / max_d).cast("long")
-    cells = lines.withColumn(
-        "_cx", F.explode(F.sequence(lo("x1", "x2"), hi("x1", "x2")))
-    ).withColumn("_cy", F.explode(F.sequence(lo("y1", "y2"), hi("y1", "y2"))))
+    steps = F.greatest(F.lit(1), F.ceil(euclid("x1", "y1", "x2", "y2") / max_d)).cast("int")
+    walked = lines.withColumn("_n", steps).withColumn("_i", F.explode(F.sequence(F.lit(0), "_n")))
+
+    def around(a: str, b: str) -> Column:
+        at = F.floor((F.col(a) + (F.col(b) - F.col(a)) * F.col("_i") / F.col("_n")) / max_d).cast("long")
+        return F.explode(F.sequence(at - 2, at + 2))
+
+    cells = (
+        walked.withColumn("_cx", around("x1", "x2")).withColumn("_cy", around("y1", "y2")).drop("_n", "_i")
+        .dropDuplicates(["line_id", "x1", "y1", "x2", "y2", "_cx", "_cy"])
+    )
     at = points.select(key, "x", "y", cell("x", max_d).alias("_cx"), cell("y", max_d).alias("_cy"))
     qx, qy, d = project_on_segment("x", "y", "x1", "y1", "x2", "y2")
     best = (

@@ -38,13 +38,20 @@ def latest_moving(df: DataFrame) -> DataFrame:
     return latest_per_key(df, ["site", "level", "object_id"], ["ts", "id"]).select(*df.columns)
 
 
+def _earlier(t, seconds: float):
+    return F.timestamp_micros(F.unix_micros(as_ts(t)) - int(seconds * 1_000_000))
+
+
 def retired(df: DataFrame, a, b, idle_s: float = 5.0) -> DataFrame:
     """Vehicles that fell idle between the ticks a and b: their last row, ``removed`` set.
 
     A vehicle is idle ``idle_s`` after its last moving or entry row, unless it
-    has left through an exit since.
+    has left through an exit since. Only rows younger than ``idle_s`` at a can
+    decide that, so older ones are not read.
     """
-    rows = df.where(F.col("type").isin("moving", "entry", "exit") & (F.col("ts") <= as_ts(b)))
+    rows = df.where(
+        F.col("type").isin("moving", "entry", "exit") & (F.col("ts") <= as_ts(b)) & (F.col("ts") > _earlier(a, idle_s))
+    )
     last = latest_moving(rows).where(F.col("type") != "exit")
     idle = F.unix_micros("ts") + int(idle_s * 1_000_000)
     return last.where(
@@ -58,8 +65,7 @@ def scene_at(df: DataFrame, t, back_s: float = 0.5, since=None) -> DataFrame:
     if since is not None:
         rows = rows.where(F.col("ts") >= as_ts(since))
     on_spots = latest_per_key(rows, SPOT_KEY, ["ts", "id"]).select(*df.columns)
-    past = F.timestamp_micros(F.unix_micros(as_ts(t)) - int(back_s * 1_000_000))
-    return vehicle_view(on_spots.unionByName(latest_moving(moving_rows(df, past, t))))
+    return vehicle_view(on_spots.unionByName(latest_moving(moving_rows(df, _earlier(t, back_s), t))))
 
 
 def scene_delta(df: DataFrame, a, b, idle_s: float = 5.0) -> DataFrame:
@@ -79,6 +85,6 @@ def visible(df: DataFrame, t, idle_s: float = 5.0) -> DataFrame:
     parked = latest_per_key(spot_events(rows), SPOT_KEY, ["ts", "id"]).where(
         F.col("type") == "parked"
     )
-    awake = F.unix_micros("ts") + int(idle_s * 1_000_000) > F.unix_micros(as_ts(t))
-    moving = latest_moving(moving_rows(rows)).where((F.col("type") != "exit") & awake)
+    # older rows are retired by now, so they cannot show a vehicle
+    moving = latest_moving(moving_rows(rows, _earlier(t, idle_s))).where(F.col("type") != "exit")
     return vehicle_view(parked.select(*df.columns).unionByName(moving))
