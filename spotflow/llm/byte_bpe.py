@@ -60,9 +60,9 @@ class Transducer:
         self._parts: dict[int, tuple[bytes, bytes] | None] = {}
         self._edges: dict[tuple[int, int], list] = {}
         self._pairs: dict[tuple[int, int], bool] = {}
-        self._reset()
+        self.reset()
 
-    def _reset(self) -> None:
+    def reset(self) -> None:
         # a state: hypotheses (tokens not yet written, node, last token written), the one at a token's end first
         self.states: list[tuple] = [(((), 0, None),)]
         self.ids = {self.states[0]: 0}
@@ -154,7 +154,7 @@ class Transducer:
         if piece in self.ranks:
             return [self.ranks[piece]]
         if len(self.states) > STATES:
-            self._reset()
+            self.reset()
         arrows, writes = self.arrows, self.writes
         out: list[int] = []
         state = 0
@@ -214,6 +214,11 @@ class Codec:
         for token, rank in ranks.items():
             self.bytes_of[rank] = token
 
+    def forget(self) -> None:
+        """Give back what was remembered of the texts so far."""
+        self.pieces.clear()
+        self.pieces.transducer.reset()
+
     def encode(self, text: str) -> bytes:
         if len(self.pieces) > PIECES:
             self.pieces.clear()
@@ -266,6 +271,7 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, column: str = "text",
                 [*batch.columns, pa.array(made, pa.binary()), pa.array(back, pa.string())],
                 names=[*batch.schema.names, ids, "decoded"],
             )
+        own.forget()  # the worker's next task may be another operator's
 
     kind = T.StructType([*out.schema.fields, T.StructField(ids, T.BinaryType()), T.StructField("decoded", T.StringType())])
     return out.mapInArrow(run, kind)

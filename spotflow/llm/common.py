@@ -23,7 +23,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**i and INVERSE**i for i < n."""
     global _powers
     if len(_powers[0]) < n:
-        size = max(n, 2 * len(_powers[0]))
+        size = n + (1 << 18)
         made = []
         for base in (BASE, INVERSE):
             a = np.full(size, base, np.uint64)

@@ -246,7 +246,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = vocabulary(rank_file)
-        for batch in batches(source):
+        for batch in batches(source, 1 << 21):
             texts = [t or "" for t in batch["text"].to_pylist()]
             lang, score = ["und"] * len(texts), np.zeros(len(texts))
             if languages:
