@@ -11,7 +11,7 @@ from uuid import uuid4
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from spotflow.llm import byte_bpe, decontaminate, exact_dedup, language_id, simhash
+from spotflow.llm import byte_bpe, decontaminate, exact_dedup, language_id, near_copies
 from spotflow.llm.common import stored
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -29,8 +29,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
-    return simhash.keep_one(docs)
+    """One document of each group of near copies: SimHash within 3 bits, or 0.8 of the 5-word shingles shared."""
+    return near_copies.keep_one(docs)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -129,6 +129,15 @@ def near_duplicates(docs: DataFrame, radius: int = 3, size: int = 3) -> DataFram
     return components(stored(fingerprints(docs, size)), radius)
 
 
+def roots(prints: DataFrame, radius: int = 3) -> DataFrame:
+    """Each distinct fingerprint and the root of its component, itself a fingerprint."""
+    # a fingerprint is its own id among links; only at the end doc_ids take part
+    one = stored(prints.select("fingerprint").distinct())
+    pairs = links(one.select(F.col("fingerprint").alias("id"), "fingerprint"), radius)
+    found = connected_components(pairs).select(F.col("member").alias("fingerprint"), "root")
+    return one.join(found, "fingerprint", "left").select("fingerprint", F.coalesce("root", "fingerprint").alias("root"))
+
+
 def components(prints: DataFrame, radius: int = 3) -> DataFrame:
     """(doc_id, fingerprint) → the same columns and component_id."""
     one = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first")).select("fingerprint", "first")
