@@ -137,7 +137,7 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     from spotflow.llm.line_dedup import line_dedup
 
-    return line_dedup(table(spark, sf_dir, "documents")).select(
+    return line_dedup(table(spark, sf_dir, "documents"), seams=True).select(
         "doc_id", "n_lines", "n_removed", sha("kept_text").alias("kept_sha256")
     )
 

@@ -5,6 +5,11 @@ a chunk ends. Boundaries depend on these lines only, so a passage moved up or
 down in another document is cut in the same places. Chunks are counted by hash
 over all documents; those that occur more than once are then compared byte by
 byte with their first occurrence. All of it is built from DataFrame functions.
+
+Chunks alone miss short passages and the ends of long ones, where a boundary
+falls outside the passage. With ``seams`` each pair of neighbouring non-blank
+lines is looked at like a chunk too; every passage of two such lines or more is
+made of pairs, so all of it is found.
 """
 
 from __future__ import annotations
@@ -32,12 +37,23 @@ def chunks(lines: Column, mean: int) -> Column:
     ))
 
 
-def line_dedup(docs: DataFrame, mean: int = 3) -> DataFrame:
+def line_pairs(lines: Column) -> Column:
+    """Each non-blank line with the next one, and the blank lines between, as (first, n, hash)."""
+    full = F.filter(F.sequence(F.lit(1), F.size(lines)), lambda i: F.trim(F.get(lines, i - 1)) != "")
+    last = F.greatest(F.size(full) - 1, F.lit(0))
+    return F.transform(F.arrays_zip(F.slice(full, 1, last).alias("first"), F.slice(full, 2, last).alias("end")), lambda c: F.struct(
+        c["first"].alias("first"), (c["end"] - c["first"] + 1).alias("n"),
+        F.xxhash64(F.slice(lines, c["first"], c["end"] - c["first"] + 1)).alias("hash"),
+    ))
+
+
+def line_dedup(docs: DataFrame, mean: int = 3, seams: bool = False) -> DataFrame:
     """(doc_id, text) → doc_id, kept_text, n_lines, n_removed; one row for each row.
 
     Lines end at \\n. A chunk of two non-blank lines or more that has the same
     bytes as one that comes first, by (doc_id, hash of the text, place), is
-    removed with its line ends; the first stays.
+    removed with its line ends; the first stays. With ``seams`` so is each such
+    pair of neighbouring non-blank lines that does not overlap its first.
 
     * Null counts as empty; an empty text has no line and stays empty.
     * A null doc_id comes before all others.
@@ -47,10 +63,13 @@ def line_dedup(docs: DataFrame, mean: int = 3) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("_h", F.xxhash64("text"))
     lines = F.split("text", "\n", -1)
+    cut = chunks(F.col("lines"), mean)
+    if seams:
+        cut = F.concat(cut, line_pairs(F.col("lines")))
 
     found = stored(
         own.where(F.instr("text", "\n") > 0)
-        .select("doc_id", "_h", lines.alias("lines")).select("doc_id", "_h", "lines", F.explode(chunks(F.col("lines"), mean)).alias("c"))
+        .select("doc_id", "_h", lines.alias("lines")).select("doc_id", "_h", "lines", F.explode(cut).alias("c"))
         .where(F.col("c.n") > 1)
         .where(F.size(F.filter(F.slice("lines", F.col("c.first"), F.col("c.n")), lambda x: F.trim(x) != "")) > 1)
         .select(F.col("doc_id").isNotNull().alias("_id"), "doc_id", "_h", "c.*").distinct()
@@ -59,6 +78,8 @@ def line_dedup(docs: DataFrame, mean: int = 3) -> DataFrame:
     repeated = stored(found.groupBy("hash").agg(F.min(place).alias("origin"), F.count(F.lit(1)).alias("times")).where("times > 1"))
     wanted = (
         found.join(repeated.select("hash", "origin"), "hash")
+        .where((F.col("origin") == place) | (F.col("origin._id") != F.col("_id")) | ~F.col("origin.doc_id").eqNullSafe(F.col("doc_id"))
+               | (F.col("origin._h") != F.col("_h")) | (F.col("origin.first") + F.col("n") <= F.col("first")))
         .select("doc_id", "_h", F.struct("first", "n", "hash", (F.col("origin") == place).alias("is_first")).alias("c"))
         .groupBy("doc_id", "_h").agg(F.collect_list("c").alias("cs"))
     )
@@ -75,11 +96,13 @@ def line_dedup(docs: DataFrame, mean: int = 3) -> DataFrame:
     joined = own.join(
         copies.withColumnsRenamed({"doc_id": "_d", "_h": "_g"}), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_g")), "left"
     )
-    kept = F.filter(lines, lambda x, i: ~F.exists("gone", lambda g: (g["first"] <= i + 1) & (i + 1 < g["first"] + g["n"])))
+    places = F.array_distinct(F.flatten(F.transform("gone", lambda g: F.sequence(g["first"], g["first"] + g["n"] - 1))))
+    joined = joined.withColumn("gone", places)
+    kept = F.filter(lines, lambda x, i: ~F.array_contains("gone", i + 1))
     n_lines = F.when(F.col("text") == "", F.lit(0)).otherwise(F.size(lines)).cast("long")
     return joined.select(
         "doc_id",
         F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("kept_text"),
         n_lines.alias("n_lines"),
-        F.coalesce(F.aggregate("gone", F.lit(0).cast("long"), lambda a, g: a + g["n"]), F.lit(0).cast("long")).alias("n_removed"),
+        F.coalesce(F.array_size("gone"), F.lit(0)).cast("long").alias("n_removed"),
     )
