@@ -24,9 +24,9 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from spotflow.llm.byte_bpe import read_ranks
 from spotflow.llm.common import _values, batches, byte_sums, powers, spans, stored, word_bounds
 
-#: Longest piece in bytes; longest stretch of a word that is cut as a whole.
+#: Longest piece in bytes; longest word that is scored with others of its length.
 PIECE, STRETCH = 16, 256
-#: Longest word in bytes that training looks at.
+#: Longest stretch of a word in bytes that training takes as a whole.
 TRAINED = 24
 LETTER = re.compile(r"[^\W\d_]")
 
@@ -104,6 +104,38 @@ def _log_sums(words: np.ndarray, own: Vocabulary, chance: np.ndarray) -> np.ndar
     return logs + np.log(window[-1])
 
 
+def _long_log_sums(words: list[bytes], own: Vocabulary, chance: np.ndarray, step: int = 64) -> np.ndarray:
+    """As _log_sums, for words of any lengths side by side, a blank before each."""
+    out = np.zeros((len(words), chance.shape[1]))
+    padded = np.vstack([chance, np.zeros((1, chance.shape[1]))])
+    up, down = powers(step + PIECE)
+    ends, sizes = np.arange(PIECE, PIECE + step)[:, None], np.arange(1, PIECE + 1)
+    order = sorted(range(len(words)), key=lambda i: -len(words[i]))
+    for group in (order[g:g + 512] for g in range(0, len(order), 512)):
+        length = np.array([len(words[i]) for i in group])
+        logs = np.zeros((len(group), chance.shape[1]))
+        window = np.zeros((len(group), PIECE, chance.shape[1]))  # the sums 1, 2, ... bytes back
+        window[:, 0] = 1
+        for a in range(0, int(length[0]), step):
+            n = int((length > a).sum())
+            flat = b"".join(bytes(max(0, PIECE - 1 - a)) + words[i][max(0, a - PIECE + 1):a + step] + bytes(max(0, a + step - len(words[i]))) for i in group[:n])
+            sums = np.zeros((n, step + PIECE), np.uint64)
+            np.cumsum(_values[np.frombuffer(flat, np.uint8).reshape(n, -1)] * down[:-1], axis=1, dtype=np.uint64, out=sums[:, 1:])
+            at = own.find(((sums[:, ends] - sums[:, ends - sizes]) * up[ends - sizes]).ravel()).reshape(n, step, PIECE)
+            at = np.where(sizes <= a + ends - PIECE + 1, at, own.size)  # no piece starts before the word
+            for k in range(min(step, int(length[0]) - a)):
+                n = int((length > a + k).sum())
+                now = (window[:n] * padded[at[:n, k]]).sum(1)
+                done = np.flatnonzero(length[:n] == a + k + 1)
+                for i in done:
+                    out[group[i]] = logs[i] + np.log(now[i])
+                window = np.concatenate([now[:, None], window[:n, :-1]], axis=1)
+                if k % 8 == 7:
+                    logs[:n] += np.log(now)
+                    window /= now[:, None]
+    return out
+
+
 def _expected(words: np.ndarray, counts: np.ndarray, own: Vocabulary, chance: np.ndarray) -> np.ndarray:
     """Expected piece counts of words with counts, under one language."""
     n = words.shape[1]
@@ -132,13 +164,24 @@ def _matrix(buf: np.ndarray, start: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def stretches(word: bytes) -> Iterator[bytes]:
+    """A word, or its parts of TRAINED bytes at most, cut between characters; the blank before it is not counted."""
+    a, b = 0, TRAINED + 1
+    while b < len(word):
+        while word[b] & 0xC0 == 0x80:
+            b -= 1
+        yield word[a:b]
+        a, b = b, b + TRAINED
+    yield word[a:]
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
-    """(lang, text) → lang, word, n: words up to TRAINED bytes, in lower case."""
+    """(lang, text) → lang, word, n: stretches of words in lower case, a blank before each word."""
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(source):
             found: Counter = Counter()
             for lang, text in zip(batch["lang"].to_pylist(), batch["text"].to_pylist()):
-                found.update((lang, w) for w in text.lower().encode().split() if len(w) <= TRAINED)
+                found.update((lang, s) for w in text.lower().encode().split() for s in stretches(b" " + w))
             keys = list(found)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.binary()), pa.array(list(found.values()), pa.int64())],
@@ -187,8 +230,8 @@ def train(docs: DataFrame, rank_file: str, docs_per_language: int = 2000, rounds
                     buf = np.frombuffer(b"".join(word[i] for i in own_rows), np.uint8)
                     for a in range(0, len(own_rows), 20_000):
                         part = own_rows[a:a + 20_000]
-                        start = (np.arange(len(part)) + a) * s
-                        sums[k] += _expected(_matrix(buf, start, int(s)), n[part], here, chance[:, k])
+                        rows = buf.reshape(-1, s)[a:a + len(part)]
+                        sums[k] += _expected(rows, n[part], here, chance[:, k])
         k, piece = np.nonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(piece, pa.int64()), pa.array(sums[k, piece])], names=["k", "piece", "n"])
 
@@ -206,11 +249,12 @@ def _log_likelihoods(texts: list[bytes], own: Vocabulary, chance: np.ndarray) ->
     start, end = word_bounds(buf)
     owner = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), start, side="right")
     long = np.flatnonzero(end - start > STRETCH)
-    if len(long):  # longer words are cut into stretches
-        cut = [np.arange(s, e, STRETCH) for s, e in zip(start[long], end[long])]
-        more_end = np.concatenate([np.append(c[1:], e) for c, e in zip(cut, end[long])])
-        owner = np.concatenate([np.delete(owner, long), np.repeat(owner[long], [len(c) for c in cut])])
-        start, end = np.concatenate([np.delete(start, long), *cut]), np.concatenate([np.delete(end, long), more_end])
+    out = np.zeros((len(texts), chance.shape[1]))
+    if len(long):
+        kinds: dict[bytes, int] = {}
+        which = [kinds.setdefault(b" " + buf[s:e], len(kinds)) for s, e in zip(start[long], end[long])]
+        np.add.at(out, owner[long], _long_log_sums(list(kinds), own, chance)[which])
+        owner, start, end = (np.delete(x, long) for x in (owner, start, end))
     hashes = spans(byte_sums(buf), start, end) + (end - start).astype(np.uint64)
     order = np.argsort(hashes)
     new = np.ones(len(order), bool)
@@ -226,9 +270,8 @@ def _log_likelihoods(texts: list[bytes], own: Vocabulary, chance: np.ndarray) ->
         for a in range(0, len(rows), 20_000):
             part = rows[a:a + 20_000]
             logs[part] = _log_sums(_matrix(flat, start[first[part]], int(n)), own, chance)
-    out = np.zeros((len(texts), chance.shape[1]))
     for k in range(chance.shape[1]):
-        out[:, k] = np.bincount(owner, logs[kind, k], len(texts))
+        out[:, k] += np.bincount(owner, logs[kind, k], len(texts))
     return out
 
 
