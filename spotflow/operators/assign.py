@@ -8,70 +8,45 @@ import numpy as np
 
 
 def complete_linkage(n: int, pairs, limit: float) -> list[int]:
-    """Cluster labels of ``n`` items; ``pairs`` are (i, j, distance <= limit).
+    """Cluster labels of ``n`` items; ``pairs`` are (i, j, distance).
 
-    Pairs that are not listed are too far apart. Clusters merge as long as the
-    largest distance between two of them is within the limit, nearest first.
+    Pairs that are not listed, or beyond the limit, are too far apart. Clusters merge as long as the
+    largest distance between two of them is within the limit, nearest first; a
+    cluster is named after its first item. Only listed pairs are held: two clusters stay
+    neighbours while all pairs between them are.
     """
-    far = np.inf
-    d = np.full((n, n), far)
-    for i, j, v in pairs:
-        d[i, j] = d[j, i] = v
+    near: list[dict[int, float]] = [{} for _ in range(n)]
+    for i, j, d in pairs:
+        if d <= limit:
+            near[i][j] = near[j][i] = d
+    heap = [(d, i, j) for i, row in enumerate(near) for j, d in row.items() if i < j]
+    heapq.heapify(heap)
     label = list(range(n))
-    while n > 1:
-        flat = int(np.argmin(d))
-        i, j = sorted(divmod(flat, d.shape[0]))
-        if not d[i, j] <= limit:
-            break
-        merged = np.maximum(d[i], d[j])
-        d[i], d[:, i] = merged, merged
-        d[i, i] = far
-        d[j], d[:, j] = far, far
-        label = [i if v == j else v for v in label]
+    inside = [[i] for i in range(n)]
+    while heap:
+        d, i, j = heapq.heappop(heap)
+        if near[i].get(j) != d:
+            continue  # one of the two has changed since
+        gone = near[j]
+        near[j] = {}
+        for k, e in gone.items():
+            if k != i:
+                del near[k][j]
+                if k not in near[i]:
+                    continue
+                far = max(e, near[i][k])
+                if far != near[i][k]:
+                    near[i][k] = near[k][i] = far
+                    heapq.heappush(heap, (far, min(i, k), max(i, k)))
+        del near[i][j]
+        for k in [k for k in near[i] if k not in gone]:
+            del near[i][k], near[k][i]
+        for v in inside[j]:
+            label[v] = i
+        inside[i] += inside[j]
     return label
 
 
-def min_cost_matching(cost: np.ndarray) -> list[tuple[int, int]]:
-    """One-to-one assignment of all rows of the shorter side at minimum total cost.
-
-    Successive shortest augmenting paths with potentials.
-    """
-    if cost.size == 0:
-        return []
-    if cost.shape[0] > cost.shape[1]:
-        return sorted((r, c) for c, r in min_cost_matching(cost.T))
-    n, m = cost.shape
-    row_pot, col_pot = np.zeros(n), np.zeros(m)
-    owner = np.full(m, -1)
-    for row in range(n):
-        dist = np.full(m, np.inf)
-        via = np.full(m, -1)
-        done = np.zeros(m, dtype=bool)
-        base, r, last = 0.0, row, -1
-        while True:
-            reach = base + cost[r] - row_pot[r] - col_pot
-            closer = ~done & (reach < dist)
-            dist[closer] = reach[closer]
-            via[closer] = last
-            col = int(np.argmin(np.where(done, np.inf, dist)))
-            base = dist[col]
-            done[col] = True
-            if owner[col] < 0:
-                break
-            r, last = int(owner[col]), col
-        gain = base - dist[done]
-        row_pot[row] += base
-        held = [c for c in np.flatnonzero(done) if owner[c] >= 0]
-        for c in held:
-            row_pot[owner[c]] += base - dist[c]
-        col_pot[done] -= gain
-        while col >= 0:
-            prev = int(via[col])
-            owner[col] = owner[prev] if prev >= 0 else row
-            col = prev
-    return sorted((int(owner[c]), c) for c in range(m) if owner[c] >= 0)
-
-
 def near_pairs(ax, ay, bx, by, limit: float):
     """(i, j, distance) of points of two sets within the limit; only points near in x are compared."""
     order = np.argsort(bx, kind="stable")
@@ -84,14 +59,6 @@ def near_pairs(ax, ay, bx, by, limit: float):
     return zip(i[ok].tolist(), j[ok].tolist(), d[ok].tolist())
 
 
-def farthest(ax, ay, bx, by) -> float:
-    """The largest distance between points of two sets, a few rows of distances at a time."""
-    step = max(1, (1 << 20) // max(1, len(bx)))
-    return max(
-        float(np.hypot(ax[k:k + step, None] - bx, ay[k:k + step, None] - by).max()) for k in range(0, len(ax), step)
-    )
-
-
 def best_pairing(options: list[list[tuple[int, float]]], alone: float) -> list[tuple[int, int]]:
     """One-to-one pairs (row, column) of least total cost, a row without partner costing ``alone``.
 

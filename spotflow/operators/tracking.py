@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from spotflow.functions.columns import as_ts, camera_point, cell, euclid
-from spotflow.operators.assign import best_pairing, complete_linkage, farthest, near_pairs
+from spotflow.operators.assign import best_pairing, complete_linkage, near_pairs
 from spotflow.operators.graphs import chain_heads, connected_components
 from spotflow.operators.lineage import cut, python_groups
 from spotflow.operators.occupancy import SPOT_KEY, latest_per_key, spot_events
@@ -147,16 +147,9 @@ def match_mutual_nearest(candidates: DataFrame) -> DataFrame:
 # -- clusters ---------------------------------------------------------------------------
 
 
-def cluster_frame(df: DataFrame, max_d: float, conflicts: DataFrame | None = None,
-                  overlaps: DataFrame | None = None, same: DataFrame | None = None) -> DataFrame:
-    """Complete-linkage clusters of each frame's detections: adds ``cluster``.
-
-    Members of a cluster come from different, compatible cameras and are all
-    within ``max_d`` of each other. ``same`` (member, root): object ids known to be one vehicle;
-    their distance counts as 0. A cluster is named after its first id.
-
-    Python gets pairs near enough to merge. Rows without such a pair never leave the JVM.
-    """
+def near_pairs_of_frames(df: DataFrame, max_d: float, conflicts: DataFrame | None = None,
+                         overlaps: DataFrame | None = None, same: DataFrame | None = None) -> DataFrame:
+    """Pairs of a frame that may be one vehicle: near enough or known to be one, of compatible cameras."""
     pairs = pairs_within_frame(df, max_d)
     if same is not None:
         rooted = df.join(same.withColumnRenamed("member", "object_id"), "object_id")
@@ -173,7 +166,20 @@ def cluster_frame(df: DataFrame, max_d: float, conflicts: DataFrame | None = Non
         pairs = without_conflicts(pairs, conflicts)
     if overlaps is not None:
         pairs = overlapping_cameras(pairs, overlaps).where("overlap").drop("overlap")
+    return pairs
+
 
+def cluster_frame(df: DataFrame, max_d: float, conflicts: DataFrame | None = None,
+                  overlaps: DataFrame | None = None, same: DataFrame | None = None) -> DataFrame:
+    """Complete-linkage clusters of each frame's detections: adds ``cluster``.
+
+    Members of a cluster come from different, compatible cameras and are all
+    within ``max_d`` of each other. ``same`` (member, root): object ids known to be one vehicle;
+    their distance counts as 0. A cluster is named after its first id.
+
+    Python gets pairs near enough to merge. Rows without such a pair never leave the JVM.
+    """
+    pairs = near_pairs_of_frames(df, max_d, conflicts, overlaps, same)
     id_type = dict(df.dtypes)["id"]
 
     def link(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -352,28 +358,27 @@ def _conflict_lists(rows: DataFrame, conflicts: DataFrame | None) -> DataFrame:
 def _assign(old: dict, new: dict, max_d: float) -> list[tuple]:
     """(earlier id, later id, distance) of one frame.
 
-    Only pairs that may be one vehicle are looked at: near ones, and those with
-    a common id. A pair saves the more the closer it is, measured against the
-    farthest distance in the frame; the pairing that saves most is taken.
+    Pairs that may be one vehicle are the near ones, and those with a common id
+    (cost 0). A frame takes as many of them as fit one to one, and of all ways
+    to do so the one of least squared distances: a row that stays alone costs
+    more than all pairs of the frame can.
     """
-    pairs: dict[tuple[int, int], float] = {}
-    for i, j, d in near_pairs(old["x"], old["y"], new["x"], new["y"], max_d):
-        pairs[i, j] = d
-    seen: dict = {}
+    cost = {(i, j): d * d for i, j, d in near_pairs(old["x"], old["y"], new["x"], new["y"], max_d)}
+    holders: dict = {}
     for i, ids in enumerate(old["ids"]):
         for v in ids:
-            seen.setdefault(v, []).append(i)
+            holders.setdefault(v, []).append(i)
     for j, ids in enumerate(new["ids"]):
-        pairs |= {(i, j): 0.0 for v in ids for i in seen.get(v, ())}
+        cost.update({(i, j): 0.0 for v in ids for i in holders.get(v, ())})
     options: list[list] = [[] for _ in old["id"]]
-    for (i, j), cost in pairs.items():
+    for (i, j), c in sorted(cost.items()):
         barred = old["conflicts"][i]
         if barred is None or new["sensor"][j] not in barred:
-            options[i].append((j, cost**2))
-    alone = max(farthest(old["x"], old["y"], new["x"], new["y"]), 1.1 * max_d) ** 2
+            options[i].append((j, c))
+    lone = (1 + len(options)) * max_d * max_d
     return [
         (old["id"][i], new["id"][j], float(np.hypot(old["x"][i] - new["x"][j], old["y"][i] - new["y"][j])))
-        for i, j in best_pairing(options, alone)
+        for i, j in best_pairing(options, lone)
     ]
 
 

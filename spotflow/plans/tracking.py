@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
-from spotflow.operators import tracking as tr
+from spotflow.operators import known_ids, tracking as tr
 from spotflow.operators.ordered import SLICE
 from spotflow.operators.projections import qualify_object_id
 from spotflow.operators.quality import classify_records, drop_reset
@@ -22,6 +22,7 @@ class TrackerConfig:
     snap: bool = False
     snap_d: float = 20.0
     slice_s: float = SLICE
+    known_s: float = 20.0
 
 
 @dataclass(frozen=True)
@@ -31,6 +32,7 @@ class Tracked:
     rows: DataFrame
     pairs: DataFrame
     clustered: DataFrame
+    sets: DataFrame
 
 
 def prepare(df: DataFrame, regions: DataFrame | None = None, lines: DataFrame | None = None,
@@ -61,10 +63,13 @@ def track_batch(df: DataFrame, regions: DataFrame | None = None, lines: DataFram
     """Detections → the same vehicles under one id and plate across cameras and frames."""
     ready = prepare(df, regions, lines, cfg)
     moving = tr.collapse_frame(ready.where(F.col("record_class") == "moving"))
-    clustered = tr.cut(tr.cluster_frame(moving, cfg.cluster_d, conflicts, overlaps))
+    clustered, sets = known_ids.cluster_known(
+        tr.cut(moving), cfg.cluster_d, conflicts, overlaps, keep_s=cfg.known_s, frame_s=cfg.frame_s
+    )
+    clustered = tr.cut(clustered)
     merged = tr.cut(tr.cluster_output(clustered).drop("cluster"))
     pairs = tr.match_frames(merged, cfg.match_d, cfg.carry_s, cfg.frame_s, conflicts, cfg.slice_s)
     labelled = tr.label_tracks(merged, pairs, cfg.slice_s)
     passed = spot_pass_through(ready)
     rows = labelled.unionByName(passed, allowMissingColumns=True)
-    return Tracked(rows, pairs, clustered)
+    return Tracked(rows, pairs, clustered, sets)

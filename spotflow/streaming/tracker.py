@@ -1,7 +1,8 @@
 """The tracker on a stream: every micro-batch goes on where the last one stopped.
 
-What is carried over is a table: the newest frame of each site and level, and
-younger rows without a partner, with their labels. A frame is matched only when
+What is carried over are tables: the newest frame of each site and level, and
+younger rows without a partner, with their labels; and the sets of object ids known
+to be one vehicle. A frame is matched only when
 the newest time seen has left it behind by ``delay_s``; until then its rows are
 held back, so it does not matter where a trigger cuts. Rows of frames that are
 done already go to a table of late rows. Each batch reads the state its
@@ -17,7 +18,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from spotflow.operators import tracking as tr
+from spotflow.operators import known_ids, tracking as tr
 from spotflow.plans.tracking import TrackerConfig, prepare, spot_pass_through
 from spotflow.sources import writers
 from spotflow.streaming.jobs import StreamRun
@@ -67,9 +68,9 @@ class StreamTracker:
         spark, cfg = batch.sparkSession, self.cfg
         clock = self._clock(spark, number)
         ready = prepare(batch, self.regions, self.lines, cfg)
-        carried = made = None
+        carried = made = sets = None
         if clock is not None:
-            carried, made = (_part(spark, f"{self.tables}/{name}", clock[0]) for name in ("open", "made"))
+            carried, made, sets = (_part(spark, f"{self.tables}/{name}", clock[0]) for name in ("open", "made", "sets"))
             held = _part(spark, f"{self.tables}/held", clock[0], ready.schema)
             ready = ready if held is None else ready.unionByName(held)
         ready = tr.cut(ready)
@@ -87,7 +88,9 @@ class StreamTracker:
             writers.write_table(ready.where(F.col("frame") >= bound), f"{self.tables}/held", number)
             ready = ready.where(F.col("frame") < bound)
         moving = tr.collapse_frame(ready.where(F.col("record_class") == "moving"))
-        clustered = tr.cluster_frame(moving, cfg.cluster_d, self.conflicts, self.overlaps)
+        clustered, sets = known_ids.cluster_known(
+            tr.cut(moving), cfg.cluster_d, self.conflicts, self.overlaps, sets, cfg.known_s, cfg.frame_s
+        )
         merged = tr.cut(tr.cluster_output(tr.cut(clustered)).drop("cluster"))
         pairs = tr.match_frames(
             merged, cfg.match_d, cfg.carry_s, cfg.frame_s, self.conflicts, cfg.slice_s, carried
@@ -99,6 +102,8 @@ class StreamTracker:
             return
         writers.write_table(self._open(labelled, carried, pairs), f"{self.tables}/open", number)
         writers.write_table(self._made(labelled, made), f"{self.tables}/made", number)
+        done_us = bound * int(cfg.frame_s * 1e6)  # no frame before this one comes
+        writers.write_table(known_ids.live(sets, done_us, cfg.known_s), f"{self.tables}/sets", number)
         writers.write_table(spark.createDataFrame([(newest, bound)], "newest long, bound long"), f"{self.tables}/clock", number)
 
     def finish(self, batch: DataFrame) -> None:

@@ -8,8 +8,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from spotflow.operators import graphs, tracking as t
-from spotflow.operators.assign import complete_linkage, min_cost_matching
+from plain import dense_linkage, min_cost_matching
+from spotflow.operators import graphs, known_ids, tracking as t
+from spotflow.operators.assign import best_pairing, complete_linkage
 from spotflow.plans.tracking import TrackerConfig, track_batch
 
 
@@ -30,6 +31,37 @@ def test_complete_linkage_does_not_chain():
     assert complete_linkage(3, [(0, 1, 1.5), (1, 2, 1.0), (0, 2, 2.0)], 2) == [0, 0, 0]
 
 
+def test_sparse_linkage_is_the_dense_one():
+    rng = np.random.default_rng(1)
+    for k in range(60):
+        n = int(rng.integers(2, 25))
+        p = rng.uniform(0, 12, (n, 2)).round(k % 3)  # many ties
+        d = np.hypot(*(p[:, None] - p[None]).transpose(2, 0, 1))
+        barred = rng.random((n, n)) < 0.2
+        pairs = [(i, j, d[i, j]) for i in range(n) for j in range(i + 1, n) if d[i, j] <= 5 and not barred[i, j]]
+        assert complete_linkage(n, pairs, 5) == dense_linkage(n, pairs, 5)
+
+
+def test_one_frame_of_thousands():
+    rng = np.random.default_rng(2)
+    x, y = rng.uniform(0, 2000, (2, 5000))
+    pairs = [(i, j, d) for i, j, d in t.near_pairs(x, y, x, y, 15) if i < j]
+    label = np.array(complete_linkage(5000, pairs, 15))
+    for k in np.unique(label):
+        m = np.flatnonzero(label == k)
+        assert np.hypot(x[m, None] - x[m], y[m, None] - y[m]).max() <= 15
+    old = {"id": list(range(5000)), "x": x, "y": y, "ids": [[]] * 5000, "conflicts": [None] * 5000}
+    new = {"id": list(range(5000)), "x": x + 3, "y": y, "ids": [[]] * 5000, "sensor": ["C"] * 5000}
+    found = t._assign(old, new, 20)
+    assert len({a for a, _, _ in found}) == len({b for _, b, _ in found}) == len(found) == 5000
+    assert sum(d * d for _, _, d in found) <= 9 * 5000 + 1e-6
+
+
+def test_as_many_pairs_as_fit_then_the_nearest():
+    # one row may take either; the other only the one that is nearest to both
+    assert best_pairing([[(0, 1.0), (1, 399.0)], [(0, 399.0)]], 1200.0) == [(0, 1), (1, 0)]
+
+
 def at(frame, x, y=0.0, **kw):
     return {"s": frame * 0.5 + 0.1, "x": float(x), "y": float(y), **kw}
 
@@ -46,7 +78,7 @@ def fold(items, max_d, carry, barred=frozenset()):
         if prev:
             d = np.array([[np.hypot(a["x"] - b["x"], a["y"] - b["y"]) for b in new] for a in prev])
             cost = np.array([[0.0 if a["oid"] == b["oid"] else v for b, v in zip(new, row)] for a, row in zip(prev, d)])
-            top = max(cost.max(), 1.1 * max_d)
+            top = max_d * (1 + len(prev)) ** 0.5  # alone: dearer than all pairs
             for i, a in enumerate(prev):
                 for j, b in enumerate(new):
                     if cost[i, j] > max_d or frozenset((a["sensor"], b["sensor"])) in barred:
