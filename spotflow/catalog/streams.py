@@ -76,8 +76,7 @@ k AS (SELECT *, min(CASE WHEN type IN ('moving', 'entry', 'exit') THEN ts END) O
   ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS again FROM n)
 SELECT CAST(id AS VARCHAR) AS id, epoch_us(ts) AS ts, CAST(CASE WHEN type IN ('exit', 'empty') THEN 1 ELSE 0 END AS BIGINT) AS removed FROM d
 UNION ALL SELECT CAST(id AS VARCHAR), epoch_us(ts), 1 FROM k WHERE type IN ('moving', 'entry')
-  AND (again >= ts + INTERVAL 6 HOUR OR (again IS NULL AND (epoch_us(ts) + 21600000000) // 1000 + 1 <= (epoch_us(wm) // 1000))
-   OR (again IS NULL AND EXISTS (SELECT 1 FROM d z WHERE z.object_id = k.object_id AND z.ts >= k.ts + INTERVAL 6 HOUR)))""", over="tables")
+  AND (again >= ts + INTERVAL 6 HOUR OR (again IS NULL AND (epoch_us(ts) + 21600000000) // 1000 + 1 <= (epoch_us(wm) // 1000)))""", over="tables")
 def scene_stream(spark, sf_dir):
     found = state.scene_stream(_stream(spark, sf_dir), 6 * HOUR)
     return _drained(spark, found, "scene").select("id", us("ts"), F.col("removed").cast("long"))

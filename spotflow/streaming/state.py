@@ -3,6 +3,9 @@
 Rules run on event time. Rows of a key that arrive together are put in order
 first; timers are event-time timers, so a restart or a slow trigger does not
 change what is found.
+
+State lives in the RocksDB store: one value per key and, for rows held back, a list
+that is appended to without being read. A key has one timer at most, named in its value.
 """
 
 from __future__ import annotations
@@ -10,24 +13,90 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from spotflow.operators import anomaly
 from spotflow.operators.projections import with_vehicle_key
 from spotflow.operators.quality import identified_only
 from spotflow.operators.scene import vehicle_view
 
-TIMER = GroupStateTimeout.EventTimeTimeout
+PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def _ordered(batches: Iterable[pd.DataFrame], by: list[str]) -> pd.DataFrame:
-    return pd.concat(list(batches), ignore_index=True).sort_values(by, kind="stable")
+def use_rocksdb(spark: SparkSession) -> None:
+    """Keep keyed state in RocksDB, and write only its changes at each batch."""
+    if spark.conf.get("spark.sql.streaming.stateStore.providerClass") != PROVIDER:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
+        spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
+
+
+class KeyState:
+    """The value of one key during one call, and the time at which it wants to be woken."""
+
+    def __init__(self, value, handle: StatefulProcessorHandle, watermark_ms: int, timed_out: bool):
+        self._value, self._handle, self.watermark_ms, self.timed_out = value, handle, watermark_ms, timed_out
+        held = value.get() if value.exists() else None
+        self.get = None if held is None else tuple(held)[:-1]
+        self._due = None if held is None else tuple(held)[-1]
+
+    @property
+    def exists(self) -> bool:
+        return self.get is not None
+
+    def _timer(self, due: int | None, fired: bool) -> None:
+        if self._due is not None and self._due != due and not fired:
+            self._handle.deleteTimer(self._due)
+        if due is not None and (due != self._due or fired):
+            self._handle.registerTimer(due)
+        self._due = due
+
+    def update(self, values: tuple, wake_us: int | None = None) -> None:
+        """Keep these values; wake the key once the watermark is past a time, and never before it is."""
+        due = None if wake_us is None else max(int(wake_us) // 1000 + 1, self.watermark_ms + 1)
+        self._timer(due, self.timed_out)
+        plain = (v.item() if hasattr(v, "item") else v for v in values)
+        self._value.update((*plain, due))
+        self.get = values
+
+    def remove(self) -> None:
+        if self.exists:
+            self._timer(None, self.timed_out)
+            self._value.clear()
+            self.get = None
+
+
+class Follower(StatefulProcessor):
+    """Calls ``follow(key, batches, state)`` for the rows of a key, and without rows when its timer fires."""
+
+    def __init__(self, follow, schema: str):
+        self.follow, self.schema = follow, schema
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.value = handle.getValueState("value", f"{self.schema}, due long")
+
+    def _call(self, key, batches, timers, timed_out) -> Iterator[pd.DataFrame]:
+        state = KeyState(self.value, self.handle, timers.getCurrentWatermarkInMs(), timed_out)
+        yield from self.follow(key, batches, state)
+
+    def handleInputRows(self, key, rows, timerValues):
+        yield from self._call(key, rows, timerValues, False)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        yield from self._call(key, iter(()), timerValues, True)
+
+    def close(self) -> None:
+        pass
 
 
-def _wake(state: GroupState, us: int) -> None:
-    """Set the timer, never before the watermark (which Spark would refuse)."""
-    state.setTimeoutTimestamp(max(us // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+def followed(rows: DataFrame, keys: list[str], processor: StatefulProcessor, out: str) -> DataFrame:
+    use_rocksdb(rows.sparkSession)
+    return rows.groupBy(*keys).transformWithStateInPandas(processor, out, "append", "EventTime")
+
+
+def _ordered(batches: Iterable[pd.DataFrame], by: list[str]) -> pd.DataFrame:
+    return pd.concat(list(batches), ignore_index=True).sort_values(by, kind="stable")
 
 
 def _text_id(df: DataFrame) -> DataFrame:
@@ -55,8 +124,8 @@ def understay_stream(df: DataFrame, interval_s: float = 300, watermark: str = "1
         F.unix_micros("ts").alias("us"),
     )
 
-    def follow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+    def follow(key: tuple, batches: Iterator[pd.DataFrame], state: KeyState) -> Iterator[pd.DataFrame]:
+        if state.timed_out:
             state.remove()
             return
         entry = state.get if state.exists else None
@@ -68,12 +137,11 @@ def understay_stream(df: DataFrame, interval_s: float = 300, watermark: str = "1
                 out.append((key[0], *entry[:-1], r.id, r.us, r.video))
                 entry = (*entry[:-1], False)
         if entry is not None:
-            state.update(entry)
-            _wake(state, entry[-3] + limit)
+            state.update(entry, entry[-3] + limit)
         if out:
             yield pd.DataFrame(out, columns=[c.split()[0] for c in _STAY_OUT.split(", ")])
 
-    found = keyed.groupBy("plate").applyInPandasWithState(follow, _STAY_OUT, _STAY_STATE, "append", TIMER)
+    found = followed(keyed, ["plate"], Follower(follow, _STAY_STATE), _STAY_OUT)
     return found.select(
         "plate", "entry_id", *_STAY, F.timestamp_micros("start_us").alias("start_ts"), "entry_video",
         "exit_id", F.timestamp_micros("end_us").alias("end_ts"), "exit_video",
@@ -151,7 +219,7 @@ def stalled_stream(df: DataFrame, window_s: int = 30, extent: float = 4.0, min_s
     schema = anomaly.EPISODE.replace("window_start timestamp", "window_no long")
     names = [c.split()[0] for c in schema.split(", ")]
 
-    def follow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    def follow(key: tuple, batches: Iterator[pd.DataFrame], state: KeyState) -> Iterator[pd.DataFrame]:
         stop, win = _unpack_stop(state.get) if state.exists else (None, None)
         out = []
 
@@ -162,7 +230,7 @@ def stalled_stream(df: DataFrame, window_s: int = 30, extent: float = 4.0, min_s
                 out.append((key[0], win["w"], *[hit[c] for c in anomaly.WHO], hit["ms"], hit["end_ms"], hit["video"]))
             win = None
 
-        if state.hasTimedOut:
+        if state.timed_out:
             if win is not None:
                 close()
             else:
@@ -180,15 +248,13 @@ def stalled_stream(df: DataFrame, window_s: int = 30, extent: float = 4.0, min_s
             if state.exists:
                 state.remove()
         else:
-            state.update(_pack_stop(stop, win))
             # An armed stop ends when it is stale; a moved one ends with the next row after that.
             due = (win["w"] + 1) * length if win else stop["last_ms"] + int(stale_s * 1000)
-            if win is not None or stop["armed"]:
-                _wake(state, due * 1000)
+            state.update(_pack_stop(stop, win), due * 1000 if win is not None or stop["armed"] else None)
         if out:
             yield pd.DataFrame(out, columns=names)
 
-    found = rows.groupBy("plate").applyInPandasWithState(follow, schema, _STOP_STATE, "append", TIMER)
+    found = followed(rows, ["plate"], Follower(follow, _STOP_STATE), schema)
     return found.select(
         "plate", F.timestamp_millis(F.col("window_no") * length).alias("window_start"), *anomaly.WHO,
         F.timestamp_millis("start_ms").alias("start_ts"), F.timestamp_millis("end_ms").alias("end_ts"), "video",
@@ -198,6 +264,69 @@ def stalled_stream(df: DataFrame, window_s: int = 30, extent: float = 4.0, min_s
 # -- track filter ------------------------------------------------------------------------------
 
 
+class TrackFilter(StatefulProcessor):
+    """Rows of a key are cut into tracks at gaps; a track's rows are held until it is long enough.
+
+    The value has the track's start, its last time, whether it is released, and the timer;
+    rows held back are a list, read once when they are released.
+    """
+
+    def __init__(self, keys: list[str], gap: int, least: int):
+        self.keys, self.gap, self.least = keys, gap, least
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.track = handle.getValueState("track", "start long, last long, free boolean, due long")
+        self.held = handle.getListState("held", "id string, us long")
+
+    def handleInputRows(self, key, rows, timerValues):
+        state = KeyState(self.track, self.handle, timerValues.getCurrentWatermarkInMs(), False)
+        new = _ordered(rows, ["us", "id"])[["id", "us"]]
+        start, last, free = state.get or (None, None, False)
+        us = new["us"].to_numpy("int64")
+        before = us.copy()
+        before[1:] = us[:-1]
+        cut = us - before >= self.gap
+        cut[0] = last is None or us[0] - last >= self.gap
+        track = cut.cumsum()  # 0: the track that is in the state
+        if cut[0]:
+            self.held.clear()
+        begun = pd.Series(us).groupby(track).transform("min").to_numpy()
+        if not cut[0]:
+            begun[track == 0] = start
+        ended = pd.Series(us).groupby(track).transform("max").to_numpy()
+        released = ended - begun > self.least
+        if not cut[0] and free:
+            released[track == 0] = True
+        parts = []
+        if released[0] and not cut[0]:  # what was held of this track goes first
+            old = list(self.held.get())
+            if old:
+                parts.append(pd.DataFrame(old, columns=["id", "us"]).assign(start_us=start))
+            self.held.clear()
+        if released.any():
+            parts.append(new[released].assign(start_us=begun[released]))
+        waiting = (track == track[-1]) & ~released
+        if track[-1] != track[0]:
+            self.held.clear()
+        if waiting.any():
+            self.held.appendList([(i, int(u)) for i, u in new[waiting].itertuples(index=False, name=None)])
+        state.update((int(begun[-1]), int(us[-1]), bool(released[-1])), int(us[-1]) + self.gap)
+        if parts:
+            out = pd.concat(parts, ignore_index=True)
+            for name, value in zip(self.keys, key):
+                out[name] = value
+            yield out[[*self.keys, "id", "us", "start_us"]]
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        self.track.clear()
+        self.held.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
 def valid_tracks_stream(df: DataFrame, keys: list[str] = ["sensor", "object_id"], gap_s: float = 6.0,
                         min_s: float = 3.0, watermark: str = "1 second") -> DataFrame:
     """Rows of tracks longer than ``min_s``; held back until the track is that long.
@@ -211,34 +340,7 @@ def valid_tracks_stream(df: DataFrame, keys: list[str] = ["sensor", "object_id"]
     key_cols = ", ".join(f"{k} string" for k in keys)
     schema = f"{key_cols}, id string, us long, start_us long"
 
-    def follow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        start, last, free, held_ids, held_us = (
-            state.get if state.exists else (None, None, False, [], [])
-        )
-        held_ids, held_us = list(held_ids), list(held_us)
-        out = []
-        for r in _ordered(batches, ["us", "id"]).itertuples(index=False):
-            if last is None or r.us - last >= gap:
-                start, free, held_ids, held_us = r.us, False, [], []
-            last = r.us
-            held_ids.append(r.id)
-            held_us.append(r.us)
-            free = free or last - start > least
-            if free:
-                out += [(*key, i, u, start) for i, u in zip(held_ids, held_us)]
-                held_ids, held_us = [], []
-        state.update((int(start), int(last), bool(free), held_ids, held_us))
-        _wake(state, last + gap)
-        if out:
-            yield pd.DataFrame(out, columns=[*keys, "id", "us", "start_us"])
-
-    found = rows.groupBy(*keys).applyInPandasWithState(
-        follow, schema, "start long, last long, free boolean, ids array<string>, us array<long>",
-        "append", TIMER,
-    )
+    found = followed(rows, keys, TrackFilter(keys, gap, least), schema)
     return found.select(
         *keys, "id", F.timestamp_micros("us").alias("ts"), F.timestamp_micros("start_us").alias("track_start")
     )
@@ -256,15 +358,16 @@ _VIEW_NAMES = [c.split()[0] for c in _VIEW.split(", ")]
 def scene_stream(df: DataFrame, idle_s: float = 5.0, watermark: str = "1 second") -> DataFrame:
     """Every change of the scene as a row; vehicles that fall idle come once more, removed.
 
-    Keyed by site, level and object. Spot events pass through; moving and entry
-    rows restart the idle timer and an exit stops it.
+    Keyed by site, level and object. Moving and entry rows restart the idle timer and an
+    exit stops it. Spot events, and all others, pass beside the state.
     """
     idle = int(idle_s * 1_000_000)
     view = vehicle_view(_text_id(df).where("type <> 'reset'")).withWatermark("ts", watermark)
     rows = view.select("ts", *[F.unix_micros("ts").alias("us") if c == "us" else F.col(c) for c in _VIEW_NAMES])
+    on_the_move = F.coalesce(F.col("type").isin("moving", "entry", "exit"), F.lit(False))
 
-    def follow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+    def follow(key: tuple, batches: Iterator[pd.DataFrame], state: KeyState) -> Iterator[pd.DataFrame]:
+        if state.timed_out:
             gone = dict(zip(_VIEW_NAMES, state.get))
             state.remove()
             yield pd.DataFrame([{**gone, "removed": 1}], columns=_VIEW_NAMES)
@@ -282,16 +385,14 @@ def scene_stream(df: DataFrame, idle_s: float = 5.0, watermark: str = "1 second"
             elif r.type == "exit":
                 last = None
         if last is not None:
-            state.update(tuple(last[c] for c in _VIEW_NAMES))
-            _wake(state, last["us"] + idle)
+            state.update(tuple(last[c] for c in _VIEW_NAMES), last["us"] + idle)
         elif state.exists:
             state.remove()
         if out:
             yield pd.DataFrame(out, columns=_VIEW_NAMES)
 
-    found = rows.groupBy("site", "level", "object_id").applyInPandasWithState(
-        follow, _VIEW, _VIEW, "append", TIMER
-    )
+    moved = followed(rows.where(on_the_move), ["site", "level", "object_id"], Follower(follow, _VIEW), _VIEW)
+    found = moved.select(*_VIEW_NAMES).unionByName(rows.where(~on_the_move).select(*_VIEW_NAMES))
     return found.select(
         *[F.timestamp_micros("us").alias("ts") if c == "us" else F.col(c) for c in _VIEW_NAMES]
     )

@@ -105,6 +105,35 @@ def test_scene_stream_retires_idle_vehicles(spark, rows, stream, run):
     assert table(got, "id", "removed") == [("0000", "0"), ("0001", "0"), ("0001", "1"), ("0002", "0"), ("0003", "1")]
 
 
+def test_state_is_kept_in_rocksdb_over_a_restart(spark, rows, tmp_path):
+    """Each run takes one file more; the rows of all runs are those of one."""
+    df = rows(*traffic(200), END)
+    all_rows = df.orderBy("ts", "id").collect()
+    source = str(tmp_path / "in")
+    runs = {
+        "understay": (lambda d: state.understay_stream(d, 120), lambda d: anomaly.understay(d, 120), ("plate", "entry_id", "exit_id")),
+        "tracks": (lambda d: state.valid_tracks_stream(d, ["license"], 12, 5), lambda d: tracks.valid_tracks(d, ["license"], 12, 5), ("license", "id", "track_start")),
+        "stalled": (lambda d: state.stalled_stream(d, 30, 4.0, 20.0, 60.0), lambda d: anomaly.stalled_episodes(d, 30, 4.0, 20.0, 60.0), ("plate", "start_ts", "end_ts")),
+    }
+    run = jobs.StreamRun(str(tmp_path / "ckpt"), str(tmp_path / "out"), drain=True)
+    for k in range(3):
+        part = all_rows[k * len(all_rows) // 3:(k + 1) * len(all_rows) // 3]
+        spark.createDataFrame(part, df.schema).coalesce(1).write.mode("append").parquet(source)
+        for name, (make, _, _) in runs.items():
+            jobs.await_all(spark, run.start(make(spark.readStream.schema(df.schema).parquet(source)), name))
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") == state.PROVIDER
+    for name, (_, batch, cols) in runs.items():
+        assert list((tmp_path / "ckpt" / name / "state").rglob("*.changelog")), name
+        assert table(spark.read.parquet(f"{run.tables}/{name}"), *cols) == table(batch(df), *cols) != [], name
+
+
+def test_spot_rows_pass_beside_the_state(spark, rows, stream, run):
+    df = rows({"s": 0}, {"s": 1, "type": "parked", "spot": "PS-1"}, {"s": 2, "type": "empty", "spot": "PS-1"}, {"s": 2.5, "type": None}, {"s": 3}, END)
+    jobs.await_all(spark, jobs.start_scene(run, stream(df, 2), 5))
+    got = spark.read.parquet(f"{run.tables}/scene").where("object_id = 'o1'")
+    assert table(got, "id", "removed") == [("0000", "0"), ("0001", "0"), ("0002", "1"), ("0004", "0"), ("0004", "1")]
+
+
 def test_state_tables(spark, rows, stream, run):
     df = rows(*traffic(), {"s": 1, "type": "parked", "spot": None})
     jobs.await_all(spark, jobs.start_state_tables(run, stream(df)))
