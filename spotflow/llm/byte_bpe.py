@@ -19,14 +19,16 @@ import gc
 import re
 import unicodedata
 from collections.abc import Iterable, Iterator
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from spotflow.llm.common import batches
+from spotflow.llm.common import batches, hold, release
 
-#: Encoded pieces, and states, that a worker remembers before it starts anew (about 200 MB when full).
+#: Encoded pieces, and states, that a worker remembers before it starts anew (about 200 MB when full). It
+#: keeps them from task to task, until one of another operator begins.
 PIECES, STATES = 400_000, 100_000
 
 
@@ -59,15 +61,16 @@ class Transducer:
         self.token_of = [None, *map(ranks.get, prefixes)]
         self._parts: dict[int, tuple[bytes, bytes] | None] = {}
         self._edges: dict[tuple[int, int], list] = {}
-        self._pairs: dict[tuple[int, int], bool] = {}
+        self._pairs: dict[int, bool] = {}
         self.reset()
 
     def reset(self) -> None:
         # a state: hypotheses (tokens not yet written, node, last token written), the one at a token's end first
-        self.states: list[tuple] = [(((), 0, None),)]
+        self.states: list[tuple] = [(((), 0, -1),)]
         self.ids = {self.states[0]: 0}
         self.arrows: dict[int, int] = {}  # state << 8 | byte -> next state
         self.writes: dict[int, tuple] = {}  # the same key -> tokens, where there are any
+        self.met: set[int] = set()  # arrows that were missing once
         self._pairs.clear()
 
     def _halves(self, token: int) -> tuple[bytes, bytes] | None:
@@ -98,24 +101,20 @@ class Transducer:
             return out
         return self._edges[token, side]
 
-    def _may_follow(self, last: int | None, token: int) -> bool:
-        """Does merging both strings together give just these two tokens?
+    def _may_follow(self, last: int, token: int) -> bool:
+        """Does merging both strings together give just these two tokens? ``last`` is -1 if ``token`` is the first.
 
         Not if two tokens that meet at the seam while their sides are merged
         would be merged with each other first (the left one first if tied).
         """
-        if not self._is_whole(token):
-            return False
-        if last is None:
-            return True
-        pair = last, token
+        pair = (last + 1) << 32 | token
         known = self._pairs.get(pair)
         if known is None:
             rank = self.ranks.get
-            known = self._pairs[pair] = not any(
+            known = self._pairs[pair] = self._is_whole(token) and (last < 0 or not any(
                 (r := rank(a + b)) is not None and r < a_until and r <= b_until
                 for a, a_until in self._edge(last, 1) for b, b_until in self._edge(token, 0)
-            )
+            ))
         return known
 
     def _arrow(self, key: int) -> int:
@@ -130,7 +129,7 @@ class Transducer:
             if ended is None:
                 token = token_of[to]
                 if token is not None and self._may_follow(pending[-1] if pending else last, token):
-                    ended = hypotheses[0] = (*pending, token), 0, None
+                    ended = hypotheses[0] = (*pending, token), 0, -1
         n, first = 0, ended[0]  # what all agree on is written
         for n, token in enumerate(first):
             if not all(len(h[0]) > n and h[0][n] == token for h in hypotheses):
@@ -140,7 +139,7 @@ class Transducer:
         if n:
             self.writes[key] = first[:n]
             last = first[n - 1]
-            hypotheses = [(p[n:], node, None if len(p) > n else last) for p, node, _ in hypotheses]
+            hypotheses = [(p[n:], node, -1 if len(p) > n else last) for p, node, _ in hypotheses]
         rest = tuple(hypotheses)
         state = self.ids.get(rest)
         if state is None:
@@ -149,12 +148,43 @@ class Transducer:
         self.arrows[key] = state
         return state
 
+    def _walk(self, piece: bytes) -> list[int]:
+        """The same hypotheses followed for this piece only, without making states of them."""
+        below, token_of, pairs = self.below.get, self.token_of, self._pairs
+        last = [-1]  # the token that ends at each position; -1 at the start, -2 where none does
+        start = [0]
+        open_ = [(0, 0)]  # where a token may still be open, and its node; the longest first
+        for i, byte in enumerate(piece, 1):
+            ended, begun, going = -2, 0, []
+            for a, node in open_:
+                to = below(node << 8 | byte)
+                if to is None:
+                    continue
+                going.append((a, to))
+                if ended == -2:
+                    token = token_of[to]
+                    if token is not None:
+                        before = last[a]
+                        fits = pairs.get((before + 1) << 32 | token)
+                        if fits is None:
+                            fits = self._may_follow(before, token)
+                        if fits:
+                            ended, begun = token, a
+            last.append(ended)
+            start.append(begun)
+            open_ = going
+            if ended != -2:
+                going.append((i, 0))
+        out, i = [], len(piece)
+        while i:
+            out.append(last[i])
+            i = start[i]
+        return out[::-1]
+
     def encode(self, piece: bytes) -> list[int]:
         """Tokens of one piece: a token of the vocabulary as it stands, else by the transducer."""
         if piece in self.ranks:
             return [self.ranks[piece]]
-        if len(self.states) > STATES:
-            self.reset()
         arrows, writes = self.arrows, self.writes
         out: list[int] = []
         state = 0
@@ -162,6 +192,12 @@ class Transducer:
             key = state << 8 | byte
             state = arrows.get(key)
             if state is None:
+                # an arrow is made when it is needed a second time
+                if key not in self.met or len(self.states) > STATES:
+                    if len(self.met) < 8 * STATES:
+                        self.met.add(key)
+                    return self._walk(piece)
+                self.met.discard(key)
                 state = self._arrow(key)
             if key in writes:
                 out += writes[key]
@@ -170,18 +206,33 @@ class Transducer:
 
 
 class Pieces(dict):
-    """Piece of text → its ids as little-endian 32-bit integers."""
+    """Piece of text → its ids as little-endian 32-bit integers.
+
+    Two generations: when the young one is full the old one goes, so pieces in use stay.
+    """
 
     def __init__(self, transducer: Transducer):
         super().__init__()
         self.transducer = transducer
+        self.old: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
-        ids = np.asarray(self.transducer.encode(piece.encode()), "<u4").tobytes()
+        ids = self.old.get(piece)
+        if ids is None:
+            tokens = self.transducer.encode(piece.encode())
+            ids = pack(f"<{len(tokens)}I", *tokens)
         if len(piece) < 100:
             self[piece] = ids
         return ids
 
+    def turn(self) -> None:
+        if len(self) > PIECES // 2:
+            self.old = dict(self)
+            self.clear()
+            pairs = self.transducer._pairs
+            if len(pairs) > PIECES:
+                pairs.clear()
+
 
 def narrow(pattern: str, below: int = 0x250):
     """The pattern for texts whose characters lie below a code point, for the faster ``re``.
@@ -214,14 +265,8 @@ class Codec:
         for token, rank in ranks.items():
             self.bytes_of[rank] = token
 
-    def forget(self) -> None:
-        """Give back what was remembered of the texts so far."""
-        self.pieces.clear()
-        self.pieces.transducer.reset()
-
     def encode(self, text: str) -> bytes:
-        if len(self.pieces) > PIECES:
-            self.pieces.clear()
+        self.pieces.turn()
         split = self.few_split if self.are_few(text) else self.any_split
         return b"".join(map(self.pieces.__getitem__, split(text)))
 
@@ -245,8 +290,8 @@ _codecs: dict[tuple[str, str], Codec] = {}
 def codec(rank_file: str, pattern: str) -> Codec:
     """One per Python worker; its rank file must lie at the same path on every worker."""
     if (rank_file, pattern) not in _codecs:
-        gc.disable()  # nothing here makes cycles, and walking the tables takes long
         _codecs[rank_file, pattern] = Codec(rank_file, pattern)
+        hold("byte_bpe", _codecs.clear)
     return _codecs[rank_file, pattern]
 
 
@@ -262,16 +307,20 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, column: str = "text",
     out = docs.select(*[F.col(f"`{c}`") for c in rest])
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release("byte_bpe")
         own = codec(rank_file, pattern)
-        for batch in batches(source, column=column):
-            texts = [t or "" for t in batch[column].to_pylist()]
-            made = [own.encode(t) for t in texts]
-            back = ["".join(own.decode_stream(m[i:i + 4 * chunk] for i in range(0, len(m), 4 * chunk))) for m in made]
+        for batch in batches(source, column=column, owner="byte_bpe"):
+            gc.disable()  # nothing here makes cycles, and walking the tables takes long
+            try:
+                texts = [t or "" for t in batch[column].to_pylist()]
+                made = [own.encode(t) for t in texts]
+                back = ["".join(own.decode_stream(m[i:i + 4 * chunk] for i in range(0, len(m), 4 * chunk))) for m in made]
+            finally:
+                gc.enable()
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(made, pa.binary()), pa.array(back, pa.string())],
                 names=[*batch.schema.names, ids, "decoded"],
             )
-        own.forget()  # the worker's next task may be another operator's
 
     kind = T.StructType([*out.schema.fields, T.StructField(ids, T.BinaryType()), T.StructField("decoded", T.StringType())])
     return out.mapInArrow(run, kind)
