@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +20,29 @@ _blank = np.zeros(256, bool)
 _blank[[9, 10, 11, 12, 13, 32]] = True
 
 
+_held: dict[str, Callable[[], None]] = {}
+
+
+def hold(owner: str, drop: Callable[[], None]) -> None:
+    """Tables this Python worker keeps between tasks, until a task of another operator begins."""
+    _held[owner] = drop
+
+
+def release(owner: str | None = None) -> None:
+    """Give back what other operators left in this worker."""
+    global _powers
+    others = [name for name in _held if name != owner]
+    for name in others:
+        _held.pop(name)()
+    if others:
+        _powers = np.ones(1, np.uint64), np.ones(1, np.uint64)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (OSError, AttributeError):  # not the GNU C library
+            pass
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**i and INVERSE**i for i < n."""
     global _powers
@@ -88,8 +112,9 @@ def runs(texts: list[bytes], most: int) -> Iterator[list[bytes]]:
         yield part
 
 
-def batches(source: Iterator[pa.RecordBatch], most: int = 1 << 22, column: str = "text") -> Iterator[pa.RecordBatch]:
-    """The same rows in batches whose texts take about so many bytes."""
+def batches(source: Iterator[pa.RecordBatch], most: int = 1 << 22, column: str = "text", owner: str | None = None) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches whose texts take about so many bytes; tables of other operators than ``owner`` go."""
+    release(owner)
     for batch in source:
         size = np.asarray(pc.fill_null(pc.binary_length(batch[column]), 0), np.int64)
         group = np.cumsum(size) // most
@@ -118,6 +143,14 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Remove the files of a table that :func:`stored` made and nothing will read again."""
+    jvm = df.sparkSession._jvm
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

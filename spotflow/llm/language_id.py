@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from spotflow.llm.byte_bpe import read_ranks
-from spotflow.llm.common import _values, batches, byte_sums, powers, spans, stored, word_bounds
+from spotflow.llm.common import _values, batches, byte_sums, hold, powers, release, spans, stored, word_bounds
 
 #: Longest piece in bytes; longest word that is scored with others of its length.
 PIECE, STRETCH = 16, 256
@@ -67,6 +67,7 @@ _vocabularies: dict[str, Vocabulary] = {}
 def vocabulary(rank_file: str) -> Vocabulary:
     if rank_file not in _vocabularies:
         _vocabularies[rank_file] = Vocabulary(rank_file)
+        hold("language_id", _vocabularies.clear)
     return _vocabularies[rank_file]
 
 
@@ -178,7 +179,7 @@ def stretches(word: bytes) -> Iterator[bytes]:
 def word_counts(docs: DataFrame) -> DataFrame:
     """(lang, text) → lang, word, n: stretches of words in lower case, a blank before each word."""
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches(source):
+        for batch in batches(source, owner="language_id"):
             found: Counter = Counter()
             for lang, text in zip(batch["lang"].to_pylist(), batch["text"].to_pylist()):
                 found.update((lang, s) for w in text.lower().encode().split() for s in stretches(b" " + w))
@@ -217,6 +218,7 @@ def train(docs: DataFrame, rank_file: str, docs_per_language: int = 2000, rounds
     chance = np.full((own.size, len(languages)), 1.0 / own.size)
 
     def count(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release("language_id")
         here = vocabulary(rank_file)
         sums = np.zeros((len(languages), here.size))
         for batch in source:
@@ -240,6 +242,7 @@ def train(docs: DataFrame, rank_file: str, docs_per_language: int = 2000, rounds
         fitted = np.full_like(chance, smoothing)
         fitted[got["piece"].to_numpy(np.int64), got["k"].to_numpy(np.int64)] += got["n"].to_numpy(float)
         chance = fitted / fitted.sum(0)
+    release()  # the driver needs the vocabulary no longer
     return Model(languages, chance, rank_file)
 
 
@@ -275,21 +278,22 @@ def _log_likelihoods(texts: list[bytes], own: Vocabulary, chance: np.ndarray) ->
     return out
 
 
-def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """Add ``lang_pred`` and ``score`` from the whole text of each row.
+def identify(docs: DataFrame, model: Model, pred: str = "lang_pred", score_as: str = "score") -> DataFrame:
+    """Add ``lang_pred`` and ``score`` (or the names given) from the whole text of each row.
 
     ``score`` is the language's posterior under equal priors. A text that is
     null or has no letter is ``und`` with score 0, and so is every text if the
     model has learned no language; among equal languages the first by name
     wins. Columns of these names are replaced.
     """
-    rest = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    rest = [c for c in docs.columns if c not in (pred, score_as)]
     out = docs.select(*[F.col(f"`{c}`") for c in rest])
     languages, chance, rank_file = model.languages, model.chance, model.rank_file
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release("language_id")
         own = vocabulary(rank_file)
-        for batch in batches(source, 1 << 21):
+        for batch in batches(source, 1 << 21, owner="language_id"):
             texts = [t or "" for t in batch["text"].to_pylist()]
             lang, score = ["und"] * len(texts), np.zeros(len(texts))
             if languages:
@@ -299,6 +303,6 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
                 for i, t in enumerate(texts):
                     if LETTER.search(t):
                         lang[i], score[i] = languages[best[i]], sure[i]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang), pa.array(score)], names=[*batch.schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang), pa.array(score)], names=[*batch.schema.names, pred, score_as])
 
-    return out.mapInArrow(run, T.StructType([*out.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    return out.mapInArrow(run, T.StructType([*out.schema.fields, T.StructField(pred, T.StringType()), T.StructField(score_as, T.DoubleType())]))

@@ -4,7 +4,8 @@ The bits of a SimHash tell little about a Jaccard similarity of 0.8 (some ten of
 64 bits differ, and 13 or more often enough), so those pairs are found by
 MinHash: BANDS bands of ROWS minima each. A pair at 0.8 shares no band with a
 chance of (1 - 0.8**ROWS)**BANDS, about one in eight million; a pair above it
-with less. Every pair that shares a band is then compared by its whole sets.
+with less. Of the pairs that share a band, those whose sketches (one bit of each
+minimum) are far apart are left out; every other is compared by its whole sets.
 
 Sets that are equal take part once. In each band first all members are compared
 with the least one; then only those that are not connected yet with each other,
@@ -19,11 +20,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from spotflow.llm.common import as_bytes, batches, mix, stored
+from spotflow.llm.common import as_bytes, batches, discard, mix, stored
 from spotflow.llm.simhash import fingerprint, roots
 from spotflow.operators.graphs import connected_components
 
 BANDS, ROWS = 40, 5
+#: Longs of a sketch (one bit of each minimum), and how many bits may differ: at 0.8 it is 20 on average, 4.2 the deviation.
+SKETCH, MOST_BITS = 4, 50
 _made = np.random.default_rng(8).integers(0, 1 << 63, (2, BANDS * ROWS), dtype=np.uint64)
 _turns, _factors = _made[0], _made[1] | np.uint64(1)
 
@@ -39,19 +42,29 @@ def shingle_set(text: bytes, size: int) -> np.ndarray:
     return np.unique(np.fromiter((xxhash.xxh64_intdigest(s, 42) for s in shingles), np.uint64))
 
 
-def bands(hashes: np.ndarray) -> np.ndarray:
-    """One number for each band of a set; none for the empty set."""
-    if not len(hashes):
-        return np.zeros(0, np.int64)
+def minima(hashes: np.ndarray) -> np.ndarray:
+    """The MinHash values of a set that is not empty."""
     least = np.full(BANDS * ROWS, ~np.uint64(0))
     for a in range(0, len(hashes), 1 << 10):
         np.minimum(least, ((hashes[a:a + (1 << 10), None] ^ _turns) * _factors).min(0), out=least)
+    return least
+
+
+def bands(least: np.ndarray) -> np.ndarray:
+    """One number for each band."""
     out = np.arange(BANDS, dtype=np.uint64)
     for column in least.reshape(BANDS, ROWS).T:
         out = mix(mix(out) + column)
     return out.view(np.int64)
 
 
+def sketch(least: np.ndarray) -> np.ndarray:
+    """One bit of each minimum, as longs."""
+    bits = np.zeros(64 * SKETCH, np.uint8)
+    bits[:len(least)] = mix(least) >> np.uint64(63)
+    return np.packbits(bits).view(np.int64)
+
+
 def signatures(docs: DataFrame, size: int = 5, print_size: int = 3) -> DataFrame:
     """(doc_id, text) → doc_id, text_hash, fingerprint (of op5's shingles), key of the shingle set, bands."""
 
@@ -63,61 +76,101 @@ def signatures(docs: DataFrame, size: int = 5, print_size: int = 3) -> DataFrame
             sets = [shingle_set(t, size) for t in texts]
             keys = np.array([xxhash.xxh64_intdigest(s.tobytes(), 7) for s in sets], np.uint64).view(np.int64)
             prints = np.array([fingerprint(t, print_size) for t in texts], np.uint64).view(np.int64)
+            least = [minima(s) if len(s) else None for s in sets]
+            none = np.zeros(0, np.int64)
+            made = [pa.array([none if m is None else f(m) for m in least], pa.list_(pa.int64())) for f in (bands, sketch)]
             yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], batch["text_hash"], pa.array(prints), pa.array(keys), pa.array([bands(s) for s in sets], pa.list_(pa.int64()))],
-                names=["doc_id", "text_hash", "fingerprint", "key", "bands"],
+                [batch["doc_id"], batch["text_hash"], pa.array(prints), pa.array(keys), *made],
+                names=["doc_id", "text_hash", "fingerprint", "key", "bands", "sketch"],
             )
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash")).mapInArrow(
-        run, "doc_id long, text_hash long, fingerprint long, key long, bands array<long>"
+        run, "doc_id long, text_hash long, fingerprint long, key long, bands array<long>, sketch array<long>"
     )
 
 
+def _close(a: str, b: str):
+    """So many bits of two sketches are equal as sets of 0.8 or more have, but for one pair in some 10**11."""
+    return sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(1, SKETCH)),
+               F.bit_count(F.col(a)[0].bitwiseXOR(F.col(b)[0]))) <= MOST_BITS
+
+
 def _alike(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) of keys whose sets are similar enough."""
+    """Those of the pairs (a, b) of keys whose sets are similar enough, by their whole sets."""
     def sets(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(source):
-            made = [shingle_set(t, size).tobytes() for t in as_bytes(batch["text"])]
-            yield pa.RecordBatch.from_arrays([batch["key"], pa.array(made, pa.binary())], names=["key", "hashes"])
-
-    def compared(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in source:
-            keep = []
-            for one, two in zip(batch["one"], batch["two"]):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (one, two))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            made = [shingle_set(t, size).view(np.int64) for t in as_bytes(batch["text"])]
+            yield pa.RecordBatch.from_arrays([batch["key"], pa.array(made, pa.list_(pa.int64()))], names=["key", "hashes"])
 
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    held = stored(docs.join(wanted, "key", "left_semi").select("key", "text").mapInArrow(sets, "key long, hashes binary"))
+    held = stored(docs.join(wanted, "key", "left_semi").select("key", "text").mapInArrow(sets, "key long, hashes array<long>"))
     first = held.select(F.col("key").alias("a"), F.col("hashes").alias("one"))
     second = held.select(F.col("key").alias("b"), F.col("hashes").alias("two"))
-    return stored(pairs.join(first, "a").join(second, "b").select("a", "b", "one", "two").mapInArrow(compared, "a long, b long"))
-
-
-def _apart(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of a band's members that are in different classes."""
+    both = F.size(F.array_intersect("one", "two"))
+    enough = 100 * both >= percent * (F.size("one") + F.size("two") - both)
+    found = stored(pairs.join(first, "a").join(second, "b").where(enough).select("a", "b"))
+    discard(held)
+    return found
+
+
+def _apart(key: np.ndarray, root: np.ndarray, block: np.ndarray, sketch: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Pairs of members that are in different classes and have close sketches; of two blocks, one from each."""
+    both = len(np.unique(block)) > 1
+    for i in range(len(key) - 1):
+        rest = slice(i + 1, None)
+        open_ = root[rest] != root[i]
+        if both:
+            open_ &= block[rest] != block[i]
+        other = np.flatnonzero(open_) + i + 1
+        other = other[np.bitwise_count(sketch[other] ^ sketch[i]).sum(1) <= MOST_BITS]
+        if len(other):
+            one, two = np.full(len(other), key[i]), key[other]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(one, two)), pa.array(np.maximum(one, two))], names=["a", "b"])
+
+
+def _columns(rows: pa.StructArray | pa.Table) -> list[np.ndarray]:
+    get = rows.column if isinstance(rows, pa.Table) else rows.field
+    key, root, block = (np.asarray(get(c)) for c in ("key", "root", "block"))
+    column = get("sketch")
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return [key, root, block, np.asarray(column.flatten()).view(np.uint64).reshape(-1, SKETCH)]
+
+
+def _apart_small(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in source:
         for members in batch["members"]:
-            key, root = (members.values.field(c).to_numpy() for c in ("key", "root"))
-            for i in range(len(key) - 1):
-                other = np.flatnonzero(root[i + 1:] != root[i]) + i + 1
-                if len(other):
-                    one, two = np.full(len(other), key[i]), key[other]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(one, two)), pa.array(np.maximum(one, two))], names=["a", "b"])
+            yield from _apart(*_columns(members.values))
+
 
+def _apart_large(table: pa.Table) -> pa.Table:
+    found = list(_apart(*_columns(table)))
+    kind = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    return pa.Table.from_batches(found, kind)
 
-def jaccard_links(shared: DataFrame, texts: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+
+def jaccard_links(shared: DataFrame, texts: DataFrame, size: int = 5, percent: int = 80, small: int = 64, most: int = 2048) -> DataFrame:
     """Edges (a, b) between keys that connect all sets of such a similarity.
 
-    ``shared`` has band, key, and the least key of the band; ``texts`` one text (key, text) of each key.
+    ``shared`` has band, key, sketch, the number of keys of the band, the least of them and its
+    sketch; ``texts`` one text (key, text) of each key. In bands of more than ``small`` members blocks of
+    ``most`` meet two by two.
     """
-    found = _alike(stored(shared.where("key <> least").select(F.col("least").alias("a"), F.col("key").alias("b")).distinct()), texts, size, percent)
+    stars = shared.where("key <> least").where(_close("sketch", "least_sketch")).select(F.col("least").alias("a"), F.col("key").alias("b")).distinct()
+    found = _alike(stored(stars), texts, size, percent)
     classes = connected_components(found).select(F.col("member").alias("key"), "root")
-    placed = shared.join(classes, "key", "left").select("band", F.struct("key", F.coalesce("root", "key").alias("root")).alias("m"))
-    open_ = placed.groupBy("band").agg(F.collect_list("m").alias("members"), F.min("m.root").alias("lo"), F.max("m.root").alias("hi")).where("lo <> hi")
-    pairs = open_.select("members").mapInArrow(_apart, "a long, b long").distinct()
+    placed = stored(shared.join(classes, "key", "left").select("band", "n", "key", F.coalesce("root", "key").alias("root"), "sketch"))
+    open_ = placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band")
+    placed = placed.join(open_, "band", "left_semi")
+    few = placed.where(F.col("n") <= small).groupBy("band").agg(F.collect_list(F.struct("key", "root", F.lit(0).alias("block"), "sketch")).alias("members"))
+    blocks = F.ceil(F.col("n") / most).cast("int")
+    many = (
+        placed.where(F.col("n") > small)
+        .select("band", "key", "root", "sketch", F.pmod(F.xxhash64("key"), blocks).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("t"))
+        .select("*", F.least("block", "t").alias("i"), F.greatest("block", "t").alias("j")).drop("t")
+    )
+    pairs = few.select("members").mapInArrow(_apart_small, "a long, b long").unionByName(
+        many.groupBy("band", "i", "j").applyInArrow(_apart_large, "a long, b long")
+    ).distinct()
     return found.union(_alike(stored(pairs), texts, size, percent))
 
 
@@ -131,12 +184,14 @@ def keep_one(docs: DataFrame, size: int = 5, percent: int = 80, radius: int = 3,
     signed = stored(signatures(docs, size, print_size))
     chosen = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"))
     same = lambda x, y: x["doc_id"].cast("long").eqNullSafe(y["_d"]) & F.xxhash64(x["text"]).eqNullSafe(y["_h"])
-    rows = signed.groupBy("key").agg(F.first("bands").alias("bands")).select("key", F.explode("bands").alias("band"))
-    sizes = rows.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("least")).where("n > 1")
-    shared = stored(rows.join(sizes, "band").select("band", "key", "least"))
+    one = signed.groupBy("key").agg(F.first(F.struct("bands", "sketch")).alias("s"))
+    rows = one.select("key", "s.sketch", F.explode("s.bands").alias("band"))
+    sizes = rows.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("least"), F.min_by("sketch", "key").alias("least_sketch")).where("n > 1")
+    shared = stored(rows.join(sizes, "band").select("band", "key", "sketch", "n", "least", "least_sketch"))
     met = signed.join(shared.select("key").distinct(), "key", "left_semi")
     of_key = stored(met.groupBy("key").agg(F.min(chosen).alias("s")).select("key", "s._d", "s._h"))
-    texts = stored(docs.join(of_key, same(docs, of_key)).select("key", "text").dropDuplicates(["key"]))
+    plain = docs.select(F.col("doc_id"), F.col("text"))  # whatever the other columns are called
+    texts = stored(plain.join(of_key, same(plain, of_key)).select("key", "text").dropDuplicates(["key"]))
     by_print = stored(signed.join(roots(signed, radius), "fingerprint").groupBy("root", "key").agg(F.lit(1).alias("_")).select("root", "key"))
     stars = by_print.join(by_print.groupBy("root").agg(F.min("key").alias("a")), "root").where("key <> a").select("a", F.col("key").alias("b"))
     edges = stored(jaccard_links(shared, texts, size, percent).union(stars))

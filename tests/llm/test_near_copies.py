@@ -2,7 +2,10 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from spotflow.llm import near_copies, simhash
+from spotflow.operators.graphs import connected_components
 
 
 def brute(rows):
@@ -54,3 +57,46 @@ def test_stage_without_near_copies(spark):
     assert near_copies.keep_one(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     rows = [(i, " ".join(f"w{i}x{k}" for k in range(30))) for i in range(5)]
     assert near_copies.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).count() == 5
+
+
+def test_large_bands_in_blocks(spark):
+    """Bands cut into blocks give the links that whole bands give."""
+    rng = random.Random(9)
+    base = [f"t{k}" for k in range(300)]
+    rows = []
+    for i in range(150):
+        words = list(base)
+        for _ in range(rng.randrange(12)):
+            words[rng.randrange(300)] = f"n{rng.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    want, _ = brute(rows)
+    signed = near_copies.signatures(spark.createDataFrame(rows, "doc_id long, text string"))
+    one = signed.select("key", "sketch", F.explode("bands").alias("band"))
+    sizes = one.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("least"), F.min_by("sketch", "key").alias("least_sketch")).where("n > 1")
+    texts = spark.createDataFrame(rows, "doc_id long, text string").withColumn("text_hash", F.xxhash64("text")).join(signed, ["doc_id", "text_hash"]).select("key", "text")
+    shared = one.join(sizes, "band")
+    found = [set(map(tuple, connected_components(near_copies.jaccard_links(shared, texts, small=s, most=m)).collect())) for s, m in ((1000, 1000), (4, 10))]
+    assert found[0] == found[1] and found[0]
+
+
+def test_stages_leave_clashing_columns_alone(spark):
+    import corpus_pipeline
+
+    names = ["score", "lang_pred", "key", "root", "band", "least", "n", "block", "sketch", "_h", "ids", "decoded"]
+    docs = [(i, f"Some words number {i} and a few more of them, enough to tell the language.", "en") for i in range(8)] + [(8, "123", "en")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    for name in names:
+        df = df.withColumn(name, F.lit(7.0))
+    kept = corpus_pipeline.language(spark, df, "")
+    assert kept.columns == df.columns and kept.count() == 8
+    for stage in (corpus_pipeline.exact, corpus_pipeline.near):
+        kept = stage(spark, kept, "")
+        assert kept.columns == df.columns and kept.count() == 8
+    assert {tuple(r)[3:] for r in kept.collect()} == {(7.0,) * len(names)}
+
+
+def test_documents_without_any_language_stay(spark):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(1, "words here", None), (2, None, None)], "doc_id long, text string, lang string")
+    assert corpus_pipeline.language(spark, docs, "").count() == 2
