@@ -17,10 +17,24 @@ from spotflow.llm.common import stored
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
+def free_name(name: str, docs: DataFrame) -> str:
+    """The name, made longer until no column of the documents has it."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a language can be told; the model learns from those that name theirs."""
+    """Documents in which a language can be told; the model learns from those that name theirs.
+
+    Where none names its language there is no model, and nothing to reject by: all stay.
+    """
     model = language_id.train(docs, RANKS)
-    return language_id.identify(docs, model).where("lang_pred <> 'und'").select(*docs.columns)
+    if not model.languages:
+        return docs
+    pred, score = free_name("lang_pred", docs), free_name("score", docs)
+    return language_id.identify(docs, model, pred, score).where(F.col(pred) != "und").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
