@@ -19,32 +19,41 @@ from pyspark.sql import Column, DataFrame, functions as F
 from spotflow.llm.common import stored
 
 
+def _chunk(lines: Column, first: Column, end: Column) -> Column:
+    """The lines first to end as (first, n, hash, full); ``full`` of them are not blank."""
+    own = F.slice(lines, first, end - first + 1)
+    return F.struct(
+        first.alias("first"), (end - first + 1).alias("n"), F.xxhash64(own).alias("hash"),
+        F.size(F.filter(own, lambda x: F.trim(x) != "")).alias("full"),
+    )
+
+
 def chunks(lines: Column, mean: int) -> Column:
-    """Chunks of an array of lines as (first, n, hash); lines are counted from 1, ``mean`` lines a chunk."""
+    """Chunks of an array of lines as (first, n, hash, full); lines are counted from 1, ``mean`` lines a chunk.
+
+    Each line is hashed once and meets the hash before it by position, so the work grows with the lines.
+    """
     hashes = F.transform(lines, lambda x: F.xxhash64(x))
+    n = F.size(lines)
+    before = F.concat(F.array(F.lit(None).cast("long")), F.slice(hashes, F.lit(1), n - 1))
 
-    def rolling(i: Column) -> Column:
-        before = F.get(hashes, i - 2)
-        turned = F.shiftleft(before, 1).bitwiseOR(F.shiftrightunsigned(before, 63))
-        return F.coalesce(turned, F.lit(0)).bitwiseXOR(F.get(hashes, i - 1))
+    def rolling(b: Column, h: Column) -> Column:
+        turned = F.shiftleft(b, 1).bitwiseOR(F.shiftrightunsigned(b, 63))
+        return F.pmod(F.xxhash64(F.coalesce(turned, F.lit(0)).bitwiseXOR(h)), F.lit(mean)) == 0
 
-    n = F.size(lines)
-    ends = F.filter(F.sequence(F.lit(1), n), lambda i: (i == n) | (F.pmod(F.xxhash64(rolling(i)), F.lit(mean)) == 0))
-    firsts = F.concat(F.array(F.lit(1)), F.transform(F.slice(ends, 1, F.size(ends) - 1), lambda e: e + 1))
-    return F.transform(F.arrays_zip(firsts.alias("first"), ends.alias("end")), lambda c: F.struct(
-        c["first"].alias("first"), (c["end"] - c["first"] + 1).alias("n"),
-        F.xxhash64(F.slice(lines, c["first"], c["end"] - c["first"] + 1)).alias("hash"),
-    ))
+    marked = F.transform(F.zip_with(before, hashes, rolling), lambda cut, i: F.when(cut | (i == n - 1), i + 1))
+    ends = F.filter(marked, lambda e: e.isNotNull())
+    firsts = F.concat(F.array(F.lit(1)), F.transform(ends, lambda e: e + 1))
+    pairs = F.filter(F.arrays_zip(firsts.alias("first"), ends.alias("end")), lambda c: c["end"].isNotNull())
+    return F.transform(pairs, lambda c: _chunk(lines, c["first"], c["end"]))
 
 
 def line_pairs(lines: Column) -> Column:
-    """Each non-blank line with the next one, and the blank lines between, as (first, n, hash)."""
+    """Each non-blank line with the next one, and the blank lines between, as (first, n, hash, full)."""
     full = F.filter(F.sequence(F.lit(1), F.size(lines)), lambda i: F.trim(F.get(lines, i - 1)) != "")
     last = F.greatest(F.size(full) - 1, F.lit(0))
-    return F.transform(F.arrays_zip(F.slice(full, 1, last).alias("first"), F.slice(full, 2, last).alias("end")), lambda c: F.struct(
-        c["first"].alias("first"), (c["end"] - c["first"] + 1).alias("n"),
-        F.xxhash64(F.slice(lines, c["first"], c["end"] - c["first"] + 1)).alias("hash"),
-    ))
+    pairs = F.arrays_zip(F.slice(full, 1, last).alias("first"), F.slice(full, 2, last).alias("end"))
+    return F.transform(pairs, lambda c: _chunk(lines, c["first"], c["end"]))
 
 
 def line_dedup(docs: DataFrame, mean: int = 3, seams: bool = False) -> DataFrame:
@@ -69,10 +78,9 @@ def line_dedup(docs: DataFrame, mean: int = 3, seams: bool = False) -> DataFrame
 
     found = stored(
         own.where(F.instr("text", "\n") > 0)
-        .select("doc_id", "_h", lines.alias("lines")).select("doc_id", "_h", "lines", F.explode(cut).alias("c"))
-        .where(F.col("c.n") > 1)
-        .where(F.size(F.filter(F.slice("lines", F.col("c.first"), F.col("c.n")), lambda x: F.trim(x) != "")) > 1)
-        .select(F.col("doc_id").isNotNull().alias("_id"), "doc_id", "_h", "c.*").distinct()
+        .select("doc_id", "_h", lines.alias("lines")).select("doc_id", "_h", F.explode(cut).alias("c"))
+        .where(F.col("c.full") > 1)
+        .select(F.col("doc_id").isNotNull().alias("_id"), "doc_id", "_h", "c.first", "c.n", "c.hash").distinct()
     )
     place = F.struct("_id", "doc_id", "_h", "first")
     repeated = stored(found.groupBy("hash").agg(F.min(place).alias("origin"), F.count(F.lit(1)).alias("times")).where("times > 1"))
@@ -85,8 +93,12 @@ def line_dedup(docs: DataFrame, mean: int = 3, seams: bool = False) -> DataFrame
     )
     taken = stored(
         own.join(wanted.withColumnsRenamed({"doc_id": "_d", "_h": "_g"}), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_g")))
-        .select("doc_id", "_h", lines.alias("lines"), F.explode("cs").alias("c"))
-        .select("doc_id", "_h", "c.*", F.array_join(F.slice("lines", F.col("c.first"), F.col("c.n")), "\n").alias("chunk"))
+        .select("doc_id", "_h", lines.alias("lines"), "cs")
+        .select("doc_id", "_h", F.explode(F.transform("cs", lambda c: F.struct(
+            c["first"].alias("first"), c["n"].alias("n"), c["hash"].alias("hash"), c["is_first"].alias("is_first"),
+            F.array_join(F.slice("lines", c["first"], c["n"]), "\n").alias("chunk"),
+        ))).alias("c"))  # the texts stay below: no row carries more than its chunk
+        .select("doc_id", "_h", "c.*")
     )
     first = taken.where("is_first").select("hash", F.col("chunk").alias("_chunk"))
     copies = (
@@ -98,7 +110,10 @@ def line_dedup(docs: DataFrame, mean: int = 3, seams: bool = False) -> DataFrame
     )
     places = F.array_distinct(F.flatten(F.transform("gone", lambda g: F.sequence(g["first"], g["first"] + g["n"] - 1))))
     joined = joined.withColumn("gone", places)
-    kept = F.filter(lines, lambda x, i: ~F.array_contains("gone", i + 1))
+    # lambda variables hold the lines, so a text is cut once
+    kept = F.transform(F.array(lines), lambda ls: F.transform(
+        F.array_except(F.sequence(F.lit(1), F.size(ls)), F.col("gone")), lambda i: F.get(ls, i - 1)
+    ))[0]
     n_lines = F.when(F.col("text") == "", F.lit(0)).otherwise(F.size(lines)).cast("long")
     return joined.select(
         "doc_id",
