@@ -28,6 +28,54 @@ WORD = r"[A-Za-z0-9+/_=-]{6,}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 #: Number of characters, and of the edge before the first.
 SIZE = len(ALPHABET)
+#: Matches of a text that are summed together.
+BLOCK = 256
+
+
+def _blocks(items: Column, size: int = BLOCK) -> Column:
+    """An array cut into arrays of ``size`` elements at most; one empty array for an empty one."""
+    return F.transform(F.array(items), lambda all_: F.transform(
+        F.sequence(F.lit(0), F.greatest(F.ceil(F.size(all_) / size).cast("int") - 1, F.lit(0))),
+        lambda b: F.slice(all_, b * size + 1, F.lit(size)),
+    ))[0]
+
+
+def _starts(parts: Column) -> Column:
+    """Starts of the matches, from (g, m): lengths of the part before each match and of the match, null after the last.
+
+    Running sums within blocks, and over the blocks: appending to one list would copy it at each match.
+    """
+    ints = F.array().cast("array<int>")
+
+    def sums(block: Column) -> Column:
+        return F.aggregate(
+            block, F.struct(F.lit(0).alias("at"), ints.alias("starts")),
+            lambda acc, x: F.struct(
+                (acc["at"] + x["g"] + F.coalesce(x["m"], F.lit(0))).alias("at"),
+                F.when(x["m"].isNotNull(), F.concat(acc["starts"], F.array(acc["at"] + x["g"]))).otherwise(acc["starts"]).alias("starts"),
+            ),
+        )
+
+    def joined(summed: Column) -> Column:
+        offsets = F.aggregate(
+            summed, F.struct(F.lit(0).alias("at"), ints.alias("offsets")),
+            lambda acc, x: F.struct((acc["at"] + x["at"]).alias("at"), F.concat(acc["offsets"], F.array(acc["at"])).alias("offsets")),
+        )["offsets"]
+        return F.flatten(F.zip_with(summed, offsets, lambda x, o: F.transform(x["starts"], lambda s: s + o)))
+
+    return F.transform(F.array(F.transform(_blocks(parts), sums)), joined)[0]
+
+
+def _free(tokens: Column, base: Column) -> Column:
+    """Tokens that no base span overlaps; each block of tokens meets only the spans that reach into it."""
+    def of_block(block: Column) -> Column:
+        first, last = F.get(block, F.lit(0))["start"], F.element_at(block, -1)["end"]
+        near = F.filter(base, lambda x: (x["start"] < last) & (first < x["end"]))
+        return F.transform(F.array(near), lambda spans: F.filter(
+            block, lambda t: ~F.exists(spans, lambda x: (x["start"] < t["end"]) & (t["start"] < x["end"]))
+        ))[0]
+
+    return F.flatten(F.transform(F.filter(_blocks(tokens), lambda b: F.size(b) > 0), of_block))
 
 
 def _spans(text: Column, kind: str, pattern: str, keep) -> Column:
@@ -35,15 +83,7 @@ def _spans(text: Column, kind: str, pattern: str, keep) -> Column:
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.transform(F.split(text, pattern, -1), lambda s: F.char_length(s))
     lengths = F.transform(found, lambda s: F.char_length(s))
-    # running starts: the gaps and matches before
-    start = F.aggregate(
-        F.arrays_zip(gaps.alias("g"), lengths.alias("m")),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts")),
-        lambda acc, x: F.struct(
-            (acc["at"] + x["g"] + F.coalesce(x["m"], F.lit(0))).alias("at"),
-            F.when(x["m"].isNotNull(), F.concat(acc["starts"], F.array(acc["at"] + x["g"]))).otherwise(acc["starts"]).alias("starts"),
-        ),
-    )["starts"]
+    start = _starts(F.arrays_zip(gaps.alias("g"), lengths.alias("m")))
     made = F.transform(
         F.arrays_zip(start.alias("s"), found.alias("v")),
         lambda x: F.struct(
@@ -155,6 +195,5 @@ def scan(docs: DataFrame, threshold: float = 0.5, least_docs: int = 20_000) -> D
     found = docs.select("doc_id", base_spans(text).alias("base"), _spans(
         text, "random", TOKEN, lambda v: v.rlike("[0-9]")
     ).alias("tokens"))
-    free = F.filter("tokens", lambda t: ~F.exists("base", lambda x: (x["start"] < t["end"]) & (t["start"] < x["end"])))
-    random = F.filter(free, lambda t: ratio(t["value"], table) >= threshold)
+    random = F.filter(_free(F.col("tokens"), F.col("base")), lambda t: ratio(t["value"], table) >= threshold)
     return found.select("doc_id", F.when(F.size("tokens") == 0, F.col("base")).otherwise(in_order(F.concat("base", random))).alias("spans"))
