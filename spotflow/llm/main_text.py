@@ -28,7 +28,7 @@ RAW = {name: re.compile(rf"</{name}\s*>", re.I) for name in ("script", "style",
 #: Elements without content, which never close.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that hold no main text.
-OUTSIDE = frozenset("head nav header footer aside form button select menu dialog figcaption".split())
+OUTSIDE = frozenset("head nav header footer aside form button select menu dialog".split())
 #: Words in a class, id or role of an element that holds no main text.
 NAMED = re.compile(
     r"""(?:^|[\s"'_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|nav\w*|menu|header|footer|sidebar|comments?|replies|respond|disqus"""
@@ -50,6 +50,7 @@ def tokens(page: str) -> Iterator[tuple[str, str, bool]]:
     or where the first article begins.
     """
     at, open_, skipped, seen = 0, [], 0, False  # open_: (name, starts an outside element)
+    names: Counter = Counter()  # how many elements of a name are open
     while at < len(page):
         m = TOKEN.match(page, at)
         if m is None:
@@ -61,10 +62,11 @@ def tokens(page: str) -> Iterator[tuple[str, str, bool]]:
                 yield "", m[0], bool(skipped)
             continue
         if m[1]:
-            names, within = [n for n, _ in open_], bool(skipped)
-            if name in names:
+            within = bool(skipped)
+            if names[name]:
                 while True:
                     n, outside = open_.pop()
+                    names[n] -= 1
                     skipped -= outside
                     if n == name:
                         break
@@ -79,6 +81,7 @@ def tokens(page: str) -> Iterator[tuple[str, str, bool]]:
         outside = name in OUTSIDE or name not in WHOLE and any(NAMED.search(v) for v in ATTRIBUTE.findall(m[3] or ""))
         if name not in VOID and not m[0].endswith("/>"):
             open_.append((name, outside))
+            names[name] += 1
             skipped += outside
         yield name, "", bool(skipped)
 
@@ -123,7 +126,7 @@ def train(pages: DataFrame, most: int = 2000) -> Weights:
 
     rows = chosen.mapInArrow(count, "tag string, inside boolean, n long").groupBy("tag", "inside").agg(F.sum("n").alias("n"))
     common = rows.groupBy("tag").agg(F.sum("n").alias("all"), F.sum(F.when(F.col("inside"), F.col("n")).otherwise(0)).alias("in"))
-    counts = {r["tag"]: (r["in"], r["all"] - r["in"]) for r in common.orderBy(F.desc("all"), "tag").limit(1000).collect()}
+    counts = {r["tag"]: (r["in"], r["all"] - r["in"]) for r in common.collect()}  # as many as the chosen pages have
     if not counts:
         return Weights(1.0, {}, -1.0)
     inside, outside = (sum(c[i] for c in counts.values()) for i in (0, 1))
