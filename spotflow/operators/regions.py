@@ -7,10 +7,7 @@ execution does that where the measured size of the dimension allows it.
 
 from __future__ import annotations
 
-import math
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from spotflow.functions.columns import cell, euclid, inside_polygon, project_on_segment
 from spotflow.operators.lineage import cut
@@ -106,37 +103,97 @@ def nearest_within(points: DataFrame, nodes: DataFrame, radius: float,
     )
 
 
-def nearest_node(points: DataFrame, nodes: DataFrame, key: str = "id",
-                 start: float | None = None) -> DataFrame:
-    """Nearest node of every point, however far.
+#: A cell has 2**BITS x 2**BITS cells on the next grid level; DEEPEST levels at most.
+BITS, DEEPEST = 2, 12
+
+
+def _cell_levels(places: DataFrame, low_x: float, low_y: float, side: float, depth: int, clamp: bool) -> DataFrame:
+    """Occupied cells of levels 0 to ``depth``: (level, cx, cy, n, and the box of the places inside).
+
+    ``clamp``: the upper border of the whole square belongs to its last cells.
+    """
+    finest = places.select("x", "y", *_cell_of(low_x, low_y, side, depth, clamp), F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("level"))
+    up = f"{BITS} * ({depth} - level)"
+    return finest.groupBy("level", F.expr(f"shiftright(cx, {up})").alias("cx"), F.expr(f"shiftright(cy, {up})").alias("cy")).agg(
+        F.count(F.lit(1)).alias("n"), F.min("x").alias("x1"), F.max("x").alias("x2"), F.min("y").alias("y1"), F.max("y").alias("y2"),
+    )
+
+
+def _cell_of(low_x: float, low_y: float, side: float, level: int, clamp: bool) -> list[Column]:
+    n = 2 ** (BITS * level)
+    found = [F.floor((F.col(v) - low) / side * n) for v, low in (("x", low_x), ("y", low_y))]
+    return [(F.least(c, F.lit(n - 1)) if clamp else c).cast("long").alias(f"c{v}") for c, v in zip(found, "xy")]
+
+
+def _nearest_only(met: DataFrame) -> DataFrame:
+    """Of the boxes (x1, x2, y1, y2) that a place's box (``_x1`` ...) met, those that may hold the node nearest to one of its points.
 
-    Looks within a radius first and doubles it for the points still without an
-    answer, until the radius spans the extent of all data: what is found within
-    a radius is the true nearest, so no all-pairs comparison is needed. The
-    first radius defaults to a quarter of the spacing of nodes on an even grid.
+    Each box holds a node, so no point has farther to go than to the far corner
+    of any of them; a box that begins beyond the least such distance is out.
     """
-    both = points.select("x", "y").unionByName(nodes.select("x", "y"))
-    box = both.agg(
-        F.min("x"), F.max("x"), F.min("y"), F.max("y"),
-    ).first()
+    def gap(v: str) -> Column:
+        return F.greatest(F.col(f"_{v}1") - F.col(f"{v}2"), F.col(f"{v}1") - F.col(f"_{v}2"), F.lit(0.0))
+
+    def reach(v: str) -> Column:
+        return F.greatest(F.col(f"_{v}2") - F.col(f"{v}1"), F.col(f"{v}2") - F.col(f"_{v}1"))
+
+    bound = F.min(F.hypot(reach("x"), reach("y"))).over(W.partitionBy("_qx", "_qy"))
+    return met.withColumn("_bound", bound).where(F.hypot(gap("x"), gap("y")) <= F.col("_bound") * (1 + 1e-9)).drop("_bound")
+
+
+def nearest_node(points: DataFrame, nodes: DataFrame, key: str = "id", few: int = 16) -> DataFrame:
+    """Nearest node of every point, however far: (key, node_id, distance); of equally near ones the least node_id.
+
+    The occupied cells of a grid on several levels are walked from the top, those
+    of the points beside those of the nodes: a cell of points keeps the cells of nodes that may hold the
+    nearest of one of its points, and only these are opened for the cells inside it. It keeps
+    a few on each level, whether it is far from all nodes or beside very many. The levels
+    depend on the nodes only: the finest is the first without more than ``few`` nodes in a cell,
+    or ``DEEPEST``. Points meet single nodes once, at the end.
+
+    A point without finite coordinates, and every point if no node has them, has
+    a null node and distance. Nodes without finite coordinates take no part.
+    """
+    finite = "x - x = 0 and y - y = 0"
+    sites = cut(nodes.where(finite).groupBy("x", "y").agg(F.min("node_id").alias("node_id")))
+    box = sites.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
     if box[0] is None:
-        return nearest_within(points, nodes, 1.0, key)
-    extent = math.hypot(box[1] - box[0], box[3] - box[2]) or 1.0
-    if start is None:
-        start = extent / math.sqrt(max(nodes.count(), 1)) / 4
-    places = points.groupBy("x", "y").agg(F.min(key).alias(key))
-    left, rounds, radius = places, [], start
-    while True:
-        rounds.append(cut(nearest_within(left, nodes, radius, key)))
-        if radius > extent:
-            break
-        left = cut(left.join(rounds[-1], key, "left_anti"))
-        if left.isEmpty():
-            break
-        radius *= 2
-    found = reduce(DataFrame.unionByName, rounds)
-    at = places.join(found, key).drop(key)
-    return points.select(key, "x", "y").join(at, ["x", "y"]).select(key, "node_id", "distance")
+        kind = nodes.schema["node_id"].dataType
+        return points.select(key, F.lit(None).cast(kind).alias("node_id"), F.lit(None).cast("double").alias("distance"))
+    low_x, low_y, side = box[0], box[2], max(box[1] - box[0], box[3] - box[2]) or 1.0
+    cells = cut(_cell_levels(sites, low_x, low_y, side, DEEPEST, True))
+    fullest = cells.groupBy("level").agg(F.max("n").alias("n")).where((F.col("n") <= few) & (F.col("level") > 0))
+    depth = fullest.agg(F.min("level")).first()[0] or DEEPEST
+    renamed = {"cx": "_qx", "cy": "_qy", "x1": "_x1", "x2": "_x2", "y1": "_y1", "y2": "_y2"}
+    places = cut(points.where(finite).select("x", "y").distinct())
+    wanted = cut(_cell_levels(places, low_x, low_y, side, depth, False).withColumnsRenamed(renamed))
+    own = list(renamed.values())
+    root = F.lit(0).cast("long")
+    open_ = wanted.where("level = 0").select(F.col("_qx").alias("_ux"), F.col("_qy").alias("_uy"), root.alias("_px"), root.alias("_py"))
+    for level in range(1, depth + 1):
+        inside = wanted.where(F.col("level") == level).select(F.shiftright("_qx", BITS).alias("_ux"), F.shiftright("_qy", BITS).alias("_uy"), *own)
+        inner = cells.where(F.col("level") == level).select(
+            F.shiftright("cx", BITS).alias("_px"), F.shiftright("cy", BITS).alias("_py"), "cx", "cy", "x1", "x2", "y1", "y2"
+        )
+        if BITS * level <= 4:  # 256 cells at most
+            inner = F.broadcast(inner)
+        met = inside.join(open_, ["_ux", "_uy"]).join(inner, ["_px", "_py"])
+        kept = _nearest_only(met).select(*own, F.col("cx").alias("_px"), F.col("cy").alias("_py"))
+        if level % 4 == 0:
+            kept = cut(kept)
+        open_ = kept.select(F.col("_qx").alias("_ux"), F.col("_qy").alias("_uy"), "_px", "_py")
+    open_ = kept
+    places = places.select("x", "y", *_cell_of(low_x, low_y, side, depth, False)).withColumnsRenamed({"cx": "_qx", "cy": "_qy"})
+    single = sites.select("node_id", "x", "y", *_cell_of(low_x, low_y, side, depth, True)).select(
+        F.col("cx").alias("_px"), F.col("cy").alias("_py"),
+        "node_id", F.col("x").alias("x1"), F.col("x").alias("x2"), F.col("y").alias("y1"), F.col("y").alias("y2"),
+    )
+    near = _nearest_only(open_.join(single, ["_px", "_py"])).select("_qx", "_qy", "node_id", F.col("x1").alias("nx"), F.col("y1").alias("ny"))
+    found = (
+        places.join(near, ["_qx", "_qy"]).select("x", "y", "node_id", euclid("x", "y", "nx", "ny").alias("d"))
+        .groupBy("x", "y").agg(F.min_by("node_id", F.struct("d", "node_id")).alias("node_id"), F.min("d").alias("distance"))
+    )
+    return points.select(key, "x", "y").join(found, ["x", "y"], "left").select(key, "node_id", "distance")
 
 
 def entrance_node(entrances: DataFrame, nodes: DataFrame, radius: float = 0.005,

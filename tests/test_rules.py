@@ -206,6 +206,33 @@ def test_nearest_node_is_exact(spark):
     assert {r.id: r.node_id for r in got.collect()} == want
 
 
+def test_nearest_node_far_points_and_dense_nodes(spark):
+    import math
+    import random
+
+    rng = random.Random(5)
+    dense = [(f"c{i}", 50 + rng.random() / 1000, 50 + rng.random() / 1000) for i in range(1500)]
+    loose = [(f"l{i}", rng.uniform(-1e4, 1e4), rng.uniform(-1e4, 1e4)) for i in range(40)]
+    nodes = dense + loose + [("same", *dense[0][1:]), ("a_null", None, 1.0), ("a_nan", float("nan"), 1.0)]
+    pts = [(i, 50 + rng.random() / 1000, 50 + rng.random() / 1000) for i in range(60)]
+    pts += [(100 + i, rng.uniform(-2e4, 2e4), rng.uniform(-2e4, 2e4)) for i in range(60)]
+    pts += [(200, 1e12, -1e12), (201, 50.0, 51.0), (202, 50.0, 51.0), (203, None, 1.0), (204, float("nan"), 1.0)]
+    kind = "node_id string, x double, y double"
+    points = spark.createDataFrame(pts, "id long, x double, y double")
+    got = {r.id: r for r in regions.nearest_node(points, spark.createDataFrame(nodes, kind)).collect()}
+    assert len(got) == len(pts)
+    for i, x, y in pts:
+        if i in (203, 204):
+            assert got[i].node_id is None and got[i].distance is None
+        else:
+            d = min(math.hypot(x - a, y - b) for n, a, b in nodes[:-2])
+            assert math.isclose(got[i].distance, d, rel_tol=1e-9), i
+    empty = regions.nearest_node(points, spark.createDataFrame([("n", None, 1.0)], kind))
+    assert [r.node_id for r in empty.collect()] == [None] * len(pts)
+    one = regions.nearest_node(points.where("id < 3"), spark.createDataFrame([("n", 1.0, 1.0)], kind))
+    assert [r.node_id for r in one.collect()] == ["n"] * 3
+
+
 # -- quality ---------------------------------------------------------------------------------------------
 
 GOOD = '{"event":{"type":"entry"},"place":{"name":"a"},"@timestamp":"x","object":{"vehicle":{}}}'
