@@ -251,7 +251,26 @@ def build_stalled(d):
     return _anomaly(projections.build_stalled(anomaly.stalled_windows(d, 2 * DAY, 60, 12 * HOUR)))
 
 
-@query("stalled_episodes")
+EPISODES = """m AS (SELECT license AS plate, epoch_us(ts) // 21600000000 AS w, min(epoch_us(ts)) // 1000 AS ms, max(epoch_us(ts)) // 1000 AS last_ms,
+    arg_min(x, (ts, id)) AS x, arg_min(y, (ts, id)) AS y, bool_or(type = 'entry') AS e, min(x) AS x1, max(x) AS x2, min(y) AS y1, max(y) AS y2,
+    coalesce(arg_max_null(video, (ts, id)), '') AS own FROM d WHERE type NOT IN ('parked', 'empty') GROUP BY ALL),
+n AS (SELECT *, CASE WHEN e THEN '' ELSE own END AS seen, row_number() OVER (PARTITION BY plate ORDER BY w) AS i FROM m),
+f AS (SELECT plate, 0::BIGINT AS i, 0::BIGINT AS w, FALSE AS live, FALSE AS armed, 0::BIGINT AS ams, 0.0::DOUBLE AS ax, 0.0::DOUBLE AS ay, 0::BIGINT AS till, '' AS video, FALSE AS hit
+    FROM n WHERE i = 1
+  UNION ALL SELECT plate, i, w,
+    NOT ended AND (goes OR x2 - x1 <= 60 AND y2 - y1 <= 60) AS live, NOT goes OR stays AS armed,
+    CASE WHEN goes THEN ams ELSE ms END, CASE WHEN goes THEN ax ELSE x END, CASE WHEN goes THEN ay ELSE y END,
+    CASE WHEN goes AND NOT stays THEN till ELSE last_ms END,
+    CASE WHEN goes AND (NOT stays OR video = '') THEN video ELSE seen END,
+    CASE WHEN ended THEN FALSE WHEN goes THEN stays ELSE x2 - x1 <= 60 AND y2 - y1 <= 60 AND last_ms - ms >= 14400000 END
+  FROM (SELECT n.*, f.ams, f.ax, f.ay, f.till, f.video, f.live AND n.ms - f.till > 86400000 AND NOT f.armed AS ended,
+      f.live AND n.ms - f.till <= 86400000 AS goes, n.last_ms - f.ams >= 14400000
+        AND greatest(n.x2, f.ax) - least(n.x1, f.ax) < 60 AND greatest(n.y2, f.ay) - least(n.y1, f.ay) < 60 AS stays
+    FROM f JOIN n ON n.plate = f.plate AND n.i = f.i + 1))"""
+
+
+@query("stalled_episodes", f"""WITH RECURSIVE {{D}}, {EPISODES} SELECT plate, w * 21600000000 AS window_start,
+  ams * 1000 AS start_ts, till * 1000 AS end_ts, video FROM f WHERE hit""")
 def stalled_episodes(d):
     return anomaly.stalled_episodes(d, 6 * HOUR, 60, 4 * HOUR, DAY).select(
         "plate", us("window_start"), us("start_ts"), us("end_ts"), "video")

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from itertools import groupby
+from operator import attrgetter
+
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from spotflow.functions.columns import hours_between
-from spotflow.operators.lineage import python_groups
+from spotflow.operators.lineage import cut, python_groups
 from spotflow.operators.occupancy import SPOT_KEY, spot_events
-from spotflow.operators.ordered import SLICE, after, before
+from spotflow.operators.ordered import SLICE, after, before, marked
 from spotflow.operators.projections import with_vehicle_key
 from spotflow.operators.quality import identified_only
 
@@ -179,6 +182,8 @@ def advance_stop(state: dict | None, w: dict, extent: float, min_s: float, stale
     return state, hit if found else None
 
 
+#: Windows' time that runs of one Python group begin in.
+STRETCH = 1000
 WHO = ("site", "level", "spot", "object_id", "license")
 BOUNDS = ("x_min", "x_max", "y_min", "y_max")
 EPISODE = "plate string, window_start timestamp, " + "".join(
@@ -208,21 +213,53 @@ def stalled_episodes(df: DataFrame, window_s: int = 30, extent: float = 4.0, min
                      stale_s: float = 300.0) -> DataFrame:
     """Stops followed over windows: reported again as long as the vehicle stays put.
 
-    Python sees one summary row per plate and window, never the detections, so
-    a group grows with elapsed time only, however many rows a plate has.
+    A plate is cut into runs where it is silent for longer than ``stale_s``. Only
+    one bit crosses such a gap: whether a vehicle that had moved on was still
+    followed, so that the first window after it only ends that. Each run is
+    followed for both values of the bit, on its own and in parallel; the bits are
+    then passed along the runs of a plate, one short row each, and choose the
+    results. Python sees one summary row per plate and window, never the detections.
     """
+    stale_ms = int(stale_s * 1000)
+    rows = marked(
+        window_summaries(df, window_s), ["plate"], ["window_start"], F.col("last_ms"),
+        lambda get, before: F.when(before.isNull() | (get("ms") - before > stale_ms), get("ms")), ["ms"], STRETCH * window_s,
+    ).drop("before").withColumnRenamed("last_mark", "run")
+    rows = rows.withColumn("block", F.floor(F.col("run") / (STRETCH * window_s * 1000)))
+    names = ["run", "after_move", "moved", *[c.split()[0] for c in EPISODE.split(", ")]]
 
     def follow(pdf: pd.DataFrame) -> pd.DataFrame:
-        state, out = None, []
-        for r in pdf.sort_values("window_start").itertuples(index=False):
-            state, hit = advance_stop(state, summary_facts(r), extent, min_s, stale_s)
-            if hit:
-                out.append((r.plate, r.window_start, *[hit[c] for c in WHO],
-                            hit["ms"], hit["end_ms"], hit["video"]))
-        return pd.DataFrame(out, columns=[c.split()[0] for c in EPISODE.split(", ")])
-
-    found = python_groups(window_summaries(df, window_s), "plate").groupBy("plate").applyInPandas(follow, EPISODE)
-    return found.select(
+        out = []
+        for run, group in groupby(pdf.sort_values("window_start").itertuples(index=False), attrgetter("run")):
+            windows = list(group)
+            for after_move in (False, True):
+                state = None
+                for r in windows[after_move:]:
+                    state, hit = advance_stop(state, summary_facts(r), extent, min_s, stale_s)
+                    if hit:
+                        out.append((run, after_move, None, r.plate, r.window_start, *[hit[c] for c in WHO],
+                                    hit["ms"], hit["end_ms"], hit["video"]))
+                moved = state is not None and not state["armed"]
+                out.append((run, after_move, moved, windows[0].plate, *[None] * (len(names) - 4)))
+        return pd.DataFrame(out, columns=names)
+
+    found = cut(python_groups(rows, "plate", "block").groupBy("plate", "block").applyInPandas(
+        follow, f"run long, after_move boolean, moved boolean, {EPISODE}"
+    ))
+    ends = found.where("moved is not null").groupBy("plate", "run").agg(
+        F.max(F.when(~F.col("after_move"), F.col("moved"))).alias("_off"), F.max(F.when(F.col("after_move"), F.col("moved"))).alias("_on"),
+    )
+    # a run sets the bit, keeps it or turns it: the last one that set it, and the turns since
+    w = W.partitionBy("plate").orderBy("run")
+    past = w.rowsBetween(W.unboundedPreceding, -1)
+    turns = F.coalesce(F.sum((F.col("_off") & ~F.col("_on")).cast("long")).over(w), F.lit(0))
+    counted = ends.withColumn("_turns", turns).withColumns({
+        "_set": F.last(F.when(F.col("_off") == F.col("_on"), F.struct("_off", "_turns")), ignorenulls=True).over(past),
+        "_before": F.coalesce(F.lag("_turns").over(w), F.lit(0)),
+    })
+    odd = (F.col("_before") - F.coalesce("_set._turns", F.lit(0))) % 2 == 1
+    bits = counted.select("plate", "run", (F.coalesce("_set._off", F.lit(False)) != odd).alias("after_move"))
+    return found.where("moved is null").join(bits, ["plate", "run", "after_move"]).select(
         "plate", "window_start", *WHO,
         F.timestamp_millis("start_ms").alias("start_ts"),
         F.timestamp_millis("end_ms").alias("end_ts"), "video",

@@ -114,6 +114,27 @@ def test_episode_goes_on_while_it_stays(rows):
     assert found[-1].video == ""
 
 
+def test_episodes_over_many_gaps_are_those_of_one_fold(rows, monkeypatch):
+    """Runs between gaps, each followed alone, against all windows of a plate in turn; in many small groups."""
+    import random
+
+    rng = random.Random(11)
+    monkeypatch.setattr(anomaly, "STRETCH", 4)
+    at, points = 0.0, []
+    for _ in range(400):
+        at += rng.choice([5, 12, 25, 25, 31, 45, 70, 130])
+        points.append(move(at, rng.choice([0, 0, 0, 1, 9]), type=rng.choice(["moving"] * 9 + ["entry"])))
+    df = rows(*points)
+    state, want = None, []
+    for w in sorted(anomaly.window_summaries(df, 30).collect(), key=lambda r: r.window_start):
+        state, hit = anomaly.advance_stop(state, anomaly.summary_facts(w), 4.0, 20.0, 60.0)
+        if hit:
+            want.append((w.window_start, hit["ms"], hit["end_ms"], hit["video"]))
+    got = anomaly.stalled_episodes(df, 30, 4.0, 20.0, 60.0).select(
+        "window_start", F.unix_millis("start_ts"), F.unix_millis("end_ts"), "video").collect()
+    assert sorted(map(tuple, got)) == want and len(want) > 20
+
+
 def test_episode_of_exactly_four_metres_has_moved(rows):
     df = rows(move(0), move(25), move(40, 4.0))
     assert anomaly.stalled_episodes(df).count() == 1
