@@ -222,7 +222,7 @@ def stalled_episodes(df: DataFrame, window_s: int = 30, extent: float = 4.0, min
     """
     stale_ms = int(stale_s * 1000)
     rows = marked(
-        window_summaries(df, window_s), ["plate"], ["window_start"], F.col("last_ms"),
+        cut(window_summaries(df, window_s)), ["plate"], ["window_start"], F.col("last_ms"),
         lambda get, before: F.when(before.isNull() | (get("ms") - before > stale_ms), get("ms")), ["ms"], STRETCH * window_s,
     ).drop("before").withColumnRenamed("last_mark", "run")
     rows = rows.withColumn("block", F.floor(F.col("run") / (STRETCH * window_s * 1000)))
