@@ -4,12 +4,12 @@ The bits of a SimHash tell little about a Jaccard similarity of 0.8 (some ten of
 64 bits differ, and 13 or more often enough), so those pairs are found by
 MinHash: BANDS bands of ROWS minima each. A pair at 0.8 shares no band with a
 chance of (1 - 0.8**ROWS)**BANDS, about one in eight million; a pair above it
-with less. Of the pairs that share a band, those whose sketches (one bit of each
-minimum) are far apart are left out; every other is compared by its whole sets.
+with less.
 
-Sets that are equal take part once. In each band first all members are compared
-with the least one; then only those that are not connected yet with each other,
-as more edges would not change what is kept.
+Sets that are equal take part once. Sets that share bands, directly or by way of
+others, make a cluster; its whole sets meet in one task, or in blocks two by two
+where they are large, and only the edges of a spanning forest come out: never
+the pairs that share a band, and never two sets in one row.
 """
 
 from __future__ import annotations
@@ -20,13 +20,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from spotflow.llm.common import as_bytes, batches, discard, mix, stored
+from spotflow.llm.common import as_bytes, batches, discard, mix, stored, width
 from spotflow.llm.simhash import fingerprint, roots
 from spotflow.operators.graphs import connected_components
 
 BANDS, ROWS = 40, 5
-#: Longs of a sketch (one bit of each minimum), and how many bits may differ: at 0.8 it is 20 on average, 4.2 the deviation.
-SKETCH, MOST_BITS = 4, 50
 _made = np.random.default_rng(8).integers(0, 1 << 63, (2, BANDS * ROWS), dtype=np.uint64)
 _turns, _factors = _made[0], _made[1] | np.uint64(1)
 
@@ -58,13 +56,6 @@ def bands(least: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def sketch(least: np.ndarray) -> np.ndarray:
-    """One bit of each minimum, as longs."""
-    bits = np.zeros(64 * SKETCH, np.uint8)
-    bits[:len(least)] = mix(least) >> np.uint64(63)
-    return np.packbits(bits).view(np.int64)
-
-
 def signatures(docs: DataFrame, size: int = 5, print_size: int = 3) -> DataFrame:
     """(doc_id, text) → doc_id, text_hash, fingerprint (of op5's shingles), key of the shingle set, bands."""
 
@@ -76,102 +67,124 @@ def signatures(docs: DataFrame, size: int = 5, print_size: int = 3) -> DataFrame
             sets = [shingle_set(t, size) for t in texts]
             keys = np.array([xxhash.xxh64_intdigest(s.tobytes(), 7) for s in sets], np.uint64).view(np.int64)
             prints = np.array([fingerprint(t, print_size) for t in texts], np.uint64).view(np.int64)
-            least = [minima(s) if len(s) else None for s in sets]
-            none = np.zeros(0, np.int64)
-            made = [pa.array([none if m is None else f(m) for m in least], pa.list_(pa.int64())) for f in (bands, sketch)]
+            made = [bands(minima(s)) if len(s) else np.zeros(0, np.int64) for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], batch["text_hash"], pa.array(prints), pa.array(keys), *made],
-                names=["doc_id", "text_hash", "fingerprint", "key", "bands", "sketch"],
+                [batch["doc_id"], batch["text_hash"], pa.array(prints), pa.array(keys), pa.array(made, pa.list_(pa.int64()))],
+                names=["doc_id", "text_hash", "fingerprint", "key", "bands"],
             )
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash")).mapInArrow(
-        run, "doc_id long, text_hash long, fingerprint long, key long, bands array<long>, sketch array<long>"
+        run, "doc_id long, text_hash long, fingerprint long, key long, bands array<long>"
     )
 
 
-def _close(a: str, b: str):
-    """So many bits of two sketches are equal as sets of 0.8 or more have, but for one pair in some 10**11."""
-    return sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(1, SKETCH)),
-               F.bit_count(F.col(a)[0].bitwiseXOR(F.col(b)[0]))) <= MOST_BITS
-
-
-def _alike(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) of keys whose sets are similar enough, by their whole sets."""
-    def sets(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches(source):
-            made = [shingle_set(t, size).view(np.int64) for t in as_bytes(batch["text"])]
-            yield pa.RecordBatch.from_arrays([batch["key"], pa.array(made, pa.list_(pa.int64()))], names=["key", "hashes"])
-
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    held = stored(docs.join(wanted, "key", "left_semi").select("key", "text").mapInArrow(sets, "key long, hashes array<long>"))
-    first = held.select(F.col("key").alias("a"), F.col("hashes").alias("one"))
-    second = held.select(F.col("key").alias("b"), F.col("hashes").alias("two"))
-    both = F.size(F.array_intersect("one", "two"))
-    enough = 100 * both >= percent * (F.size("one") + F.size("two") - both)
-    found = stored(pairs.join(first, "a").join(second, "b").where(enough).select("a", "b"))
-    discard(held)
-    return found
-
-
-def _apart(key: np.ndarray, root: np.ndarray, block: np.ndarray, sketch: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Pairs of members that are in different classes and have close sketches; of two blocks, one from each."""
-    both = len(np.unique(block)) > 1
-    for i in range(len(key) - 1):
-        rest = slice(i + 1, None)
-        open_ = root[rest] != root[i]
-        if both:
-            open_ &= block[rest] != block[i]
-        other = np.flatnonzero(open_) + i + 1
-        other = other[np.bitwise_count(sketch[other] ^ sketch[i]).sum(1) <= MOST_BITS]
-        if len(other):
-            one, two = np.full(len(other), key[i]), key[other]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(one, two)), pa.array(np.maximum(one, two))], names=["a", "b"])
+def forest(ends: np.ndarray, hashes: np.ndarray, percent: int) -> tuple[list[int], list[int]]:
+    """Edges between sets of such a similarity that connect all that such links connect.
 
-
-def _columns(rows: pa.StructArray | pa.Table) -> list[np.ndarray]:
-    get = rows.column if isinstance(rows, pa.Table) else rows.field
-    key, root, block = (np.asarray(get(c)) for c in ("key", "root", "block"))
-    column = get("sketch")
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return [key, root, block, np.asarray(column.flatten()).view(np.uint64).reshape(-1, SKETCH)]
-
-
-def _apart_small(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Set i is ``hashes[ends[i]:ends[i + 1]]``. Sets are reached one after another, and the
+    hashes of each are looked up among the sets not reached yet, which counts what it
+    shares with all of them at once.
+    """
+    n, size = len(ends) - 1, np.diff(ends)
+    order = np.argsort(hashes, kind="stable")
+    who = np.repeat(np.arange(n), size)[order]
+    run = np.cumsum(np.diff(hashes[order], prepend=hashes[order[:1]]) != 0)
+    run_of = np.empty(len(hashes), np.int64)
+    run_of[order] = run
+    n_runs = int(run[-1]) + 1 if len(run) else 0
+    left, open_, listed, one, two = np.ones(n, bool), n, 2 * n + 1, [], []
+    for start in range(n):
+        if not left[start]:
+            continue
+        left[start], front = False, [start]
+        open_ -= 1
+        while front and open_:
+            if 2 * open_ < listed:  # forget the sets reached
+                stays = left[who]
+                who, run, listed = who[stays], run[stays], open_
+                count = np.bincount(run, minlength=n_runs)
+                begin = np.cumsum(count) - count
+            i = front.pop()
+            own = run_of[ends[i]:ends[i + 1]]
+            own = own[count[own] > 0]
+            c = count[own]
+            at = np.repeat(begin[own] - (np.cumsum(c) - c), c) + np.arange(c.sum())
+            both = np.bincount(who[at], minlength=n)
+            near = np.flatnonzero(left & (both > 0) & (100 * both >= percent * (size + size[i] - both))).tolist()
+            left[near] = False
+            open_ -= len(near)
+            front += near
+            one += [i] * len(near)
+            two += near
+    return one, two
+
+
+def _groups(source: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.Table]:
+    """Rows that follow each other with equal values in these columns; one group is held at a time."""
+    held, last = [], None
     for batch in source:
-        for members in batch["members"]:
-            yield from _apart(*_columns(members.values))
+        values = [np.asarray(batch[c]) for c in names]
+        new = np.any([v[1:] != v[:-1] for v in values], axis=0)
+        for a, b in zip(edges := [0, *(np.flatnonzero(new) + 1), batch.num_rows], edges[1:]):
+            if b > a:
+                this = tuple(v[a] for v in values)
+                if held and this != last:
+                    yield pa.Table.from_batches(held)
+                    held = []
+                held.append(batch.slice(a, b - a))
+                last = this
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _linked(rows: DataFrame, percent: int) -> DataFrame:
+    """(unit, i, j, key, hashes) → edges (a, b) inside each (unit, i, j)."""
+    names = ["unit", "i", "j"]
 
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(source, names):
+            keys, sets = np.asarray(group["key"]), group["hashes"].combine_chunks()
+            ends = np.concatenate([[0], np.cumsum(np.asarray(sets.value_lengths()))])
+            one, two = forest(ends, np.asarray(sets.flatten()), percent)
+            if one:
+                yield pa.RecordBatch.from_arrays([pa.array(keys[one]), pa.array(keys[two])], names=["a", "b"])
 
-def _apart_large(table: pa.Table) -> pa.Table:
-    found = list(_apart(*_columns(table)))
-    kind = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    return pa.Table.from_batches(found, kind)
+    return rows.repartition(width(rows.sparkSession), *names).sortWithinPartitions(*names).mapInArrow(run, "a long, b long")
 
 
-def jaccard_links(shared: DataFrame, texts: DataFrame, size: int = 5, percent: int = 80, small: int = 64, most: int = 2048) -> DataFrame:
+def jaccard_links(shared: DataFrame, texts: DataFrame, size: int = 5, percent: int = 80, most: int = 1 << 20, spread: int = 16) -> DataFrame:
     """Edges (a, b) between keys that connect all sets of such a similarity.
 
-    ``shared`` has band, key, sketch, the number of keys of the band, the least of them and its
-    sketch; ``texts`` one text (key, text) of each key. In bands of more than ``small`` members blocks of
-    ``most`` meet two by two.
+    ``shared`` has band, key and the least key of the band; ``texts`` one text (key, text)
+    of each key. Clusters are cut into blocks of about ``most`` shingles, and blocks meet two
+    by two; a cluster of more than ``spread`` blocks is taken band by band.
     """
-    stars = shared.where("key <> least").where(_close("sketch", "least_sketch")).select(F.col("least").alias("a"), F.col("key").alias("b")).distinct()
-    found = _alike(stored(stars), texts, size, percent)
-    classes = connected_components(found).select(F.col("member").alias("key"), "root")
-    placed = stored(shared.join(classes, "key", "left").select("band", "n", "key", F.coalesce("root", "key").alias("root"), "sketch"))
-    open_ = placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band")
-    placed = placed.join(open_, "band", "left_semi")
-    few = placed.where(F.col("n") <= small).groupBy("band").agg(F.collect_list(F.struct("key", "root", F.lit(0).alias("block"), "sketch")).alias("members"))
-    blocks = F.ceil(F.col("n") / most).cast("int")
-    many = (
-        placed.where(F.col("n") > small)
-        .select("band", "key", "root", "sketch", F.pmod(F.xxhash64("key"), blocks).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("t"))
-        .select("*", F.least("block", "t").alias("i"), F.greatest("block", "t").alias("j")).drop("t")
+    def sets(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches(source):
+            made = [shingle_set(t, size).view(np.int64) for t in as_bytes(batch["text"])]
+            yield pa.RecordBatch.from_arrays([batch["key"], pa.array(made, pa.list_(pa.int64()))], names=["key", "hashes"])
+
+    held = stored(texts.select("key", "text").mapInArrow(sets, "key long, hashes array<long>"))
+    weights = held.select("key", F.size("hashes").alias("w"))
+
+    def cut(members: DataFrame) -> DataFrame:
+        n = members.groupBy("unit").agg(F.ceil(F.sum("w") / most).cast("int").alias("blocks"))
+        return members.join(n, "unit")
+
+    clusters = connected_components(shared.where("key <> least").select(F.col("least").alias("a"), F.col("key").alias("b")).distinct())
+    whole = stored(cut(clusters.select(F.col("member").alias("key"), F.col("root").alias("unit")).join(weights, "key")))
+    of_band = whole.where(F.col("blocks") > spread).select("key", "w", "unit").join(shared.select("key", "band"), "key")
+    by_band = cut(of_band.select("key", "w", F.xxhash64("unit", "band").alias("unit")))
+    parts = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda t: (F.col("blocks") == 1) | (t != F.col("block")))
+    placed = (
+        whole.where(F.col("blocks") <= spread).unionByName(by_band, allowMissingColumns=False)
+        .withColumn("block", F.pmod(F.xxhash64("key"), "blocks").cast("int"))
+        .select("unit", "key", "block", F.explode(parts).alias("t"))
+        .select("unit", F.least("block", "t").alias("i"), F.greatest("block", "t").alias("j"), "key")
     )
-    pairs = few.select("members").mapInArrow(_apart_small, "a long, b long").unionByName(
-        many.groupBy("band", "i", "j").applyInArrow(_apart_large, "a long, b long")
-    ).distinct()
-    return found.union(_alike(stored(pairs), texts, size, percent))
+    found = stored(_linked(placed.join(held, "key"), percent).distinct())
+    discard(held)
+    return found
 
 
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80, radius: int = 3, print_size: int = 3) -> DataFrame:
@@ -184,10 +197,9 @@ def keep_one(docs: DataFrame, size: int = 5, percent: int = 80, radius: int = 3,
     signed = stored(signatures(docs, size, print_size))
     chosen = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"))
     same = lambda x, y: x["doc_id"].cast("long").eqNullSafe(y["_d"]) & F.xxhash64(x["text"]).eqNullSafe(y["_h"])
-    one = signed.groupBy("key").agg(F.first(F.struct("bands", "sketch")).alias("s"))
-    rows = one.select("key", "s.sketch", F.explode("s.bands").alias("band"))
-    sizes = rows.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("least"), F.min_by("sketch", "key").alias("least_sketch")).where("n > 1")
-    shared = stored(rows.join(sizes, "band").select("band", "key", "sketch", "n", "least", "least_sketch"))
+    rows = signed.groupBy("key").agg(F.first("bands").alias("bands")).select("key", F.explode("bands").alias("band"))
+    sizes = rows.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("least")).where("n > 1")
+    shared = stored(rows.join(sizes, "band").select("band", "key", "least"))
     met = signed.join(shared.select("key").distinct(), "key", "left_semi")
     of_key = stored(met.groupBy("key").agg(F.min(chosen).alias("s")).select("key", "s._d", "s._h"))
     plain = docs.select(F.col("doc_id"), F.col("text"))  # whatever the other columns are called

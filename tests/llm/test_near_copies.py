@@ -8,8 +8,8 @@ from spotflow.llm import near_copies, simhash
 from spotflow.operators.graphs import connected_components
 
 
-def brute(rows):
-    """The rows that stay, by all pairs of texts."""
+def brute(rows, radius=3):
+    """The rows that stay, by all pairs of texts; a negative radius leaves Jaccard links alone."""
     def shingles(t):
         w = (t or "").encode().lower().split()
         return {tuple(w[i:i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set())
@@ -20,7 +20,7 @@ def brute(rows):
     for i in range(len(rows)):
         for j in range(i):
             like = 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])
-            near = (prints[i] ^ prints[j]).bit_count() <= 3
+            near = (prints[i] ^ prints[j]).bit_count() <= radius
             far += like and not near
             if like or near:
                 a, b = part[i], part[j]
@@ -69,14 +69,57 @@ def test_large_bands_in_blocks(spark):
         for _ in range(rng.randrange(12)):
             words[rng.randrange(300)] = f"n{rng.randrange(10**6)}"
         rows.append((i, " ".join(words)))
-    want, _ = brute(rows)
-    signed = near_copies.signatures(spark.createDataFrame(rows, "doc_id long, text string"))
-    one = signed.select("key", "sketch", F.explode("bands").alias("band"))
-    sizes = one.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("least"), F.min_by("sketch", "key").alias("least_sketch")).where("n > 1")
-    texts = spark.createDataFrame(rows, "doc_id long, text string").withColumn("text_hash", F.xxhash64("text")).join(signed, ["doc_id", "text_hash"]).select("key", "text")
-    shared = one.join(sizes, "band")
-    found = [set(map(tuple, connected_components(near_copies.jaccard_links(shared, texts, small=s, most=m)).collect())) for s, m in ((1000, 1000), (4, 10))]
-    assert found[0] == found[1] and found[0]
+    want, _ = brute(rows, -1)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    signed = near_copies.signatures(docs)
+    one = signed.select("key", F.explode("bands").alias("band"))
+    sizes = one.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("least")).where("n > 1")
+    texts = docs.withColumn("text_hash", F.xxhash64("text")).join(signed, ["doc_id", "text_hash"]).select("key", "text", "doc_id")
+    shared, first = one.join(sizes, "band"), dict(texts.select("key", "doc_id").collect())
+    found = []
+    for most, spread in ((10**6, 16), (5000, 16), (5000, 2)):  # one block, blocks of the cluster, blocks of its bands
+        classes = connected_components(near_copies.jaccard_links(shared, texts, most=most, spread=spread)).collect()
+        found.append({(r.member, r.root) for r in classes})
+    assert found[0] == found[1] == found[2] and found[0]
+    groups = {}
+    for member, root in found[0]:
+        groups.setdefault(root, []).append(first[member])
+    alone = set(first.values()) - {first[m] for m, _ in found[0]}
+    assert want == sorted(alone | {min(g) for g in groups.values()}, key=repr)
+
+
+def test_forest_connects_what_all_pairs_connect():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for _ in range(60):
+        sets = [np.unique(rng.integers(0, 60, rng.integers(0, 40))) for _ in range(rng.integers(1, 25))]
+        percent = int(rng.integers(20, 95))
+        part = list(range(len(sets)))
+        for i in range(len(sets)):
+            for j in range(i):
+                both = len(np.intersect1d(sets[i], sets[j]))
+                if both and 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+                    part = [part[j] if p == part[i] else p for p in part]
+        one, two = near_copies.forest(np.cumsum([0, *map(len, sets)]), np.concatenate(sets), percent)
+        got = list(range(len(sets)))
+        for i, j in zip(one, two):
+            assert 100 * len(np.intersect1d(sets[i], sets[j])) >= percent * len(np.union1d(sets[i], sets[j]))
+            got = [got[j] if p == got[i] else p for p in got]
+        same = lambda p: {(i, j) for i in range(len(p)) for j in range(i) if p[i] == p[j]}
+        assert same(got) == same(part) and len(one) == len(sets) - len(set(part))
+
+
+def test_forest_of_a_large_group_is_quick():
+    """5,000 sets, no two of them linked, though each shares two thirds of its hashes with all others."""
+    import time
+
+    import numpy as np
+
+    sets = np.concatenate([np.concatenate([np.arange(100), 1000 + 50 * i + np.arange(50)]) for i in range(5000)])
+    began = time.time()
+    assert near_copies.forest(np.arange(0, 150 * 5000 + 1, 150), sets, 80) == ([], [])
+    assert time.time() - began < 60
 
 
 def test_stages_leave_clashing_columns_alone(spark):
