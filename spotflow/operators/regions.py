@@ -58,26 +58,60 @@ def snap_to_roads(points: DataFrame, lines: DataFrame, max_d: float = 20.0,
     its cells grow with its length. A point in reach is 1.5 ``max_d`` from a step
     at most, two cells. Adds ``line_id`` and ``snap_distance``, null where no
     line is near.
+
+    Equal lines, and points of one place, take part once. Cells of points a quarter as wide keep
+    the lines that may be the nearest of one of their points. Of what then meets, only the least
+    distance of a place is kept while rows stream by; the lines at just that distance are looked up after.
     """
-    steps = F.greatest(F.lit(1), F.ceil(euclid("x1", "y1", "x2", "y2") / max_d)).cast("int")
-    walked = lines.withColumn("_n", steps).withColumn("_i", F.explode(F.sequence(F.lit(0), "_n")))
+    ends = ["x1", "y1", "x2", "y2"]
+    roads = lines.groupBy(*ends).agg(F.min(F.struct("line_id")).alias("_line"))
+    steps = F.greatest(F.lit(1), F.ceil(euclid(*ends) / max_d)).cast("int")
+
+    def step_cell(a: str, b: str, i: Column) -> Column:
+        return F.floor((F.col(a) + (F.col(b) - F.col(a)) * i / F.col("_n")) / max_d).cast("long")
 
-    def around(a: str, b: str) -> Column:
-        at = F.floor((F.col(a) + (F.col(b) - F.col(a)) * F.col("_i") / F.col("_n")) / max_d).cast("long")
-        return F.explode(F.sequence(at - 2, at + 2))
+    def around(v: str) -> Column:
+        return F.explode(F.sequence(F.col(f"_{v}") - 2, F.col(f"_{v}") + 2))
 
-    cells = (
-        walked.withColumn("_cx", around("x1", "x2")).withColumn("_cy", around("y1", "y2")).drop("_n", "_i")
-        .dropDuplicates(["line_id", "x1", "y1", "x2", "y2", "_cx", "_cy"])
+    last = F.greatest(F.col("_i") - 1, F.lit(0))
+    walked = (
+        roads.select(*ends, steps.alias("_n")).withColumn("_i", F.explode(F.sequence(F.lit(0), "_n")))
+        .select(*ends, "_i", *[step_cell(f"{v}1", f"{v}2", i).alias(f"_{n}{v}") for v in "xy" for n, i in (("", F.col("_i")), ("w", last))])
+    )
+    # steps go one way in x and in y, so a cell that comes again was around the step before
+    fresh = (F.col("_i") == 0) | (F.abs(F.col("_ux") - F.col("_wx")) > 2) | (F.abs(F.col("_uy") - F.col("_wy")) > 2)
+    cells = walked.withColumn("_ux", around("x")).withColumn("_uy", around("y")).where(fresh).select(*ends, "_ux", "_uy")
+
+    places = points.select("x", "y").distinct().select("x", "y", *[cell(v, max_d / 4).alias(f"_c{v}") for v in "xy"])
+    middle = {f"_m{v}": (F.col(f"_lo{v}") + F.col(f"_hi{v}")) / 2 for v in "xy"}
+    fine = (
+        places.groupBy("_cx", "_cy").agg(*[f(v).alias(f"_{n}{v}") for v in "xy" for n, f in (("lo", F.min), ("hi", F.max))])
+        .withColumns({**middle, "_r": euclid("_lox", "_loy", "_hix", "_hiy") / 2})
+        .select("_cx", "_cy", "_mx", "_my", "_r", F.shiftright("_cx", 2).alias("_ux"), F.shiftright("_cy", 2).alias("_uy"))
     )
-    at = points.select(key, "x", "y", cell("x", max_d).alias("_cx"), cell("y", max_d).alias("_cy"))
-    qx, qy, d = project_on_segment("x", "y", "x1", "y1", "x2", "y2")
+    gap = project_on_segment("_mx", "_my", *ends)[2]
+    # no point of a cell is farther than _r from its middle; the last term is for rounding
+    slack = 1e-9 * (F.abs("_mx") + F.abs("_my") + max_d)
+    met = fine.join(cells, ["_ux", "_uy"]).select("_cx", "_cy", "_r", *ends, gap.alias("_gap"), slack.alias("_slack"))
+    met = met.where(F.col("_gap") <= max_d + F.col("_r") + F.col("_slack"))
+    least = met.groupBy("_cx", "_cy").agg(F.min("_gap").alias("_least"))
+    near = (
+        fine.join(least, ["_cx", "_cy"]).join(cells, ["_ux", "_uy"])
+        .where(gap <= F.least(F.col("_least") + F.col("_r"), F.lit(max_d)) + F.col("_r") + slack)
+        .select("_cx", "_cy", *ends)
+    )
+    qx, qy, d = project_on_segment("x", "y", *ends)
+    within = places.join(near, ["_cx", "_cy"]).select("x", "y", d.alias("d")).where(F.col("d") <= max_d)
+    shortest = within.groupBy("x", "y").agg(F.min("d").alias("_d"))
+    hits = (
+        places.join(shortest, ["x", "y"]).join(near, ["_cx", "_cy"]).where(d == F.col("_d"))
+        .select("x", "y", *ends, qx.alias("sx"), qy.alias("sy"), F.col("_d").alias("d"))
+    )
+    order = F.struct("d", "line_id")
     best = (
-        at.join(cells, ["_cx", "_cy"])
-        .select(key, "line_id", qx.alias("sx"), qy.alias("sy"), d.alias("d"))
-        .where(F.col("d") <= max_d)
-        .groupBy(key)
-        .agg(F.min_by(F.struct("line_id", "sx", "sy", "d"), F.struct("d", "line_id")).alias("_s"))
+        points.select(key, "x", "y").join(hits.join(roads, ends), ["x", "y"])
+        .select(key, "_line.line_id", "sx", "sy", "d")
+        .groupBy(key).agg(F.min_by(F.struct("line_id", "sx", "sy", "d"), order).alias("_s"))
     )
     rest = [c for c in points.columns if c not in ("x", "y")]
     return points.join(best, key, "left").select(

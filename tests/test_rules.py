@@ -330,3 +330,31 @@ def test_roads_from_lines_to_positions(spark, monkeypatch):
     out = roads.interpolate_path(points, times, 0.5).orderBy("ts").collect()
     want = [(min(s, 4.0), max(0.0, s - 4)) for s in (10 * t / 2.2 for t in (0, 0.5, 1, 1.5, 2, 2.2))]
     assert [(round(r.x, 6), round(r.y, 6)) for r in out] == [(round(a, 6), round(b, 6)) for a, b in want]
+
+
+def test_points_snap_to_the_nearest_of_all_lines(spark):
+    import math
+    import random
+
+    from spotflow.operators import regions
+
+    rng = random.Random(5)
+    lines = [(f"L{i:03d}", *(rng.uniform(-60, 60) for _ in range(4))) for i in range(120)]
+    lines += [(f"K{i}", *lines[3][1:]) for i in range(40)] + [("dot", 3.0, 4.0, 3.0, 4.0), ("far", -4000.0, 1.0, 4000.0, 9.0), ("none", None, 1.0, 2.0, 3.0)]
+    points = [(i, round(rng.uniform(-70, 70), 1), float(rng.randint(-70, 70))) for i in range(400)] + [(400, None, 1.0), (401, 900.0, 900.0)]
+    found = regions.snap_to_roads(
+        spark.createDataFrame(points, "id long, x double, y double"), spark.createDataFrame(lines, "line_id string, x1 double, y1 double, x2 double, y2 double"), 5.0)
+    want = {}
+    for i, x, y in points:
+        best = (math.inf, None)
+        for name, x1, y1, x2, y2 in lines if x is not None else ():
+            if x1 is not None:
+                dx, dy = x2 - x1, y2 - y1
+                t = max(0.0, min(1.0, ((x - x1) * dx + (y - y1) * dy) / (dx * dx + dy * dy))) if dx or dy else 0.0
+                best = min(best, (round(math.hypot(x - x1 - t * dx, y - y1 - t * dy), 9), name))
+        want[i] = best if best[0] <= 5 else (None, None)
+    got = {r.id: (None if r.snap_distance is None else round(r.snap_distance, 9), r.line_id) for r in found.collect()}
+    assert got == want and sum(d is not None for d, _ in want.values()) > 200
+    # pairs of places and lines are folded as they stream by, never sorted
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "functions=[partial_min(d#" in plan
