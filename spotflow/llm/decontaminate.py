@@ -1,9 +1,8 @@
 """Benchmark decontamination: latent semantic retrieval, then an exact look at what it finds.
 
 Passages are rows of a TF-IDF matrix over hashed words. A randomised SVD gives
-the leading directions of that matrix: a random matrix is multiplied by it and
-its transpose, passage by passage in Spark tasks, and made orthogonal between
-rounds. All windows of all documents are compared with the benchmark items by
+the leading directions of that matrix: every passage of every document is added, with random
+signs, to three of a few hundred rows, and the singular vectors of these are taken. All windows of all documents are compared with the benchmark items by
 cosine in this space. A pair that passes is settled by the longest common
 subsequence of words, and for paraphrases by the item's answer, its last
 sentence.
@@ -12,6 +11,7 @@ sentence.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -50,7 +50,7 @@ def _summed(rows: DataFrame, width: int, kind) -> np.ndarray:
         total = sum(np.frombuffer(v.as_buffer(), kind).astype(wide) for v in table["values"])
         return pa.table({"part": table["part"][:1], "values": pa.array([total.astype(kind).tobytes()], pa.binary())})
 
-    out = np.zeros(FEATURES * width)
+    out = np.zeros(FEATURES * width, kind)
     got = {r["part"]: r["values"] for r in rows.groupBy("part").applyInArrow(add, "part int, values binary").collect()}
     size = len(out) // max(1, len(got))
     for i, part in enumerate(sorted(got)):  # a fixed number of parts
@@ -65,24 +65,24 @@ def _parts(total: np.ndarray, kind, parts: int = 64) -> pa.RecordBatch:
     )
 
 
-def inverse_frequencies(docs: DataFrame) -> np.ndarray:
+def inverse_frequencies(docs: DataFrame, hashed: DataFrame) -> np.ndarray:
     """log(1 + documents / (1 + documents with the feature)), over all documents."""
     def count(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(FEATURES, np.int64)
-        for batch in batches(source, 1 << 20):
-            feature, counts, *_ = _features(as_bytes(batch["text"]))
-            keys = np.sort(np.repeat(np.arange(len(counts)), counts) * FEATURES + feature)
-            if len(keys):
-                total += np.bincount(keys[np.append(True, keys[1:] != keys[:-1])] % FEATURES, minlength=FEATURES)
+        for batch in source:
+            for features, counts in zip(batch["features"], batch["counts"]):
+                feature, counts = np.frombuffer(features.as_buffer(), np.uint16), np.frombuffer(counts.as_buffer(), np.int32)
+                keys = np.sort(np.repeat(np.arange(len(counts)), counts) * FEATURES + feature)
+                if len(keys):
+                    total += np.bincount(keys[np.append(True, keys[1:] != keys[:-1])] % FEATURES, minlength=FEATURES)
         yield _parts(total, np.int64)
 
-    found = _summed(docs.select("text").mapInArrow(count, "part int, values binary"), 1, np.int64)[:, 0]
+    found = _summed(hashed.mapInArrow(count, "part int, values binary"), 1, np.int64)[:, 0]
     return np.log1p(docs.count() / (1 + found))
 
 
-def _passages(texts: list[bytes], weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _passages(feature: np.ndarray, counts: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, feature, value) of passages of PASSAGE words; rows have length one."""
-    feature, counts, *_ = _features(texts)
     at = np.arange(len(feature)) - np.repeat(np.cumsum(counts) - counts, counts)
     row = np.cumsum(at % PASSAGE == 0) - 1
     value = weights[feature]
@@ -90,50 +90,63 @@ def _passages(texts: list[bytes], weights: np.ndarray) -> tuple[np.ndarray, np.n
     return row, feature, value / np.maximum(norm[row], 1e-9)
 
 
+def _hashed(docs: DataFrame) -> DataFrame:
+    """The features of all words of all texts, two bytes each, and the words of each text."""
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches(source, 1 << 20):
+            feature, counts, *_ = _features(as_bytes(batch["text"]))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([feature.astype(np.uint16).tobytes()], pa.binary()), pa.array([counts.astype(np.int32).tobytes()], pa.binary())],
+                names=["features", "counts"],
+            )
+
+    return stored(docs.select("text").mapInArrow(run, "features binary, counts binary"))
+
+
+def _sketch(feature: np.ndarray, counts: np.ndarray, weights: np.ndarray, total: np.ndarray) -> None:
+    """Adds every passage, with random signs, to three random rows of ``total``."""
+    row, feature, value = _passages(feature, counts, weights)
+    if not len(row):
+        return
+    rng = np.random.default_rng(zlib.crc32(feature.tobytes()))
+    for _ in range(3):
+        place, sign = rng.integers(0, len(total), row[-1] + 1), rng.choice((-1.0, 1.0), row[-1] + 1)
+        np.add.at(total.reshape(-1), place[row] * FEATURES + feature, (sign[row] * value).astype(total.dtype))
+
+
 def latent_space(docs: DataFrame, items: list[bytes], weights: np.ndarray, dimensions: int = 96,
-                 fit_docs: int = 4000, rounds: int = 3, seed: int = 7) -> np.ndarray:
-    """Leading right singular vectors (features x dimensions) of the passages of some documents and of the items.
+                 wide: int = 256, hashed: DataFrame | None = None) -> np.ndarray:
+    """Leading right singular vectors (features x dimensions) of the passages of all documents and of the items.
 
-    About ``fit_docs`` documents are taken by a hash of doc_id. The items count
-    as much as these passages together, so that the space can tell them apart.
+    Every passage is added to three of ``wide`` rows, so one pass over all documents gives
+    random combinations of them, whose singular vectors are taken. The items count as much as the
+    documents together, so that the space can tell them apart. ``hashed``: what :func:`_hashed` made of the documents.
     """
     release()  # the driver keeps no tables of earlier stages
-    n = max(1, docs.count())
-    tasks = max(1, min(n, fit_docs) // 2000)  # each hands in a matrix of the space's size
-    some = stored(docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(1, n // fit_docs))) == 0).select("text").repartition(tasks))
-    wide = dimensions + 8
-
-    def multiply(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((FEATURES, wide))
-        for batch in batches(source, 1 << 18):  # a vector for each word
-            row, feature, value = _passages(as_bytes(batch["text"]), weights)
-            total += _gram(row, feature, value, base)
-        yield _parts(total, np.float32)
-
-    own = _passages(items, weights)
-    base = np.linalg.qr(np.random.default_rng(seed).standard_normal((FEATURES, wide)))[0].astype(np.float32)
-    for _ in range(rounds):
-        of_docs = _summed(some.mapInArrow(multiply, "part int, values binary"), wide, np.float32)
-        of_items = _gram(*own, base)
-        of_items *= np.linalg.norm(of_docs) / max(np.linalg.norm(of_items), 1e-9) if of_docs.any() else 1.0
-        product = of_docs  # in place: the driver holds few matrices of this size
-        product += of_items
-        del of_docs, of_items
-        base = np.linalg.qr(product)[0].astype(np.float32)
-    small = base.T.astype(np.float64) @ product
-    values, turn = np.linalg.eigh((small + small.T) / 2)
-    return (base @ turn[:, np.argsort(-values)[:dimensions]]).astype(np.float32)
-
-
-def _gram(row: np.ndarray, feature: np.ndarray, value: np.ndarray, base: np.ndarray) -> np.ndarray:
-    """A' A base for the sparse matrix A."""
-    out = np.zeros(base.shape)
-    if not len(row):
-        return out
-    edge = np.flatnonzero(np.diff(row, prepend=-1))
-    seen = np.add.reduceat(base[feature] * value[:, None].astype(np.float32), edge, axis=0)
-    np.add.at(out, feature, seen[row] * value[:, None])
-    return out
+    hashed = _hashed(docs) if hashed is None else hashed
+    size = hashed.agg(F.coalesce(F.sum(F.octet_length("features")), F.lit(0))).first()[0]
+    few = hashed.coalesce(max(1, min(256, size >> 24)))  # each task hands in a matrix of the sketch's size
+
+    def combine(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((wide, FEATURES), np.float32)
+        for batch in source:
+            for features, counts in zip(batch["features"], batch["counts"]):
+                _sketch(np.frombuffer(features.as_buffer(), np.uint16).astype(np.int64), np.frombuffer(counts.as_buffer(), np.int32), weights, total)
+        yield _parts(total.reshape(-1), np.float32)
+
+    both = np.zeros((2 * wide, FEATURES), np.float32)
+    both[:wide] = _summed(few.mapInArrow(combine, "part int, values binary"), wide, np.float32).reshape(wide, FEATURES)
+    feature, counts, *_ = _features(items)
+    _sketch(feature, counts, weights, both[wide:])
+    of_docs, of_items = (np.linalg.norm(part @ part.T) for part in (both[:wide], both[wide:]))
+    if of_docs and of_items:
+        both[wide:] *= np.sqrt(of_docs / of_items)
+    values, turn = np.linalg.eigh((both @ both.T).astype(np.float64))
+    first = np.argsort(-values)[:dimensions]
+    kept = first[values[first] > max(values[first[0]], 1e-9) * 1e-9]  # fewer where the texts have fewer directions
+    space = np.zeros((FEATURES, dimensions), np.float32)
+    space[:, :len(kept)] = both.T @ (turn[:, kept] / np.sqrt(values[kept])).astype(np.float32)
+    return space
 
 
 def common_subsequence(a: list, b: list) -> int:
@@ -235,7 +248,7 @@ def _candidates(feature: np.ndarray, counts: np.ndarray, items: Items, space: np
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.5, same: float = 0.8, alike: float = 0.6,
-          dimensions: int = 96, block: int = 2000, fit_docs: int = 4000) -> DataFrame:
+          dimensions: int = 96, block: int = 2000, fit_docs: int | None = None) -> DataFrame:
     """(doc_id, text), (item_id, text) → doc_id, text_hash, item_id, overlap, with_answer: items that a document holds.
 
     ``overlap`` is the longest common subsequence of the item's words and those
@@ -244,17 +257,21 @@ def leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.5, same: floa
     answer's words in order. Items of fewer than 8 words must be there word for
     word. Null and empty texts and items match nothing; repeated rows are
     repeated. Items take part in blocks, each of which passes over all
-    documents.
+    documents. All documents make the space; ``fit_docs``: about so many of them, if a caller wants that.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
     bench = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
-    weights = inverse_frequencies(docs)
+    hashed = _hashed(docs)
+    weights = inverse_frequencies(docs, hashed)
+    if fit_docs:
+        step = max(1, docs.count() // fit_docs)
+        hashed = _hashed(docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(step)) == 0))
     blocks = -(-bench.count() // block) or 1
     out = None
     for b in range(blocks):
         rows = bench.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()
-        space = latent_space(docs, [(r["text"] or "").encode() for r in rows], weights, dimensions, fit_docs)
+        space = latent_space(docs, [(r["text"] or "").encode() for r in rows], weights, dimensions, hashed=hashed)
         space *= weights[:, None].astype(np.float32)
         sent = spark.sparkContext.broadcast((space, _items(rows, space)))
 

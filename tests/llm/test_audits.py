@@ -220,3 +220,33 @@ def test_one_list_counts_what_belongs_to_it():
 
 def test_no_vectors(spark):
     assert pivot_index.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
+
+
+def test_every_document_makes_the_latent_space(spark):
+    from spotflow.llm import decontaminate
+
+    rare = [f"rare{i} word{i}" for i in range(40)]
+    docs = spark.createDataFrame(list(enumerate(["common text"] * 8000 + rare)), "doc_id long, text string")
+    hashed = decontaminate._hashed(docs)
+    weights = decontaminate.inverse_frequencies(docs, hashed)
+    space = decontaminate.latent_space(docs, [], weights)
+    for text in ["common text", *rare]:  # of half of the documents, half of these would be unknown
+        feature = decontaminate._features([text.encode()])[0]
+        vector = (space[feature] * weights[feature][:, None]).sum(0)
+        assert np.linalg.norm(vector) > 0.99 * np.linalg.norm(weights[feature])
+
+
+def test_every_passage_is_in_the_sketch():
+    from spotflow.llm import decontaminate
+
+    rng = np.random.default_rng(3)
+    feature, counts = rng.integers(0, 50, 3000), np.array([0, 1, 64, 65, 870, 2000])
+    weights = rng.random(decontaminate.FEATURES)
+    row, feature, value = decontaminate._passages(feature, counts, weights)
+    matrix = np.zeros((row[-1] + 1, decontaminate.FEATURES))
+    np.add.at(matrix, (row, feature), value)
+    total = np.zeros((1 << 14, decontaminate.FEATURES), np.float32)  # rows enough that few passages meet
+    decontaminate._sketch(feature, counts, weights, total)
+    kept = total[np.abs(total).sum(1) > 0]
+    assert len(kept) >= 3 * len(matrix) - 5
+    assert np.isclose(np.abs(kept).sum(), 3 * np.abs(matrix).sum(), rtol=0.05)
