@@ -152,6 +152,16 @@ def _linked(rows: DataFrame, percent: int) -> DataFrame:
     return rows.repartition(width(rows.sparkSession), *names).sortWithinPartitions(*names).mapInArrow(run, "a long, b long")
 
 
+def hooked(shared: DataFrame) -> DataFrame:
+    """(band, key, least) → edges (a, b) that connect what shares bands: a key with the least of its bands' least keys, and that with the others.
+
+    Keys of one large group have few such least keys in common, so a key gives about one edge, not one for each band.
+    """
+    first = shared.groupBy("key").agg(F.min("least").alias("a"))
+    others = shared.select("key", "least").distinct().join(first, "key").select("a", F.col("least").alias("b"))
+    return first.select("a", F.col("key").alias("b")).union(others).where("a <> b").distinct()
+
+
 def jaccard_links(shared: DataFrame, texts: DataFrame, size: int = 5, percent: int = 80, most: int = 1 << 20, spread: int = 16) -> DataFrame:
     """Edges (a, b) between keys that connect all sets of such a similarity.
 
@@ -171,7 +181,7 @@ def jaccard_links(shared: DataFrame, texts: DataFrame, size: int = 5, percent: i
         n = members.groupBy("unit").agg(F.ceil(F.sum("w") / most).cast("int").alias("blocks"))
         return members.join(n, "unit")
 
-    clusters = connected_components(shared.where("key <> least").select(F.col("least").alias("a"), F.col("key").alias("b")).distinct())
+    clusters = connected_components(hooked(shared))
     whole = stored(cut(clusters.select(F.col("member").alias("key"), F.col("root").alias("unit")).join(weights, "key")))
     of_band = whole.where(F.col("blocks") > spread).select("key", "w", "unit").join(shared.select("key", "band"), "key")
     by_band = cut(of_band.select("key", "w", F.xxhash64("unit", "band").alias("unit")))

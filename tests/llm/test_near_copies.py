@@ -143,3 +143,15 @@ def test_documents_without_any_language_stay(spark):
 
     docs = spark.createDataFrame([(1, "words here", None), (2, None, None)], "doc_id long, text string, lang string")
     assert corpus_pipeline.language(spark, docs, "").count() == 2
+
+
+def test_a_key_is_hooked_once_to_a_group(spark):
+    from spotflow.llm.near_copies import hooked
+    from spotflow.operators.graphs import connected_components
+
+    rows = [(b, k, b % 3) for b in range(40) for k in range(200) if k >= b % 3] + [(90, 500, 300), (90, 300, 300), (91, 500, 2), (91, 2, 2), (92, 700, 600), (92, 600, 600)]
+    shared = spark.createDataFrame(rows, "band long, key long, least long")
+    edges = hooked(shared)
+    assert edges.count() <= 200 + 10
+    found = {r.member: r.root for r in connected_components(edges).collect()}
+    assert found == {**{k: 0 for k in [*range(200), 300, 500]}, 600: 600, 700: 600}
