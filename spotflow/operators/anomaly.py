@@ -218,7 +218,7 @@ def stalled_episodes(df: DataFrame, window_s: int = 30, extent: float = 4.0, min
     followed, so that the first window after it only ends that. Each run is
     followed for both values of the bit, on its own and in parallel; the bits are
     then passed along the runs of a plate, one short row each, and choose the
-    results. Python sees one summary row per plate and window, never the detections.
+    results, which come in order of plate and time. Python sees one summary row per plate and window, never the detections.
     """
     stale_ms = int(stale_s * 1000)
     rows = marked(
@@ -263,4 +263,4 @@ def stalled_episodes(df: DataFrame, window_s: int = 30, extent: float = 4.0, min
         "plate", "window_start", *WHO,
         F.timestamp_millis("start_ms").alias("start_ts"),
         F.timestamp_millis("end_ms").alias("end_ts"), "video",
-    )
+    ).orderBy("plate", "window_start", "end_ts")
