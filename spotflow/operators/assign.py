@@ -47,8 +47,8 @@ def complete_linkage(n: int, pairs, limit: float) -> list[int]:
     return label
 
 
-def near_pairs(ax, ay, bx, by, limit: float):
-    """(i, j, distance) of points of two sets within the limit; only points near in x are compared."""
+def near_arrays(ax, ay, bx, by, limit: float):
+    """Indices i, j and distances of points of two sets within the limit; only points near in x are compared."""
     order = np.argsort(bx, kind="stable")
     lo = np.searchsorted(bx[order], ax - limit, side="left")
     n = np.searchsorted(bx[order], ax + limit, side="right") - lo
@@ -56,7 +56,12 @@ def near_pairs(ax, ay, bx, by, limit: float):
     j = order[np.repeat(lo, n) + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)]
     d = np.hypot(ax[i] - bx[j], ay[i] - by[j])
     ok = d <= limit
-    return zip(i[ok].tolist(), j[ok].tolist(), d[ok].tolist())
+    return i[ok], j[ok], d[ok]
+
+
+def near_pairs(ax, ay, bx, by, limit: float):
+    """(i, j, distance) of points of two sets within the limit."""
+    return zip(*[v.tolist() for v in near_arrays(ax, ay, bx, by, limit)])
 
 
 def best_pairing(options: list[list[tuple[int, float]]], alone: float) -> list[tuple[int, int]]:
@@ -66,41 +71,63 @@ def best_pairing(options: list[list[tuple[int, float]]], alone: float) -> list[t
     one; each looks for the cheapest chain of exchanges, by Dijkstra's search
     over costs that potentials keep from being negative. Rows that share no
     chain of options never meet, so separate groups are solved separately.
+
+    Options are read from the cheapest on, and only up to the nearest column
+    that is free: the search ends there at the latest.
     """
+    options = [sorted(row, key=lambda option: option[1]) for row in options]
+    none = float("inf")
+    width = 1 + max((col for row in options for col, _ in row), default=-1)
     row_pot = [0.0] * len(options)
-    col_pot: dict[int, float] = {}
-    owner: dict[int, int] = {}
+    col_pot = [0.0] * width
+    slack = 0.0  # the highest potential of a column; above 0 by rounding only
+    owner: list[int] = [-1] * width
+    via: list[int] = [-1] * width
+    dist = [none] * width  # of the columns reached and not passed; -inf once passed
     partner: dict[int, int] = {}
     for start in range(len(options)):
-        dist: dict[int, float] = {}
-        via: dict[int, int] = {}
-        done: set[int] = set()
+        done: list[tuple[int, float]] = []
+        reached: list[int] = []
         heap: list[tuple[float, int]] = []
         base, row = 0.0, start
-        stop, stop_row = float("inf"), start
+        stop, stop_row = none, start
+        free = none  # distance of the nearest free column seen
         while True:
-            if base + alone - row_pot[row] < stop:
-                stop, stop_row = base + alone - row_pot[row], row
+            own = row_pot[row]
+            if base + alone - own < stop:
+                stop, stop_row = base + alone - own, row
+            far = min(free, stop)
             for col, cost in options[row]:
-                d = base + cost - row_pot[row] - col_pot.get(col, 0.0)
-                if col not in done and d < dist.get(col, stop):
+                least = base + cost - own
+                if least - slack > far:
+                    break
+                d = least - col_pot[col]
+                if d < dist[col] and d <= far and d < stop:
+                    reached.append(col)
                     dist[col], via[col] = d, row
                     heapq.heappush(heap, (d, col))
-            while heap and (heap[0][1] in done or heap[0][0] > dist[heap[0][1]]):
+                    if owner[col] < 0:
+                        free = far = d
+            while heap and heap[0][0] > dist[heap[0][1]]:
                 heapq.heappop(heap)
             if not heap or heap[0][0] >= stop:
                 end = None
                 break
             base, col = heapq.heappop(heap)
-            if col not in owner:
+            if owner[col] < 0:
                 stop, end = base, col
                 break
-            done.add(col)
+            done.append((col, base))
+            dist[col] = -none
             row = owner[col]
+        for col in reached:
+            dist[col] = none
         row_pot[start] += stop
-        for col in done:
-            row_pot[owner[col]] += stop - dist[col]
-            col_pot[col] = col_pot.get(col, 0.0) - (stop - dist[col])
+        for col, at in done:
+            row_pot[owner[col]] += stop - at
+            col_pot[col] -= stop - at
+            if col_pot[col] > slack:
+                slack = col_pot[col]
         if end is None:  # some row on the way stays alone
             if stop_row == start:
                 continue

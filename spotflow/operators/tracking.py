@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from spotflow.functions.columns import as_ts, camera_point, cell, euclid
-from spotflow.operators.assign import best_pairing, complete_linkage, near_pairs
+from spotflow.operators.assign import best_pairing, complete_linkage, near_arrays, near_pairs
 from spotflow.operators.graphs import chain_heads, connected_components
 from spotflow.operators.lineage import cut, python_groups
 from spotflow.operators.occupancy import SPOT_KEY, latest_per_key, spot_events
@@ -363,18 +363,26 @@ def _assign(old: dict, new: dict, max_d: float) -> list[tuple]:
     to do so the one of least squared distances: a row that stays alone costs
     more than all pairs of the frame can.
     """
-    cost = {(i, j): d * d for i, j, d in near_pairs(old["x"], old["y"], new["x"], new["y"], max_d)}
+    i, j, d = near_arrays(old["x"], old["y"], new["x"], new["y"], max_d)
     holders: dict = {}
-    for i, ids in enumerate(old["ids"]):
+    for k, ids in enumerate(old["ids"]):
         for v in ids:
-            holders.setdefault(v, []).append(i)
-    for j, ids in enumerate(new["ids"]):
-        cost.update({(i, j): 0.0 for v in ids for i in holders.get(v, ())})
-    options: list[list] = [[] for _ in old["id"]]
-    for (i, j), c in sorted(cost.items()):
-        barred = old["conflicts"][i]
-        if barred is None or new["sensor"][j] not in barred:
-            options[i].append((j, c))
+            holders.setdefault(v, []).append(k)
+    n = len(new["id"])
+    same = np.array(sorted({k * n + at for at, ids in enumerate(new["ids"]) for v in ids for k in holders.get(v, ())}), np.int64)
+    other = ~np.isin(i * n + j, same)
+    i, j = np.concatenate([i[other], same // n]), np.concatenate([j[other], same % n])
+    cost = np.concatenate([(d * d)[other], np.zeros(len(same))])
+    code: dict = {}
+    seen = np.array([code.setdefault(v, len(code)) for v in new["sensor"]], np.int64)
+    barred = [k * len(code) + code[v] for k, vs in enumerate(old["conflicts"]) if vs is not None for v in vs if v in code]
+    if barred:
+        may = ~np.isin(i * len(code) + seen[j], barred)
+        i, j, cost = i[may], j[may], cost[may]
+    order = np.lexsort((j, cost, i))
+    listed = list(zip(j[order].tolist(), cost[order].tolist()))
+    ends = np.searchsorted(i[order], np.arange(len(old["id"]) + 1)).tolist()
+    options = [listed[a:b] for a, b in zip(ends, ends[1:])]
     lone = (1 + len(options)) * max_d * max_d
     return [
         (old["id"][i], new["id"][j], float(np.hypot(old["x"][i] - new["x"][j], old["y"][i] - new["y"][j])))
@@ -385,27 +393,39 @@ def _assign(old: dict, new: dict, max_d: float) -> list[tuple]:
 # Consecutive frames that one call of the Python function works through.
 BLOCK = 64
 
+# Times the frames a row may be carried over that are worked through before a block, to guess what comes into it.
+WARM = 2
 
-def _assign_block(pdf: pd.DataFrame, max_d: float) -> list[tuple]:
-    """(frame no, earlier id, later id, distance) for consecutive frames of one place.
 
-    A row that found its partner is not offered to the later frames of the block.
+def _assign_block(pdf: pd.DataFrame, first: int, max_d: float, carry_us: int, reach: int) -> tuple[list[tuple], list]:
+    """(frame no, earlier id, later id, distance) for consecutive frames of one place from ``first`` on, and the ids
+    of rows offered to them that found a partner in the frames before, which are worked through as well.
+
+    A row that found its partner is not offered to later frames.
     """
-    pdf = pdf.sort_values(["no", "old", "ts", "id"], kind="stable")
+    pdf = pdf.sort_values(["us", "id"], kind="stable")
     cols = {c: pdf[c].to_numpy() for c in ("id", "x", "y", "ids", "sensor", "conflicts")}
-    no, is_old = pdf["no"].to_numpy(), pdf["old"].to_numpy().astype(bool)
-    cuts = np.flatnonzero(np.r_[True, no[1:] != no[:-1], True])
-    found, used = [], set()
+    name, no, us, since = cols["id"], pdf["no"].to_numpy(), pdf["us"].to_numpy(), pdf["since"].to_numpy(float)
+    carried = pdf["carried"].to_numpy().astype(bool)
+    places = np.flatnonzero(~carried)
+    places = places[np.argsort(no[places], kind="stable")]
+    cuts = np.flatnonzero(np.r_[True, no[places][1:] != no[places][:-1], True]) if len(places) else [0]
+    found, used, told, open_ = [], set(), [], np.flatnonzero(carried)
     for a, b in zip(cuts[:-1], cuts[1:]):
-        mid = a + int((~is_old[a:b]).sum())  # new rows come first
-        free = [i for i in range(mid, b) if cols["id"][i] not in used]
-        if a < mid and free:
-            new = {c: v[a:mid] for c, v in cols.items()}
-            old = {c: v[free] for c, v in cols.items()}
-            pairs = _assign(old, new, max_d)
+        fresh = places[a:b]
+        at = no[fresh[0]]
+        young = (no[open_] + 1 == at) | (since[fresh[0]] - us[open_] <= carry_us)
+        open_ = open_[young & (at - no[open_] <= reach)]
+        if at == first:
+            told = [name[k] for k in open_ if name[k] in used]
+        open_ = np.array([k for k in open_ if name[k] not in used], np.int64)
+        if len(open_):
+            pairs = _assign({c: v[open_] for c, v in cols.items()}, {c: v[fresh] for c, v in cols.items()}, max_d)
             used.update(p[0] for p in pairs)
-            found += [(no[a], *p) for p in pairs]
-    return found
+            if at >= first:
+                found += [(at, *p) for p in pairs]
+        open_ = np.sort(np.concatenate([open_, fresh]))
+    return found, told
 
 
 def match_frames(rows: DataFrame, max_d: float = 20.0, carry_s: float = 3.0,
@@ -420,75 +440,73 @@ def match_frames(rows: DataFrame, max_d: float = 20.0, carry_s: float = 3.0,
 
     What is carried into a frame depends on the frames before it. Instead of
     folding over a site's whole time line in one task, blocks of consecutive
-    frames are worked through in parallel, at first as if nothing from earlier
-    blocks had found a partner there. Blocks for which that was wrong are done
+    frames are worked through in parallel, at first after some frames before them
+    that only show which rows have found a partner by then. Blocks for which that was wrong are done
     again, until nothing changes. A block is final once the ones before it
     are, so the fixed point is the result of the sequential fold, and Python
-    never sees more than a block of one place with what is carried into it.
+    never sees more than a block of one place with what is carried into it. A row goes to its own
+    block and to those that begin within its reach, once each.
     ``carried``: rows an earlier run left open; they are offered to the first frames.
     """
     rows = rows if "ids" in rows.columns else rows.withColumn("ids", F.array("object_id"))
-    point = ("id", "ts", "sensor", "x", "y", "ids")
-    base = _conflict_lists(rows.select(*FRAME_KEY, *point), conflicts)
-    order = _frame_list(rows, width)
-    here = cut(base.join(order.select(*FRAME_KEY, "no"), FRAME_KEY).drop("frame"))
-    reach = math.ceil(carry_s / frame_s) + 2
-    frame_at = order.select(*PLACE, "no", "at_before")
-    earlier = here
+    point = ("id", "us", "sensor", "x", "y", "ids")
+    us = F.unix_micros("ts").alias("us")
+    base = _conflict_lists(rows.select("*", us).select(*FRAME_KEY, *point), conflicts)
+    order = cut(_frame_list(rows, width).select(*FRAME_KEY, "no", F.unix_micros("at_before").alias("since")))
+    here = base.join(order, FRAME_KEY).drop("frame").withColumn("carried", F.lit(False))
     if carried is not None:
-        open_rows = _conflict_lists(carried.select(*PLACE, *point), conflicts)
-        earlier = here.unionByName(open_rows.withColumn("no", F.lit(0).cast("long")))
+        open_rows = _conflict_lists(carried.select("*", us).select(*PLACE, *point), conflicts)
+        here = here.unionByName(open_rows.select(
+            "*", F.lit(0).cast("long").alias("no"), F.lit(None).cast("long").alias("since"), F.lit(True).alias("carried")
+        ))
+    here = cut(here)
+    carry_us, reach = int(carry_s * 1e6), math.ceil(carry_s / frame_s) + 2
+    block = [*PLACE, "block"]
+
+    def sent(ahead: int) -> DataFrame:
+        """Rows with their block, and with those that begin so many frames after them."""
+        last = F.floor((F.col("no") + ahead) / BLOCK)
+        return here.withColumn("block", F.explode(F.sequence(F.floor(F.col("no") / BLOCK), last)))
+
+    starts = order.where(F.col("no") % BLOCK == 0).select(
+        *PLACE, F.floor(F.col("no") / BLOCK).alias("block"), F.col("since").alias("_since")
+    )
     offers = cut(
-        earlier.withColumn("_from", F.col("no"))
-        .withColumn("no", F.explode(F.sequence(F.col("no") + 1, F.col("no") + reach)))
-        .join(frame_at, [*PLACE, "no"])
-        .where(
-            (F.col("no") == F.col("_from") + 1)
-            | (F.unix_micros("at_before") - F.unix_micros("ts") <= int(carry_s * 1e6))
-        )
-        .drop("_from", "at_before")
+        sent(reach).where(F.col("no") < F.col("block") * BLOCK).join(starts, block)
+        .where((F.col("no") + 1 == F.col("block") * BLOCK) | (F.col("_since") - F.col("us") <= carry_us))
+        .drop("_since").withColumn("carried", F.lit(True))
     )
     id_type = dict(rows.dtypes)["id"]
-    schema = f"site string, level string, no long, prev_id {id_type}, id {id_type}, distance double"
+    names = ["site", "level", "block", "no", "prev_id", "id", "distance"]
+    schema = f"site string, level string, block long, no long, prev_id {id_type}, id {id_type}, distance double"
 
     def assign(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        found = [(key[0], key[1], *p) for p in _assign_block(pdf, max_d)]
-        return pd.DataFrame(found, columns=["site", "level", "no", "prev_id", "id", "distance"])
+        found, told = _assign_block(pdf, key[2] * BLOCK, max_d, carry_us, reach)
+        out = [(*key, *p) for p in found] + [(*key, -1, v, v, 0.0) for v in told]
+        return pd.DataFrame(out, columns=names)
 
-    block = [*PLACE, "block"]
-    here, offers = (
-        side.withColumn("block", F.floor(F.col("no") / BLOCK)) for side in (here, offers)
-    )
-    pairs, taken, todo = None, None, None
+    def run(group: DataFrame) -> DataFrame:
+        return python_groups(group, *block).groupBy(*block).applyInPandas(assign, schema)
+
+    def checksums(ids: DataFrame) -> DataFrame:
+        return ids.groupBy(*block).agg(F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("sum"))
+
+    done = cut(run(sent(WARM * reach)))
+    pairs, used = done.where("no >= 0"), checksums(done.where("no < 0"))  # what each block took for gone
     while True:
-        old, new = offers, here
-        if taken is not None:
-            gone = F.floor(F.col("_no") / BLOCK) < F.col("block")
-            old = old.join(taken, "id", "left").where(~F.coalesce(gone, F.lit(False))).drop("_no")
-        if todo is not None:
-            old = old.join(todo, block, "left_semi")
-            new = new.join(todo, block, "left_semi")
-        group = old.withColumn("old", F.lit(True)).unionByName(new.withColumn("old", F.lit(False)))
-        fresh = python_groups(group, *block).groupBy(*block).applyInPandas(assign, schema)
-        if todo is not None:
-            kept = pairs.withColumn("block", F.floor(F.col("no") / BLOCK)).join(todo, block, "left_anti")
-            fresh = kept.select(*pairs.columns).unionByName(fresh)
-        pairs = cut(fresh)
-        now = pairs.groupBy(F.col("prev_id").alias("id")).agg(F.min("no").alias("_no"))
-        if taken is None:
-            moved = now.select("id", F.col("_no").alias("_first"))
-        else:
-            moved = (
-                now.join(taken.withColumnRenamed("_no", "_was"), "id", "full")
-                .where(~F.col("_no").eqNullSafe(F.col("_was")))
-                .select("id", F.least("_no", "_was").alias("_first"))
-            )
-        # A block itself knows what it matched; only later ones are told.
-        told = F.col("block") > F.floor(F.col("_first") / BLOCK)
-        todo = cut(offers.join(moved, "id").where(told).select(*block).distinct())
-        taken = now
+        taken = pairs.groupBy(F.col("prev_id").alias("id")).agg(F.min("no").alias("_no"))
+        gone = F.coalesce(F.floor(F.col("_no") / BLOCK) < F.col("block"), F.lit(False))
+        told = cut(offers.join(taken, "id", "left").withColumn("_gone", gone).drop("_no"))
+        sums = cut(checksums(told.where("_gone")))
+        todo = cut(
+            sums.join(used.withColumnRenamed("sum", "_was"), block, "full")
+            .where(~F.col("sum").eqNullSafe(F.col("_was"))).select(*block)
+        )
         if todo.isEmpty():
-            return pairs
+            return pairs.drop("block")
+        group = told.where(~F.col("_gone")).drop("_gone").unionByName(sent(0))
+        fresh = run(group.join(todo, block, "left_semi"))
+        pairs, used = cut(pairs.join(todo, block, "left_anti").select(*names).unionByName(fresh.where("no >= 0"))), sums
 
 
 def label_tracks(rows: DataFrame, pairs: DataFrame, width: float = SLICE,

@@ -182,3 +182,33 @@ def test_departed_vehicle_is_the_first_parked(rows):
     df = rows(*[{"s": s, "type": k, "license": v, "spot": "PS-1"} for s, k, v in steps])
     got = [(r.id, r.license) for r in t.departed_vehicle(df).orderBy("id").collect()]
     assert got == [("0002", "A"), ("0005", "C")]
+
+
+def sizes_sent(module, monkeypatch):
+    """Rows of each call that goes to Python."""
+    sent, real = [], module.python_groups
+    monkeypatch.setattr(module, "python_groups", lambda df, *keys: sent.append(df.count()) or real(df, *keys))
+    return sent
+
+
+def test_rows_go_to_their_block_and_not_to_every_frame_in_reach(rows, monkeypatch):
+    sent = sizes_sent(t, monkeypatch)
+    df = t.frames(rows(*[at(f, f, object_id=f"o{f}") for f in range(40)]))
+    assert t.match_frames(df, 20, 3.0).count() == 39
+    assert max(sent) == 40
+
+
+def test_pairing_reads_few_options_where_all_are_allowed():
+    class Cost(float):
+        read = 0
+
+        def __radd__(self, other):
+            Cost.read += 1
+            return other + float(self)
+
+    rng = np.random.default_rng(3)
+    cost = rng.random((60, 60))
+    found = best_pairing([[(j, Cost(c)) for j, c in enumerate(row)] for row in cost], 100.0)
+    least = sum(cost[i, j] for i, j in min_cost_matching(cost))
+    assert sum(cost[i, j] for i, j in found) == pytest.approx(least) and len(found) == 60
+    assert Cost.read < 60 * 60
