@@ -6,8 +6,8 @@ Every sighting of a member renews its set; a set whose members were not seen for
 ``keep_s`` before a frame begins is forgotten. Sets that meet in a cluster unite.
 
 A frame's clusters thus depend on the frames before it. Blocks of consecutive
-frames, each at least ``keep_s`` long, are worked through in parallel, at first as if no
-set came into them. Then each block gets the sets its predecessor ended with, and
+frames, each at least ``keep_s`` long, are worked through in parallel, at first with the
+sets that a few frames before them give. Then each block gets the sets its predecessor ended with, and
 those whose sets differ from what they had are done again, until none does. A block
 is final once its predecessor is, so the result is that of going frame by frame.
 No set outlives a block without sightings, so nothing older can come in.
@@ -18,13 +18,16 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from spotflow.operators import tracking as tr
-from spotflow.operators.assign import complete_linkage
+from spotflow.operators.assign import complete_linkage, near_arrays
 from spotflow.operators.lineage import cut, python_groups
 
+# Frames before a block that are worked through first, to guess which sets come into it.
+WARM = 8
 SETS = "site string, level string, member string, root string, seen long"
 _OUT = "site string, block long, kind int, id {id}, cluster {id}, member string, root string, seen long"
 _NAMES = ["site", "block", "kind", "id", "cluster", "member", "root", "seen"]
@@ -73,33 +76,52 @@ class IdSets:
         return [(m, r, self.seen[r]) for r, ms in self.members.items() for m in ms]
 
 
-def cluster_frames_in_order(frames, sets: IdSets, max_d: float, keep_us: int, frame_us: int, may_meet: Callable):
-    """(id, cluster) of the detections in clusters of several, frame by frame; ``sets`` is carried on.
-
-    ``frames``: (number, detections by id, near pairs (id1, id2, distance)); a detection has sensor,
-    object_id and us. ``may_meet`` tells whether two of them may be one vehicle.
+def near_of_frame(found: list, max_d: float) -> dict:
+    """{(i, j): distance} of the detections of a frame, sorted by id, that may be one vehicle by their places."""
+    has_id = np.array([r.id is not None and r.sensor is not None for r in found])
+    x, y = np.array([r.x for r in found], float), np.array([r.y for r in found], float)
+    i, j, _ = near_arrays(x, y, x, y, max_d * (1 + 1e-9))
+    i, j = i[i < j], j[i < j]
+    d = np.sqrt((x[j] - x[i]) * (x[j] - x[i]) + (y[j] - y[i]) * (y[j] - y[i]))
+    code: dict = {}
+    sensor = np.array([code.setdefault(r.sensor, len(code)) for r in found])
+    ok = (d <= max_d) & (sensor[i] != sensor[j]) & has_id[i] & has_id[j]
+    kinds: dict = {}  # one detection of each camera stands for its lists
+    for r in found:
+        kinds.setdefault(code[r.sensor], r)
+    may = np.array([[_may_meet(kinds[a], kinds[b]) for b in range(len(code))] for a in range(len(code))]) if len(code) <= 64 else None
+    if may is not None:
+        ok &= may[sensor[i], sensor[j]]
+    i, j, d = i[ok].tolist(), j[ok].tolist(), d[ok].tolist()
+    return {(a, b): v for a, b, v in zip(i, j, d) if found[a].id != found[b].id and (may is not None or _may_meet(found[a], found[b]))}
+
+
+def cluster_frames_in_order(frames, sets: IdSets, max_d: float, keep_us: int, frame_us: int):
+    """(frame number, id, cluster) of the detections in clusters of several, frame by frame; ``sets`` is carried on.
+
+    ``frames``: (number, detections); a detection has id, sensor, x, y, object_id, us and the cameras it is
+    listed with (conflicts, overlaps).
     """
-    for number, found, near in frames:
+    for number, found in frames:
         sets.forget(number * frame_us - keep_us)
-        ids = sorted(found)
-        at = {v: k for k, v in enumerate(ids)}
-        pairs = {(at[a], at[b]): d for a, b, d in near}
+        found = sorted(found, key=lambda r: (r.id is None, 0 if r.id is None else r.id))
+        pairs = near_of_frame(found, max_d)
         known: dict[str, list] = {}
-        for v in ids:
-            root = sets.of.get(found[v].object_id)
+        for k, r in enumerate(found):
+            root = sets.of.get(r.object_id)
             if root is not None:
-                known.setdefault(root, []).append(v)
+                known.setdefault(root, []).append(k)
         for group in known.values():
             for k, a in enumerate(group):
-                pairs.update({(at[a], at[b]): 0.0 for b in group[k + 1:] if may_meet(found[a], found[b])})
-        label = complete_linkage(len(ids), ((i, j, d) for (i, j), d in pairs.items()), max_d)
+                pairs.update({(a, b): 0.0 for b in group[k + 1:] if _may_meet(found[a], found[b])})
+        label = complete_linkage(len(found), ((i, j, d) for (i, j), d in pairs.items()), max_d)
         members: dict[int, list] = {}
-        for v, k in zip(ids, label):
-            members.setdefault(k, []).append(v)
-        for k, group in members.items():
-            sets.sight({o for v in group if (o := found[v].object_id) is not None}, max(found[v].us for v in group))
+        for k, to in enumerate(label):
+            members.setdefault(to, []).append(k)
+        for to, group in members.items():
+            sets.sight({o for k in group if (o := found[k].object_id) is not None}, max(found[k].us for k in group))
             if len(group) > 1:
-                yield from ((v, ids[k]) for v in group)
+                yield from ((number, found[k].id, found[to].id) for k in group)
 
 
 def _may_meet(one, two) -> bool:
@@ -124,19 +146,14 @@ def cluster_known(df: DataFrame, max_d: float, conflicts: DataFrame | None = Non
         "id", "frame", "sensor", "object_id", "x", "y", F.unix_micros("ts").alias("us"),
         place_key().alias("site"), F.lit("").alias("level"),
     )
-    near = cut(tr.near_pairs_of_frames(coded, max_d, conflicts, overlaps).drop("level"))
-    in_pairs = coded.join(near.select("site", F.explode(F.array("id1", "id2")).alias("id")).distinct(), ["site", "id"], "left_semi")
-    objects = in_pairs.select("site", "object_id").unionByName(given.select("site", F.col("member").alias("object_id"))).distinct()
-    seen = coded.join(objects, ["site", "object_id"], "left_semi").unionByName(in_pairs.where("object_id is null"))
+    seen = coded.where("frame is not null")
     for name, edges in (("conflicts", conflicts), ("overlaps", overlaps)):
         lists = None if edges is None else tr.both_directions(edges).groupBy("sensor").agg(F.collect_set("other").alias(name))
         seen = seen.withColumn(name, F.lit(None).cast("array<string>")) if lists is None else seen.join(lists, "sensor", "left")
     block = F.floor(F.col("frame") / length)
-    detections = seen.withColumn("block", block).select(
-        "site", "block", F.lit(0).alias("kind"), "frame", "id", "sensor", "object_id", "us", "conflicts", "overlaps"
-    )
-    pairs = near.withColumn("block", block).select("site", "block", F.lit(1).alias("kind"), "frame", F.col("id1").alias("id"), "id2", "distance")
-    work = cut(detections.unionByName(pairs, allowMissingColumns=True))
+    work = cut(seen.withColumn("block", block).select(
+        "site", "block", F.lit(0).alias("kind"), "frame", "id", "sensor", "x", "y", "object_id", "us", "conflicts", "overlaps"
+    ))
     blocks = cut(work.select("site", "block").distinct())
     first = blocks.join(blocks.select("site", (F.col("block") + 1).alias("block")), ["site", "block"], "left_anti")
     start = cut(first.join(given, "site").select("site", "block", "member", "root", "seen"))
@@ -144,16 +161,19 @@ def cluster_known(df: DataFrame, max_d: float, conflicts: DataFrame | None = Non
     def follow(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         kind = {k: part for k, part in pdf.groupby("kind")}
         own = IdSets(kind[2][["member", "root", "seen"]].itertuples(index=False, name=None) if 2 in kind else ())
-        near_of: dict[int, list] = {}
-        if 1 in kind:
-            for frame, a, b, d in kind[1][["frame", "id", "id2", "distance"]].itertuples(index=False, name=None):
-                near_of.setdefault(frame, []).append((a, b, d))
-        frames: dict[int, dict] = {}
+        frames: dict[int, list] = {}
         if 0 in kind:
-            for r in kind[0].astype({"us": "int64"}).itertuples(index=False):
-                frames.setdefault(r.frame, {})[r.id] = r
-        in_order = ((int(f), frames[f], near_of.get(f, ())) for f in sorted(frames))
-        out = [(*key, 0, v, c, None, None, None) for v, c in cluster_frames_in_order(in_order, own, max_d, keep_us, frame_us, _may_meet)]
+            part = kind[0].astype({"us": "int64"})
+            for r in part.assign(id=part["id"].astype(object).where(part["id"].notna(), None)).itertuples(index=False):
+                frames.setdefault(int(r.frame), []).append(r)
+        order, begin = sorted(frames), key[1] * length
+        if not order or order[-1] < begin:  # frames before a block without rows
+            return pd.DataFrame([], columns=_NAMES)
+        early, late = ([(f, frames[f]) for f in order if (f < begin) == first] for first in (True, False))
+        for _ in cluster_frames_in_order(early, own, max_d, keep_us, frame_us):
+            pass
+        out = [(*key, 3, None, None, *r) for r in own.rows()] if early else []
+        out += [(*key, 0, v, c, None, None, None) for _, v, c in cluster_frames_in_order(late, own, max_d, keep_us, frame_us)]
         out += [(*key, 1, None, None, *r) for r in own.rows()]
         made = pd.DataFrame(out, columns=_NAMES)
         return made.astype({"seen": "Int64"}) if len(made) else made
@@ -162,15 +182,17 @@ def cluster_known(df: DataFrame, max_d: float, conflicts: DataFrame | None = Non
         group = rows.unionByName(state.withColumn("kind", F.lit(2)), allowMissingColumns=True)
         return python_groups(group, "site", "block").groupBy("site", "block").applyInPandas(follow, _OUT.format(id=id_type))
 
-    done = cut(run(work, start))
-    used = None  # what came into each block, as a checksum
+    def checksums(came: DataFrame) -> DataFrame:
+        return cut(came.groupBy("site", "block").agg(F.sum(F.xxhash64("member", "root", "seen").cast("decimal(38,0)")).alias("sum")))
+
+    ahead = F.sequence("block", F.floor((F.col("frame") + WARM) / length))
+    done = cut(run(work.withColumn("block", F.explode(ahead)), start))
+    used = checksums(done.where("kind = 3"))  # what came into each block
+    done = done.where("kind <> 3")
     while True:
         came = done.where("kind = 1").select("site", (F.col("block") + 1).alias("block"), "member", "root", "seen").join(blocks, ["site", "block"], "left_semi")
-        sums = cut(came.groupBy("site", "block").agg(F.sum(F.xxhash64("member", "root", "seen").cast("decimal(38,0)")).alias("sum")))
-        if used is None:
-            todo = sums.select("site", "block")
-        else:
-            todo = sums.join(used.withColumnRenamed("sum", "was"), ["site", "block"], "full").where(~F.col("sum").eqNullSafe(F.col("was"))).select("site", "block")
+        sums = checksums(came)
+        todo = sums.join(used.withColumnRenamed("sum", "was"), ["site", "block"], "full").where(~F.col("sum").eqNullSafe(F.col("was"))).select("site", "block")
         todo = cut(todo)
         if todo.isEmpty():
             break

@@ -130,3 +130,12 @@ def test_no_rows(rows):
     df = t.frames(rows({"s": 1})).limit(0)
     got, sets = known_ids.cluster_known(df, 15)
     assert got.count() == 0 and sets.count() == 0
+
+
+def test_detections_go_to_python_and_not_their_pairs(rows, monkeypatch):
+    sent, real = [], known_ids.python_groups
+    monkeypatch.setattr(known_ids, "python_groups", lambda df, *keys: sent.append(df.count()) or real(df, *keys))
+    df = t.frames(rows(*[{"s": 0.1, "x": k / 10, "sensor": f"C{k % 2}", "object_id": f"o{k}"} for k in range(40)]))
+    got, _ = known_ids.cluster_known(df, 15)
+    assert got.select("cluster").distinct().count() == 20
+    assert sent[0] == 40
