@@ -1,5 +1,7 @@
 """Cameras, pairs, clusters and matching. Frames are half-hours, as the test data is sparse."""
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from spotflow.catalog.base import query, r4, us
@@ -97,12 +99,17 @@ def candidates(d):
     return t.frame_to_frame_candidates(_seen(d), NEAR).select("id1", "id2", "frame", r4("distance"), r4("cost"))
 
 
+def _mutual(d):
+    among = partial(t.frame_to_frame_candidates, _seen(d), NEAR)
+    return t.match_mutual_nearest(among(), among)
+
+
 @query("match_mutual_nearest", f"""WITH {{D}}, {FRAMES}, {CAND},
 a AS (SELECT id1, id2 FROM k QUALIFY row_number() OVER (PARTITION BY id1 ORDER BY cost, id2) = 1),
 b AS (SELECT id1, id2 FROM k QUALIFY row_number() OVER (PARTITION BY id2 ORDER BY cost, id1) = 1)
 SELECT id1, id2, round(cost, 4) AS cost FROM k SEMI JOIN a USING (id1, id2) SEMI JOIN b USING (id1, id2)""")
 def mutual_nearest(d):
-    found = t.match_mutual_nearest(t.frame_to_frame_candidates(_seen(d), NEAR))
+    found = _mutual(d)
     return found.select("id1", "id2", r4("cost"))
 
 
@@ -208,7 +215,7 @@ m AS (SELECT id1, id2, frame FROM k SEMI JOIN a USING (id1, id2) SEMI JOIN b USI
 SELECT frame, count(*) AS matches, CAST(count(*) FILTER (u.license <> v.license) AS BIGINT) AS errors
 FROM m JOIN d u ON u.id = id1 JOIN d v ON v.id = id2 GROUP BY frame""")
 def match_quality(d):
-    found = t.match_mutual_nearest(t.frame_to_frame_candidates(_seen(d), NEAR))
+    found = _mutual(d)
     audit = t.match_audit(found.select(F.col("id1").alias("prev_id"), F.col("id2").alias("id"), "frame"), d)
     return t.match_quality(audit, "frame")
 

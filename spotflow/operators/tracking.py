@@ -7,6 +7,7 @@ single frames only, and only for those that have something to decide.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
@@ -106,11 +107,19 @@ def pairs_within_frame(df: DataFrame, max_d: float, other_camera: bool = True) -
     )
 
 
-def frame_to_frame_candidates(df: DataFrame, max_d: float, conflicts: DataFrame | None = None) -> DataFrame:
+def _joined(rows: DataFrame, more: DataFrame, key: str) -> DataFrame:
+    """The further columns of ``more``, one row a key; null is a key like any other."""
+    return rows.join(more.withColumnRenamed(key, "_key"), F.expr(f"{key} <=> _key")).drop("_key")
+
+
+def frame_to_frame_candidates(df: DataFrame, max_d: float, conflicts: DataFrame | None = None,
+                              ahead: DataFrame | None = None, back: DataFrame | None = None) -> DataFrame:
     """Rows of a frame with rows of the next one that may be the same vehicle.
 
     Within ``max_d``, cost = distance; 0 at any distance where the two carry a
     common id. ``df`` may have ``ids`` (array); else the object id counts.
+    ``ahead`` (id1, …) and ``back`` (id2, …): further columns by id, added to the rows before
+    they meet, so that a filter on them works while pairs are made. Ids they lack make no pairs.
     """
     ids = F.col("ids") if "ids" in df.columns else F.array("object_id")
     base = df.select(*FRAME_KEY, *_SIDE, ids.alias("ids"))
@@ -119,6 +128,9 @@ def frame_to_frame_candidates(df: DataFrame, max_d: float, conflicts: DataFrame
     prev = base.withColumn("frame", F.col("frame") + 1).select(
         *FRAME_KEY, *[F.col(c).alias(f"{c}1") for c in side]
     )
+    further = [c for more in (ahead, back) if more is not None for c in more.columns if c not in ("id1", "id2")]
+    prev = prev if ahead is None else _joined(prev, ahead, "id1")
+    now = now if back is None else _joined(now, back, "id2")
     keys = [*FRAME_KEY, "_cx", "_cy"]
     near = prev.select(
         "*", cell("x1", max_d).alias("_cx"), cell("y1", max_d).alias("_cy")
@@ -133,15 +145,33 @@ def frame_to_frame_candidates(df: DataFrame, max_d: float, conflicts: DataFrame
     near = near.withColumn("distance", d).where((F.col("distance") <= max_d) & ~shared)
     same = same.withColumn("distance", d).dropDuplicates([*FRAME_KEY, "id1", "id2"])
     both = near.withColumn("cost", F.col("distance")).unionByName(same.withColumn("cost", F.lit(0.0)))
-    out = both.select(*FRAME_KEY, "id1", "id2", "sensor1", "sensor2", "distance", "cost")
+    out = both.select(*FRAME_KEY, "id1", "id2", "sensor1", "sensor2", "distance", "cost", *further)
     return without_conflicts(out, conflicts) if conflicts is not None else out
 
 
-def match_mutual_nearest(candidates: DataFrame) -> DataFrame:
-    """Pairs that are each other's cheapest partner. Aggregates and a join only."""
-    ahead = candidates.groupBy("id1").agg(F.min_by("id2", F.struct("cost", "id2")).alias("id2"))
-    back = candidates.groupBy("id2").agg(F.min_by("id1", F.struct("cost", "id1")).alias("id1"))
-    return candidates.join(ahead, ["id1", "id2"], "left_semi").join(back, ["id1", "id2"], "left_semi")
+def _least(column: str, name: str):
+    """The least value; null, where there is one, comes first."""
+    return F.when(~F.bool_or(F.isnull(column)), F.min(column)).alias(name)
+
+
+def match_mutual_nearest(candidates: DataFrame, among: Callable[..., DataFrame] | None = None) -> DataFrame:
+    """Pairs that are each other's cheapest partner. Aggregates and joins only.
+
+    Least costs, and then least ids at just that cost, are folded by hash as pairs stream by; no task
+    sorts or holds pairs. ``among(ahead=…)`` and ``among(back=…)`` give the candidates again with the further
+    columns of :func:`frame_to_frame_candidates`; without it ``candidates`` are joined, which sends all pairs.
+    """
+    def joined(ahead: DataFrame | None = None, back: DataFrame | None = None) -> DataFrame:
+        return _joined(candidates, (back if ahead is None else ahead).hint("shuffle_hash"), "id1" if back is None else "id2")
+
+    among = among or joined
+    cost1 = candidates.groupBy("id1").agg(_least("cost", "_least"))
+    cost2 = candidates.groupBy("id2").agg(_least("cost", "_least"))
+    ahead = among(ahead=cost1).where("cost <=> _least").groupBy("id1").agg(_least("id2", "id2"))
+    back = among(back=cost2).where("cost <=> _least").groupBy("id2").agg(_least("id1", "id1"))
+    mutual = ahead.join(back, ["id1", "id2"]).select("id1", F.col("id2").alias("_partner"))
+    rest = [c for c in candidates.columns if c not in ("id1", "id2")]
+    return among(ahead=mutual).where("id2 = _partner").select("id1", "id2", *rest)
 
 
 # -- clusters ---------------------------------------------------------------------------

@@ -212,3 +212,31 @@ def test_pairing_reads_few_options_where_all_are_allowed():
     least = sum(cost[i, j] for i, j in min_cost_matching(cost))
     assert sum(cost[i, j] for i, j in found) == pytest.approx(least) and len(found) == 60
     assert Cost.read < 60 * 60
+
+
+def test_mutual_nearest_folds_by_hash(spark, capsys):
+    rng = random.Random(3)
+    made = [(0, 0, rng.randrange(30), rng.randrange(30), float(rng.randrange(4))) for _ in range(300)]
+    made += [(0, 1, 3, 4, 9.0), (0, 0, None, 31, 1.0), (0, 0, 31, 31, 1.0), (0, 0, 32, None, 1.0), (0, 0, 32, 32, 1.0)]  # null comes first
+    pairs = spark.createDataFrame(made, "site int, frame long, id1 long, id2 long, cost double")
+
+    def least(rows, own, other):
+        rows = sorted(rows, key=lambda r: (r[4], r[other] is not None, r[other] or 0), reverse=True)
+        return {r[own]: r[other] for r in rows}
+
+    ahead, back = least(made, 2, 3), least(made, 3, 2)
+    want = [r for r in made if None not in r and ahead[r[2]] == r[3] and back[r[3]] == r[2]]
+    found = t.match_mutual_nearest(pairs)
+    assert sorted(map(tuple, found.select(*pairs.columns).collect())) == sorted(want) != []
+    found.explain()
+    assert "SortAggregate" not in capsys.readouterr().out  # it sorts all pairs
+
+
+def test_mutual_nearest_of_made_candidates(rows):
+    rng = random.Random(4)
+    seen = rows(*[{"s": 10.0 * (i % 6), "x": float(rng.randrange(12)), "y": float(rng.randrange(12)), "object_id": f"o{rng.randrange(40)}",
+                   "id": f"{i % 110:04d}"} for i in range(120)])  # ties, common ids and repeated ids
+    made = t.frame_to_frame_candidates(t.frames(seen, 10), 5.0)
+    again = lambda **more: t.frame_to_frame_candidates(t.frames(seen, 10), 5.0, **more)
+    found, want = t.match_mutual_nearest(made, again), t.match_mutual_nearest(made)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect())) != []
