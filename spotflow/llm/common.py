@@ -28,19 +28,22 @@ def hold(owner: str, drop: Callable[[], None]) -> None:
     _held[owner] = drop
 
 
+def trim() -> None:
+    """Hand memory that numpy and Arrow have freed back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not the GNU C library
+        pass
+
+
 def release(owner: str | None = None) -> None:
-    """Give back what other operators left in this worker."""
+    """Give back what other operators and earlier tasks left in this worker."""
     global _powers
-    others = [name for name in _held if name != owner]
-    for name in others:
+    for name in [name for name in _held if name != owner]:
         _held.pop(name)()
-    if others:
-        _powers = np.ones(1, np.uint64), np.ones(1, np.uint64)
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL(None).malloc_trim(0)
-        except (OSError, AttributeError):  # not the GNU C library
-            pass
+    _powers = np.ones(1, np.uint64), np.ones(1, np.uint64)
+    trim()
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -122,6 +125,7 @@ def batches(source: Iterator[pa.RecordBatch], most: int = 1 << 22, column: str =
         for a, b in zip(edges, edges[1:]):
             if b > a:
                 yield batch.slice(a, b - a)
+    trim()  # the worker may wait long for its next task
 
 
 def as_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:

@@ -58,16 +58,16 @@ def _summed(rows: DataFrame, width: int, kind) -> np.ndarray:
     return out.reshape(-1, width)
 
 
-def _parts(total: np.ndarray, kind, parts: int = 64) -> pa.RecordBatch:
-    pieces = np.split(np.ascontiguousarray(total, kind), parts)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(range(parts), pa.int32()), pa.array([p.tobytes() for p in pieces], pa.binary())], names=["part", "values"]
-    )
+def _parts(total: np.ndarray, kind, parts: int = 64) -> Iterator[pa.RecordBatch]:
+    """The parts one by one, so that neither side holds a second copy of the whole."""
+    for i, piece in enumerate(np.split(np.ascontiguousarray(total, kind), parts)):
+        yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([piece.tobytes()], pa.binary())], names=["part", "values"])
 
 
 def inverse_frequencies(docs: DataFrame, hashed: DataFrame) -> np.ndarray:
     """log(1 + documents / (1 + documents with the feature)), over all documents."""
     def count(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         total = np.zeros(FEATURES, np.int64)
         for batch in source:
             for features, counts in zip(batch["features"], batch["counts"]):
@@ -75,7 +75,7 @@ def inverse_frequencies(docs: DataFrame, hashed: DataFrame) -> np.ndarray:
                 keys = np.sort(np.repeat(np.arange(len(counts)), counts) * FEATURES + feature)
                 if len(keys):
                     total += np.bincount(keys[np.append(True, keys[1:] != keys[:-1])] % FEATURES, minlength=FEATURES)
-        yield _parts(total, np.int64)
+        yield from _parts(total, np.int64)
 
     found = _summed(hashed.mapInArrow(count, "part int, values binary"), 1, np.int64)[:, 0]
     return np.log1p(docs.count() / (1 + found))
@@ -128,11 +128,12 @@ def latent_space(docs: DataFrame, items: list[bytes], weights: np.ndarray, dimen
     few = hashed.coalesce(max(1, min(256, size >> 24)))  # each task hands in a matrix of the sketch's size
 
     def combine(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         total = np.zeros((wide, FEATURES), np.float32)
         for batch in source:
             for features, counts in zip(batch["features"], batch["counts"]):
                 _sketch(np.frombuffer(features.as_buffer(), np.uint16).astype(np.int64), np.frombuffer(counts.as_buffer(), np.int32), weights, total)
-        yield _parts(total.reshape(-1), np.float32)
+        yield from _parts(total.reshape(-1), np.float32)
 
     both = np.zeros((2 * wide, FEATURES), np.float32)
     both[:wide] = _summed(few.mapInArrow(combine, "part int, values binary"), wide, np.float32).reshape(wide, FEATURES)

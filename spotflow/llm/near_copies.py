@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from spotflow.llm.common import as_bytes, batches, discard, mix, stored, width
+from spotflow.llm.common import as_bytes, batches, discard, mix, release, stored, trim, width
 from spotflow.llm.simhash import fingerprint, roots
 from spotflow.operators.graphs import connected_components
 
@@ -142,12 +142,14 @@ def _linked(rows: DataFrame, percent: int) -> DataFrame:
     names = ["unit", "i", "j"]
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for group in _groups(source, names):
             keys, sets = np.asarray(group["key"]), group["hashes"].combine_chunks()
             ends = np.concatenate([[0], np.cumsum(np.asarray(sets.value_lengths()))])
             one, two = forest(ends, np.asarray(sets.flatten()), percent)
             if one:
                 yield pa.RecordBatch.from_arrays([pa.array(keys[one]), pa.array(keys[two])], names=["a", "b"])
+        trim()
 
     return rows.repartition(width(rows.sparkSession), *names).sortWithinPartitions(*names).mapInArrow(run, "a long, b long")
 

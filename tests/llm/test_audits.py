@@ -250,3 +250,29 @@ def test_every_passage_is_in_the_sketch():
     kept = total[np.abs(total).sum(1) > 0]
     assert len(kept) >= 3 * len(matrix) - 5
     assert np.isclose(np.abs(kept).sum(), 3 * np.abs(matrix).sum(), rtol=0.05)
+
+
+def test_a_sketch_is_handed_in_part_by_part():
+    from spotflow.llm import decontaminate
+
+    total = np.random.default_rng(5).random((8, decontaminate.FEATURES)).astype(np.float32)
+    parts = list(decontaminate._parts(total.reshape(-1), np.float32))
+    assert max(b.num_rows for b in parts) == 1 and max(b.nbytes for b in parts) < total.nbytes / 50
+    assert b"".join(b["values"][0].as_py() for b in parts) == total.tobytes()
+    assert [b["part"][0].as_py() for b in parts] == list(range(len(parts)))
+
+
+def test_a_worker_gives_back_what_earlier_tasks_freed():
+    from spotflow.llm import common
+
+    def used():
+        return int(open("/proc/self/statm").read().split()[1]) * 4096
+
+    common.release()
+    before = used()
+    made = [bytes(100_000) for _ in range(2000)]  # below the size from which memory is mapped by itself
+    last = bytes(100_000)  # keeps the end of the heap in use
+    del made
+    common.powers(1 << 22)
+    common.release()
+    assert used() - before < 60e6 and last
