@@ -6,17 +6,29 @@ adds the token ids.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
 from uuid import uuid4
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from spotflow.llm import byte_bpe, decontaminate, exact_dedup, language_id, near_copies
-from spotflow.llm.common import stored
+from spotflow.llm.common import small_batches, stored
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
+def in_small_batches(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """The stage, with whole texts handed to Python some megabytes at a time."""
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
 def free_name(name: str, docs: DataFrame) -> str:
     """The name, made longer until no column of the documents has it."""
     taken = {c.lower() for c in docs.columns}
@@ -25,6 +37,7 @@ def free_name(name: str, docs: DataFrame) -> str:
     return name
 
 
+@in_small_batches
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which a language can be told; the model learns from those that name theirs.
 
@@ -37,21 +50,25 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, model, pred, score).where(F.col(pred) != "und").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
+@in_small_batches
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each text, the one with the largest doc_id; the index is new in each run."""
     return exact_dedup.DigestIndex(spark, f"digests_{uuid4().hex}").keep(docs, "documents")
 
 
+@in_small_batches
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: SimHash within 3 bits, or 0.8 of the 5-word shingles shared."""
     return near_copies.keep_one(docs)
 
 
+@in_small_batches
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
     return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+@in_small_batches
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids (little-endian unsigned 32-bit), their number, and whether they decode to the text."""
     return byte_bpe.encode(docs, RANKS, public_tokenizers.PATTERN).select(

@@ -18,6 +18,7 @@ import codecs
 import gc
 import re
 import unicodedata
+from array import array
 from collections.abc import Iterable, Iterator
 from struct import pack
 
@@ -25,9 +26,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from spotflow.llm.common import batches, hold, release
+from spotflow.llm.common import batches, hold, release, small_batches
 
-#: Encoded pieces, and states, that a worker remembers before it starts anew (about 200 MB when full). It
+#: Encoded pieces, and states, that a worker remembers before it starts anew (about 120 MB when full). It
 #: keeps them from task to task, until one of another operator begins.
 PIECES, STATES = 400_000, 100_000
 
@@ -48,6 +49,19 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[bytes]:
     return parts
 
 
+def packed(hypotheses: list[tuple]) -> bytes:
+    """A state in one object: node, last token written, number of tokens not yet written and these, for each hypothesis."""
+    return array("i", [x for pending, node, last in hypotheses for x in (node, last, len(pending), *pending)]).tobytes()
+
+
+def unpacked(state: bytes) -> Iterator[tuple]:
+    values, at = memoryview(state).cast("i").tolist(), 0
+    while at < len(values):
+        node, last, n = values[at:at + 3]
+        yield tuple(values[at + 3:at + 3 + n]), node, last
+        at += 3 + n
+
+
 class Transducer:
     """Reads the bytes of a piece, writes its tokens; see the module's text."""
 
@@ -66,7 +80,7 @@ class Transducer:
 
     def reset(self) -> None:
         # a state: hypotheses (tokens not yet written, node, last token written), the one at a token's end first
-        self.states: list[tuple] = [(((), 0, -1),)]
+        self.states: list[bytes] = [packed([((), 0, -1)])]
         self.ids = {self.states[0]: 0}
         self.arrows: dict[int, int] = {}  # state << 8 | byte -> next state
         self.writes: dict[int, tuple] = {}  # the same key -> tokens, where there are any
@@ -121,7 +135,7 @@ class Transducer:
         byte, below, token_of = key & 255, self.below, self.token_of
         ended = None
         hypotheses = [None]
-        for pending, node, last in self.states[key >> 8]:
+        for pending, node, last in unpacked(self.states[key >> 8]):
             to = below.get(node << 8 | byte)
             if to is None:
                 continue
@@ -140,7 +154,7 @@ class Transducer:
             self.writes[key] = first[:n]
             last = first[n - 1]
             hypotheses = [(p[n:], node, -1 if len(p) > n else last) for p, node, _ in hypotheses]
-        rest = tuple(hypotheses)
+        rest = packed(hypotheses)
         state = self.ids.get(rest)
         if state is None:
             state = self.ids[rest] = len(self.states)
@@ -192,8 +206,11 @@ class Transducer:
             key = state << 8 | byte
             state = arrows.get(key)
             if state is None:
+                if len(self.states) > STATES:
+                    self.met.clear()  # no more arrows are made
+                    return self._walk(piece)
                 # an arrow is made when it is needed a second time
-                if key not in self.met or len(self.states) > STATES:
+                if key not in self.met:
                     if len(self.met) < 8 * STATES:
                         self.met.add(key)
                     return self._walk(piece)
@@ -201,7 +218,7 @@ class Transducer:
                 state = self._arrow(key)
             if key in writes:
                 out += writes[key]
-        out += self.states[state][0][0]
+        out += next(unpacked(self.states[state]))[0]
         return out
 
 
@@ -303,6 +320,7 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, column: str = "text",
     reader can compare it with the text. Null counts as an empty text and has
     no ids. Columns named like the new ones are replaced.
     """
+    small_batches(docs.sparkSession)
     rest = [c for c in docs.columns if c not in (ids, "decoded")]
     out = docs.select(*[F.col(f"`{c}`") for c in rest])
 

@@ -115,6 +115,14 @@ def runs(texts: list[bytes], most: int) -> Iterator[list[bytes]]:
         yield part
 
 
+def small_batches(spark: SparkSession, most: int = 1 << 22) -> None:
+    """Rows go to Python in batches of about so many bytes from now on in this session, not of 10,000 rows or 64 MB.
+
+    An executor and its workers hold several batches a task, in buffers up to twice as large.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most))
+
+
 def batches(source: Iterator[pa.RecordBatch], most: int = 1 << 22, column: str = "text", owner: str | None = None) -> Iterator[pa.RecordBatch]:
     """The same rows in batches whose texts take about so many bytes; tables of other operators than ``owner`` go."""
     release(owner)

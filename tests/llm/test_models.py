@@ -4,6 +4,7 @@ import functools
 import itertools
 import math
 import random
+import sys
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -74,6 +75,46 @@ def test_encode_awkward_rows(spark, library):
     assert byte_bpe.encode(table(spark, []), RANKS, public_tokenizers.PATTERN).count() == 0
 
 
+def test_states_take_little_memory(library, monkeypatch):
+    def size(x):
+        return sys.getsizeof(x) + (sum(map(size, x)) if isinstance(x, tuple) else 0)
+
+    rng = random.Random(3)
+    tokens = [t.decode("utf-8", "ignore") for t in sorted(byte_bpe.read_ranks(RANKS))]
+    texts = ["".join(rng.choice(tokens).strip() for _ in range(3)) for _ in range(6000)]
+    texts += [t + "s" for t in texts]
+    made = byte_bpe.Codec(RANKS, public_tokenizers.PATTERN)
+    machine = made.pieces.transducer
+    for most in (1000, 100_000):  # what was met once is forgotten when no state can be added
+        monkeypatch.setattr(byte_bpe, "STATES", most)
+        for t in texts:
+            assert np.frombuffer(made.encode(t), "<u4").tolist() == library.encode_ordinary(t)
+        if most == 1000:
+            assert len(machine.states) == most + 1 and not machine.met
+            made.pieces.clear()
+    assert len(machine.states) > 5000
+    assert sum(map(size, machine.states)) / len(machine.states) < 150
+
+
+def test_workers_get_texts_in_small_batches(spark):
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(setting)
+
+    def sizes(source):
+        import pyarrow as pa
+
+        for batch in source:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], names=["n", "size"])
+
+    try:
+        docs = spark.range(0, 3000, 1, 1).selectExpr("id doc_id", "repeat('word ', 1500) text")
+        assert sum(r.n for r in byte_bpe.encode(docs, RANKS, public_tokenizers.PATTERN).selectExpr("1 n").collect()) == 3000
+        got = docs.mapInArrow(sizes, "n long, size long").collect()
+        assert sum(r.n for r in got) == 3000 and max(r.size for r in got) < 5_000_000
+    finally:
+        spark.conf.set(setting, before)
+
+
 # -- language ID ------------------------------------------------------------------------
 
 
