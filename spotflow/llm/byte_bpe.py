@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from spotflow.llm.common import batches, hold, release, small_batches
 
-#: Encoded pieces, and states, that a worker remembers before it starts anew (about 120 MB when full). It
+#: Encoded pieces, and states, that a worker remembers before it starts anew. It
 #: keeps them from task to task, until one of another operator begins.
 PIECES, STATES = 400_000, 100_000
 
