@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+from operator import itemgetter
 
 import numpy as np
 
@@ -73,11 +74,18 @@ def best_pairing(options: list[list[tuple[int, float]]], alone: float) -> list[t
     chain of options never meet, so separate groups are solved separately.
 
     Options are read from the cheapest on, and only up to the nearest column
-    that is free: the search ends there at the latest.
+    that is free: the search ends there at the latest. The smaller side enters, as what
+    finds no free column goes through all that its chains reach.
     """
-    options = [sorted(row, key=lambda option: option[1]) for row in options]
-    none = float("inf")
     width = 1 + max((col for row in options for col, _ in row), default=-1)
+    if sum(map(bool, options)) > len({col for row in options for col, _ in row}):
+        other: list[list[tuple[int, float]]] = [[] for _ in range(width)]
+        for row, found in enumerate(options):
+            for col, cost in found:
+                other[col].append((row, cost))
+        return sorted((row, col) for col, row in best_pairing(other, alone))
+    options = [sorted(row, key=itemgetter(1)) for row in options]
+    none = float("inf")
     row_pot = [0.0] * len(options)
     col_pot = [0.0] * width
     slack = 0.0  # the highest potential of a column; above 0 by rounding only

@@ -12,7 +12,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from spotflow.functions.columns import as_ts, camera_point, cell, euclid
 from spotflow.operators.assign import best_pairing, complete_linkage, near_arrays, near_pairs
@@ -426,13 +426,25 @@ BLOCK = 64
 # Times the frames a row may be carried over that are worked through before a block, to guess what comes into it.
 WARM = 2
 
+# Blocks are guessed ahead only where the largest place is more than this many times the share of one core.
+FOLD = 3
 
-def _assign_block(pdf: pd.DataFrame, first: int, max_d: float, carry_us: int, reach: int) -> tuple[list[tuple], list]:
+
+def _assign_block(pdf: pd.DataFrame, first: int, max_d: float, carry_us: int, reach: int,
+                  used: set | None = None) -> tuple[list[tuple], list]:
     """(frame no, earlier id, later id, distance) for consecutive frames of one place from ``first`` on, and the ids
     of rows offered to them that found a partner in the frames before, which are worked through as well.
 
-    A row that found its partner is not offered to later frames.
+    A row that found its partner is not offered to later frames; ``used``: those that did so before, to which
+    the ones found here are added. Where rows tell what an earlier run made of them (``was``: taken for gone
+    then; rows with ``met`` are its pairs: no, mate, id, apart), its pairs stand from the frame on that finds the same rows open.
     """
+    known = "met" in pdf
+    if known:
+        earlier = pdf[pdf["met"]].sort_values("no", kind="stable")
+        pdf = pdf[~pdf["met"]]
+        mate, mate_no = earlier["mate"].to_numpy(), earlier["no"].to_numpy()
+        then = set(pdf["id"][pdf["was"]])
     pdf = pdf.sort_values(["us", "id"], kind="stable")
     cols = {c: pdf[c].to_numpy() for c in ("id", "x", "y", "ids", "sensor", "conflicts")}
     name, no, us, since = cols["id"], pdf["no"].to_numpy(), pdf["us"].to_numpy(), pdf["since"].to_numpy(float)
@@ -440,7 +452,8 @@ def _assign_block(pdf: pd.DataFrame, first: int, max_d: float, carry_us: int, re
     places = np.flatnonzero(~carried)
     places = places[np.argsort(no[places], kind="stable")]
     cuts = np.flatnonzero(np.r_[True, no[places][1:] != no[places][:-1], True]) if len(places) else [0]
-    found, used, told, open_ = [], set(), [], np.flatnonzero(carried)
+    used = set() if used is None else used
+    found, told, open_ = [], [], np.flatnonzero(carried)
     for a, b in zip(cuts[:-1], cuts[1:]):
         fresh = places[a:b]
         at = no[fresh[0]]
@@ -448,9 +461,19 @@ def _assign_block(pdf: pd.DataFrame, first: int, max_d: float, carry_us: int, re
         open_ = open_[young & (at - no[open_] <= reach)]
         if at == first:
             told = [name[k] for k in open_ if name[k] in used]
-        open_ = np.array([k for k in open_ if name[k] not in used], np.int64)
-        if len(open_):
-            pairs = _assign({c: v[open_] for c, v in cols.items()}, {c: v[fresh] for c, v in cols.items()}, max_d)
+        if known:
+            if all((name[k] in used) == (name[k] in then) for k in open_):
+                rest = earlier[mate_no >= at]
+                used.update(rest["mate"])
+                found += rest[["no", "mate", "id", "apart"]].itertuples(index=False, name=None)
+                break
+            then.update(mate[mate_no == at])
+            open_ = np.array([k for k in open_ if name[k] not in used or name[k] not in then], np.int64)
+            free = np.array([k for k in open_ if name[k] not in used], np.int64)
+        else:
+            free = open_ = np.array([k for k in open_ if name[k] not in used], np.int64)
+        if len(free):
+            pairs = _assign({c: v[free] for c, v in cols.items()}, {c: v[fresh] for c, v in cols.items()}, max_d)
             used.update(p[0] for p in pairs)
             if at >= first:
                 found += [(at, *p) for p in pairs]
@@ -458,6 +481,22 @@ def _assign_block(pdf: pd.DataFrame, first: int, max_d: float, carry_us: int, re
     return found, told
 
 
+def _whole_groups(parts, keys: list[str]):
+    """(key, rows) of each group, from parts of rows that are sorted by the keys."""
+    last, held = None, []
+    for pdf in parts:
+        starts = np.flatnonzero((pdf[keys] != pdf[keys].shift()).any(axis=1))
+        for a, b in zip(starts, [*starts[1:], len(pdf)]):
+            key = tuple(pdf[c].iat[a] for c in keys)
+            if held and key != last:
+                yield last, pd.concat(held, ignore_index=True)
+                held = []
+            last = key
+            held.append(pdf.iloc[a:b])
+    if held:
+        yield last, pd.concat(held, ignore_index=True)
+
+
 def match_frames(rows: DataFrame, max_d: float = 20.0, carry_s: float = 3.0,
                  frame_s: float = 0.5, conflicts: DataFrame | None = None,
                  width: float = SLICE, carried: DataFrame | None = None) -> DataFrame:
@@ -468,17 +507,19 @@ def match_frames(rows: DataFrame, max_d: float = 20.0, carry_s: float = 3.0,
     at minimum squared distance, pairs beyond ``max_d`` or of conflicting
     cameras excluded, rows with a common id at distance 0.
 
-    What is carried into a frame depends on the frames before it. Instead of
-    folding over a site's whole time line in one task, blocks of consecutive
+    What is carried into a frame depends on the frames before it. Where places are few for the cores, blocks of consecutive
     frames are worked through in parallel, at first after some frames before them
     that only show which rows have found a partner by then. Blocks for which that was wrong are done
-    again, until nothing changes. A block is final once the ones before it
-    are, so the fixed point is the result of the sequential fold, and Python
+    again, until nothing changes: neighbouring ones one after the other, as what comes out of one goes into the next,
+    and each up to the frame that finds the same rows open as before. A block is final once the ones before it
+    are, so the fixed point is the result of the sequential fold. Where crowded frames hand a wrong guess on from block to block that
+    is work done twice; so where places suffice for the cores, the blocks of each are done in their order at once. Either way Python
     never sees more than a block of one place with what is carried into it. A row goes to its own
     block and to those that begin within its reach, once each.
     ``carried``: rows an earlier run left open; they are offered to the first frames.
     """
     rows = rows if "ids" in rows.columns else rows.withColumn("ids", F.array("object_id"))
+    spark = rows.sparkSession
     point = ("id", "us", "sensor", "x", "y", "ids")
     us = F.unix_micros("ts").alias("us")
     base = _conflict_lists(rows.select("*", us).select(*FRAME_KEY, *point), conflicts)
@@ -501,7 +542,7 @@ def match_frames(rows: DataFrame, max_d: float = 20.0, carry_s: float = 3.0,
     starts = order.where(F.col("no") % BLOCK == 0).select(
         *PLACE, F.floor(F.col("no") / BLOCK).alias("block"), F.col("since").alias("_since")
     )
-    offers = cut(
+    offers = (
         sent(reach).where(F.col("no") < F.col("block") * BLOCK).join(starts, block)
         .where((F.col("no") + 1 == F.col("block") * BLOCK) | (F.col("_since") - F.col("us") <= carry_us))
         .drop("_since").withColumn("carried", F.lit(True))
@@ -515,28 +556,47 @@ def match_frames(rows: DataFrame, max_d: float = 20.0, carry_s: float = 3.0,
         out = [(*key, *p) for p in found] + [(*key, -1, v, v, 0.0) for v in told]
         return pd.DataFrame(out, columns=names)
 
-    def run(group: DataFrame) -> DataFrame:
-        return python_groups(group, *block).groupBy(*block).applyInPandas(assign, schema)
-
-    def checksums(ids: DataFrame) -> DataFrame:
-        return ids.groupBy(*block).agg(F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("sum"))
-
-    done = cut(run(sent(WARM * reach)))
-    pairs, used = done.where("no >= 0"), checksums(done.where("no < 0"))  # what each block took for gone
+    def chain(parts):
+        """Runs of blocks in their order; the ids of rows that found a partner go on from block to block."""
+        run, used = None, set()
+        for key, pdf in _whole_groups(parts, [*PLACE, "run", "block"]):
+            if key[:3] != run:
+                run, used = key[:3], set(pdf["id"][pdf["gone"]])
+            found, _ = _assign_block(pdf, key[3] * BLOCK, max_d, carry_us, reach, used)
+            used &= set(pdf["id"])
+            yield pd.DataFrame([(*key[:2], key[3], *p) for p in found], columns=names)
+
+    def chained(group: DataFrame) -> DataFrame:
+        spread_out = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))  # runs differ in length
+        keys = [*PLACE, "run"]
+        return group.repartitionByRange(spread_out, *keys).sortWithinPartitions(*keys, "block").mapInPandas(chain, schema)
+
+    total, largest = here.groupBy(*PLACE).count().agg(F.sum("count"), F.max("count")).first()
+    if not total or largest * spark.sparkContext.defaultParallelism <= FOLD * total:
+        all_rows = offers.unionByName(sent(0)).withColumns({"run": F.lit(0).cast("long"), "gone": F.lit(False)})
+        return cut(chained(all_rows)).drop("block")
+
+    done = cut(python_groups(sent(WARM * reach), *block).groupBy(*block).applyInPandas(assign, schema))
+    pairs = done.where("no >= 0")
+    taken_for = done.where("no < 0").select(*block, "id", F.lit(True).alias("_was")).distinct()  # what each block took for gone
+    told = offers.join(taken_for, [*block, "id"], "left").withColumn("was", F.coalesce("_was", F.lit(False))).drop("_was")
     while True:
         taken = pairs.groupBy(F.col("prev_id").alias("id")).agg(F.min("no").alias("_no"))
         gone = F.coalesce(F.floor(F.col("_no") / BLOCK) < F.col("block"), F.lit(False))
-        told = cut(offers.join(taken, "id", "left").withColumn("_gone", gone).drop("_no"))
-        sums = cut(checksums(told.where("_gone")))
-        todo = cut(
-            sums.join(used.withColumnRenamed("sum", "_was"), block, "full")
-            .where(~F.col("sum").eqNullSafe(F.col("_was"))).select(*block)
-        )
+        told = cut(told.join(taken, "id", "left").withColumn("gone", gone).drop("_no"))
+        wrong = told.where("gone <> was").select(*block).distinct()
+        # neighbours get one number
+        todo = cut(wrong.withColumn("run", F.col("block") - F.row_number().over(W.partitionBy(*PLACE).orderBy("block"))))
         if todo.isEmpty():
             return pairs.drop("block")
-        group = told.where(~F.col("_gone")).drop("_gone").unionByName(sent(0))
-        fresh = run(group.join(todo, block, "left_semi"))
-        pairs, used = cut(pairs.join(todo, block, "left_anti").select(*names).unionByName(fresh.where("no >= 0"))), sums
+        found = pairs.select(*block, "no", "id", F.col("prev_id").alias("mate"), F.col("distance").alias("apart"), F.lit(True).alias("met"))
+        group = told.unionByName(sent(0), allowMissingColumns=True).unionByName(found, allowMissingColumns=True).withColumns({
+            **{c: F.coalesce(c, F.lit(False)) for c in ("carried", "gone", "was", "met")},
+            "us": F.coalesce("us", F.lit(0).cast("long")), "mate": F.coalesce("mate", "id"),
+        })
+        fresh = chained(group.join(todo, block)).select(*names)
+        pairs = cut(pairs.join(todo, block, "left_anti").select(*names).unionByName(fresh))
+        told = told.withColumn("was", F.col("gone")).drop("gone")
 
 
 def label_tracks(rows: DataFrame, pairs: DataFrame, width: float = SLICE,

@@ -5,11 +5,12 @@ import itertools
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from plain import dense_linkage, min_cost_matching
-from spotflow.operators import graphs, known_ids, tracking as t
+from spotflow.operators import assign, graphs, known_ids, lineage, tracking as t
 from spotflow.operators.assign import best_pairing, complete_linkage
 from spotflow.plans.tracking import TrackerConfig, track_batch
 
@@ -62,6 +63,23 @@ def test_as_many_pairs_as_fit_then_the_nearest():
     assert best_pairing([[(0, 1.0), (1, 399.0)], [(0, 399.0)]], 1200.0) == [(0, 1), (1, 0)]
 
 
+def test_the_smaller_side_enters(monkeypatch):
+    rng = np.random.default_rng(4)
+    a, b = rng.uniform(0, 100, (2, 260)), rng.uniform(0, 100, (2, 200))
+    options = [[] for _ in range(260)]
+    for i, j, d in assign.near_pairs(*a, *b, 20):
+        options[i].append((j, d * d))
+    pops = []
+    monkeypatch.setattr(assign.heapq, "heappop", lambda heap, pop=assign.heapq.heappop: pops.append(1) or pop(heap))
+    found = best_pairing(options, 261 * 400.0)
+    assert len(found) == 200 and len(pops) < 2000  # 6,895 where the 260 enter
+    cost = np.full((260, 200), 1e6)
+    for i, row in enumerate(options):
+        for j, v in row:
+            cost[i, j] = v
+    assert sum(cost[i, j] for i, j in found) == pytest.approx(sum(cost[i, j] for i, j in min_cost_matching(cost)))
+
+
 def at(frame, x, y=0.0, **kw):
     return {"s": frame * 0.5 + 0.1, "x": float(x), "y": float(y), **kw}
 
@@ -114,6 +132,40 @@ def test_match_frames_equals_the_loop(spark, rows, monkeypatch, block):
     assert got == fold(plain, 20, 3.0, {frozenset(("C1", "C2"))})
 
 
+def test_places_enough_for_the_cores_are_followed_at_once(spark, rows, monkeypatch):
+    monkeypatch.setattr(t, "BLOCK", 4)
+    rng = random.Random(5)
+    items = [{"frame": f, "s": f * 0.5 + rng.random() * 0.49, "x": rng.uniform(0, 40), "y": rng.uniform(0, 10), "id": f"{n:04d}",
+              "object_id": f"o{n}", "site": f"G{n % 4}"} for n, f in enumerate(sorted(rng.randrange(30) for _ in range(400)))]
+    df = t.frames(rows(*[{k: v for k, v in i.items() if k != "frame"} for i in items])).repartition(4, "id")
+    cuts = []
+    monkeypatch.setattr(t, "cut", lambda df: cuts.append(1) or lineage.cut(df))
+    found = t.match_frames(df, 20, 3.0, 0.5)
+    assert len(cuts) == 3  # the frames, the rows and the pairs: no block is guessed and done again
+    got = {(r.prev_id, r.id) for r in found.collect()}
+    want = set()
+    for k in range(4):
+        want |= fold([{**i, "ts": round(i["s"] * 1e6) / 1e6, "oid": i["object_id"], "sensor": "C1"} for i in items if i["site"] == f"G{k}"], 20, 3.0)
+    assert got == want
+
+
+def test_pairs_stand_from_the_frame_that_finds_the_same_rows_open(monkeypatch):
+    calls = []
+    monkeypatch.setattr(t, "_assign", lambda *a, f=t._assign: calls.append(1) or f(*a))
+    base = pd.DataFrame({"id": range(10, 30), "no": [n // 2 for n in range(20)], "x": [0.0, 50.0] * 10, "y": 0.0, "sensor": "C", "carried": False})
+    base = base.assign(us=base["no"] * 500_000, since=(base["no"] - 1) * 500_000, ids=[[n] for n in range(20)], conflicts=None)
+    base = base.iloc[:19]  # one row is missing in the last frame
+    first, _ = t._assign_block(base, 0, 20.0, 3_000_000, 8)
+    assert len(first) == 17 and len(calls) == 9
+    # A row before the first frame was taken for gone and is not: it differs until it is too old or is paired.
+    late = base.iloc[:1].assign(id=5, no=-1, us=-500_000, x=900.0, carried=True, ids=[[99]])
+    had = pd.DataFrame(first, columns=["no", "mate", "id", "apart"])
+    now = pd.concat([base.assign(met=False, was=False, mate=base["id"]), late.assign(met=False, was=True, mate=5),
+                     had.assign(met=True, was=False, carried=False, us=0)], ignore_index=True)
+    again, _ = t._assign_block(now, 0, 20.0, 3_000_000, 8)
+    assert sorted(again) == sorted(first) and 9 < len(calls) < 18
+
+
 def test_crossing_vehicles_are_matched_together(rows):
     # Greedy would join 0001 with 0002 (distance 1) and leave 19 for the rest.
     df = t.frames(rows(at(0, 0, object_id="a"), at(0, 10, object_id="b"), at(1, 9, object_id="c"), at(1, 18, object_id="d")))
