@@ -92,11 +92,13 @@ def snap_to_roads(points: DataFrame, lines: DataFrame, max_d: float = 20.0,
     gap = project_on_segment("_mx", "_my", *ends)[2]
     # no point of a cell is farther than _r from its middle; the last term is for rounding
     slack = 1e-9 * (F.abs("_mx") + F.abs("_my") + max_d)
-    met = fine.join(cells, ["_ux", "_uy"]).select("_cx", "_cy", "_r", *ends, gap.alias("_gap"), slack.alias("_slack"))
+    # Adaptive execution takes a table whose rows are still to be exploded for as small as it is before; the cells of all lines would be sent to
+    # the driver. The cells of points are hashed instead, one part a task.
+    met = fine.hint("shuffle_hash").join(cells, ["_ux", "_uy"]).select("_cx", "_cy", "_r", *ends, gap.alias("_gap"), slack.alias("_slack"))
     met = met.where(F.col("_gap") <= max_d + F.col("_r") + F.col("_slack"))
     least = met.groupBy("_cx", "_cy").agg(F.min("_gap").alias("_least"))
     near = (
-        fine.join(least, ["_cx", "_cy"]).join(cells, ["_ux", "_uy"])
+        fine.join(least, ["_cx", "_cy"]).hint("shuffle_hash").join(cells, ["_ux", "_uy"])
         .where(gap <= F.least(F.col("_least") + F.col("_r"), F.lit(max_d)) + F.col("_r") + slack)
         .select("_cx", "_cy", *ends)
     )

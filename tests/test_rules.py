@@ -358,3 +358,14 @@ def test_points_snap_to_the_nearest_of_all_lines(spark):
     # pairs of places and lines are folded as they stream by, never sorted
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "functions=[partial_min(d#" in plan
+
+
+def test_cells_of_all_lines_are_not_sent_to_the_driver(spark):
+    # 300 lines are small enough to send; the cells around their steps, some thousand times as many, need not be
+    lines = spark.range(300).selectExpr("id % 150 as line_id", "id * 1.0 as x1", "0.0 as y1", "id * 1.0 + 2000 as x2", "900.0 as y2")
+    points = spark.range(400).selectExpr("id", "id * 5.0 as x", "id * 2.0 as y")
+    found = regions.snap_to_roads(points, lines, 5.0)
+    assert len(found.collect()) == 400
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    joins = [row for row in plan.split("== Initial Plan ==")[0].splitlines() if "Join [_ux" in row]
+    assert len(joins) >= 2 and all("ShuffledHashJoin" in row for row in joins)
