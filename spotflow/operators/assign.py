@@ -48,6 +48,85 @@ def complete_linkage(n: int, pairs, limit: float) -> list[int]:
     return label
 
 
+def _linked(n: int, i, j, d) -> np.ndarray:
+    """:func:`complete_linkage` of ``n`` items by arrays; i < j, each pair once.
+
+    Two items that are each other's nearest, by (distance, i, j), merge whatever else does, as a cluster is never nearer to a third
+    than both of its parts are; so all such pairs merge in one round.
+    """
+    label = np.arange(n)
+    while len(i):
+        order = np.lexsort((j, i, d))
+        i, j, d = i[order], j[order], d[order]
+        rank = np.arange(len(i))
+        first = np.full((2, n), len(i))
+        first[0, i[::-1]], first[1, j[::-1]] = rank[::-1], rank[::-1]  # the last one written is the nearest
+        nearest = first.min(axis=0)
+        both = (nearest[i] == rank) & (nearest[j] == rank)
+        step, parts = np.arange(n), np.ones(n, np.int64)
+        step[j[both]] = i[both]
+        parts[i[both]] = 2
+        label = step[label]
+        i, j, d = step[i[~both]], step[j[~both]], d[~both]
+        i, j = np.minimum(i, j), np.maximum(i, j)
+        i, j, d = _folded(n, i, j, d, parts)
+    return label
+
+
+def _folded(n: int, i, j, d, parts) -> tuple:
+    """The largest distance of pairs (i, j) that come as often as their parts make pairs; others are gone."""
+    order = np.argsort(i * n + j, kind="stable")
+    i, j, d = i[order], j[order], d[order]
+    starts = np.flatnonzero(np.r_[True, (i[1:] != i[:-1]) | (j[1:] != j[:-1])]) if len(i) else np.array([], np.int64)
+    far = np.maximum.reduceat(d, starts) if len(i) else d
+    i, j, times = i[starts], j[starts], np.diff(np.r_[starts, len(d)])
+    whole = times == parts[i] * parts[j]
+    return i[whole], j[whole], far[whole]
+
+
+def linked_places(x, y, kind, may, able, who, same, limit: float) -> np.ndarray:
+    """Complete-linkage labels of places of some kinds; ``may[a, b]``: kinds a and b may be in one cluster, symmetric.
+
+    Places are near if both are ``able`` and differ in ``who``; ``same`` (i, j), i < j: pairs at distance 0. The reach grows step by step
+    up to the limit. Only the first places of clusters are paired, where each has room for the other's kinds; all others are
+    compared for what that finds, so in a crowd few pairs are made.
+    """
+    n = len(x)
+    label, equal = np.arange(n), same[0] * n + same[1]
+    for reach in [limit / 16, limit / 8, limit / 4, limit / 2, limit] if n > 64 else [limit]:
+        names, no, size = np.unique(label, return_inverse=True, return_counts=True)
+        order, start = np.argsort(no, kind="stable"), np.cumsum(size) - size
+        fits = np.logical_and.reduceat(may[kind[order]], start)
+        has = np.zeros_like(fits)
+        has[no, kind] = True
+        head = order[start]
+        open_ = np.flatnonzero((fits & has[fits.any(axis=1)].any(axis=0)).any(axis=1) & able[head])
+        hx, hy = x[head[open_]], y[head[open_]]
+        a, b, _ = near_arrays(hx, hy, hx, hy, reach * (1 + 1e-9))
+        a, b = open_[a[a < b]], open_[b[a < b]]
+        one, two = no[same[0]], no[same[1]]
+        a, b = np.r_[a, np.minimum(one, two)[one != two]], np.r_[b, np.maximum(one, two)[one != two]]
+        ok = ~(has[b] & ~fits[a]).any(axis=1)
+        a, b = a[ok], b[ok]
+        if len(equal):
+            _, single = np.unique(a * n + b, return_index=True)
+            a, b = a[single], b[single]
+        pairs = size[a] * size[b]
+        begin = np.cumsum(pairs) - pairs
+        at = np.repeat(np.arange(len(a)), pairs)
+        k = np.arange(len(at)) - begin[at]
+        i, j = order[start[a][at] + k // size[b][at]], order[start[b][at] + k % size[b][at]]
+        i, j = np.minimum(i, j), np.maximum(i, j)
+        d = np.sqrt((x[j] - x[i]) * (x[j] - x[i]) + (y[j] - y[i]) * (y[j] - y[i]))
+        d[~((d <= reach) & able[i] & able[j] & (who[i] != who[j]))] = np.inf
+        if len(equal):
+            d[np.isin(i * n + j, equal)] = 0.0
+        far = np.maximum.reduceat(d, begin) if len(a) else d
+        near = far <= reach
+        label = names[_linked(len(names), a[near], b[near], far[near])[no]]
+    return label
+
+
 def near_arrays(ax, ay, bx, by, limit: float):
     """Indices i, j and distances of points of two sets within the limit; only points near in x are compared."""
     order = np.argsort(bx, kind="stable")

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from spotflow.operators import tracking as tr
-from spotflow.operators.assign import complete_linkage, near_arrays
+from spotflow.operators.assign import linked_places
 from spotflow.operators.lineage import cut, python_groups
 
 # Frames before a block that are worked through first, to guess which sets come into it.
@@ -76,60 +76,59 @@ class IdSets:
         return [(m, r, self.seen[r]) for r, ms in self.members.items() for m in ms]
 
 
-def near_of_frame(found: list, max_d: float) -> dict:
-    """{(i, j): distance} of the detections of a frame, sorted by id, that may be one vehicle by their places."""
-    has_id = np.array([r.id is not None and r.sensor is not None for r in found])
-    x, y = np.array([r.x for r in found], float), np.array([r.y for r in found], float)
-    i, j, _ = near_arrays(x, y, x, y, max_d * (1 + 1e-9))
-    i, j = i[i < j], j[i < j]
-    d = np.sqrt((x[j] - x[i]) * (x[j] - x[i]) + (y[j] - y[i]) * (y[j] - y[i]))
-    code: dict = {}
-    sensor = np.array([code.setdefault(r.sensor, len(code)) for r in found])
-    ok = (d <= max_d) & (sensor[i] != sensor[j]) & has_id[i] & has_id[j]
-    kinds: dict = {}  # one detection of each camera stands for its lists
-    for r in found:
-        kinds.setdefault(code[r.sensor], r)
-    may = np.array([[_may_meet(kinds[a], kinds[b]) for b in range(len(code))] for a in range(len(code))]) if len(code) <= 64 else None
-    if may is not None:
-        ok &= may[sensor[i], sensor[j]]
-    i, j, d = i[ok].tolist(), j[ok].tolist(), d[ok].tolist()
-    return {(a, b): v for a, b, v in zip(i, j, d) if found[a].id != found[b].id and (may is not None or _may_meet(found[a], found[b]))}
-
-
-def cluster_frames_in_order(frames, sets: IdSets, max_d: float, keep_us: int, frame_us: int):
-    """(frame number, id, cluster) of the detections in clusters of several, frame by frame; ``sets`` is carried on.
-
-    ``frames``: (number, detections); a detection has id, sensor, x, y, object_id, us and the cameras it is
+def may_meet(cameras: pd.DataFrame) -> np.ndarray:
+    """Which cameras (sensor, conflicts, overlaps) may see one vehicle at a time, each with each."""
+    number = {v: k for k, v in enumerate(cameras["sensor"])}
+    free = np.array([v is None for v in cameras["overlaps"]], bool)  # not restricted, or on no list
+    may = np.empty((len(cameras), len(cameras)), bool)
+    for k, (barred, listed) in enumerate(zip(cameras["conflicts"], cameras["overlaps"])):
+        may[k] = free if listed is None else False
+        if listed is not None:
+            may[k, [number[v] for v in listed if v in number]] = True
+        may[k, [k, *(number[v] for v in (() if barred is None else barred) if v in number)]] = False
+    return may
+
+
+# Cameras of a block up to which it is worked out at once which of them may meet; beyond, for those of each frame.
+MOST_CAMERAS = 4096
+
+
+def cluster_frames_in_order(rows: pd.DataFrame, sets: IdSets, max_d: float, keep_us: int, frame_us: int):
+    """(frame number, ids, their clusters) of the detections in clusters of several, frame by frame; ``sets`` is carried on.
+
+    ``rows``: detections with frame, id, sensor, x, y, object_id, us and the cameras theirs is
     listed with (conflicts, overlaps).
     """
-    for number, found in frames:
+    rows = rows.sort_values(["frame", "id"], kind="stable")
+    frame, id_, us = (rows[c].to_numpy() for c in ("frame", "id", "us"))
+    x, y = (rows[c].to_numpy(float) for c in "xy")
+    names = rows["object_id"].tolist()
+    named = rows["object_id"].notna().to_numpy()
+    able = (rows["id"].notna() & rows["sensor"].notna()).to_numpy()
+    who = np.cumsum(np.r_[True, id_[1:] != id_[:-1]]) if len(rows) else np.array([], np.int64)
+    camera, _ = pd.factorize(rows["sensor"], use_na_sentinel=False)
+    cameras = rows[["sensor", "conflicts", "overlaps"]].iloc[np.unique(camera, return_index=True)[1]]
+    may = may_meet(cameras) if len(cameras) <= MOST_CAMERAS else None
+    cuts = np.flatnonzero(np.r_[True, frame[1:] != frame[:-1], True]) if len(rows) else [0]
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        number = int(frame[a])
         sets.forget(number * frame_us - keep_us)
-        found = sorted(found, key=lambda r: (r.id is None, 0 if r.id is None else r.id))
-        pairs = near_of_frame(found, max_d)
+        seen, kind = np.unique(camera[a:b], return_inverse=True)
+        meet = may_meet(cameras.iloc[seen]) if may is None else may[np.ix_(seen, seen)]
         known: dict[str, list] = {}
-        for k, r in enumerate(found):
-            root = sets.of.get(r.object_id)
-            if root is not None:
-                known.setdefault(root, []).append(k)
-        for group in known.values():
-            for k, a in enumerate(group):
-                pairs.update({(a, b): 0.0 for b in group[k + 1:] if _may_meet(found[a], found[b])})
-        label = complete_linkage(len(found), ((i, j, d) for (i, j), d in pairs.items()), max_d)
-        members: dict[int, list] = {}
-        for k, to in enumerate(label):
-            members.setdefault(to, []).append(k)
-        for to, group in members.items():
-            sets.sight({o for k in group if (o := found[k].object_id) is not None}, max(found[k].us for k in group))
-            if len(group) > 1:
-                yield from ((number, found[k].id, found[to].id) for k in group)
-
-
-def _may_meet(one, two) -> bool:
-    if one.sensor == two.sensor or (one.conflicts is not None and two.sensor in one.conflicts):
-        return False
-    if one.overlaps is None:  # not restricted, or a camera on no list
-        return two.overlaps is None
-    return two.sensor in one.overlaps
+        rooted = [(k, sets.of[names[k]]) for k in range(a, b) if named[k] and names[k] in sets.of] if sets.of else []
+        for k, root in rooted:
+            known.setdefault(root, []).append(k - a)
+        same = [(i, j) for group in known.values() for n, i in enumerate(group) for j in group[n + 1:] if meet[kind[i], kind[j]]]
+        same = np.array(same, np.int64).reshape(-1, 2).T
+        label = linked_places(x[a:b], y[a:b], kind, meet, able[a:b], who[a:b], same, max_d)
+        several = np.bincount(label, minlength=b - a)[label] > 1
+        members: dict[int, list] = {k - a: [k] for k, _ in rooted if not several[k - a]}
+        for k in np.flatnonzero(several):
+            members.setdefault(int(label[k]), []).append(a + int(k))
+        for group in members.values():
+            sets.sight({names[k] for k in group if named[k]}, max(int(us[k]) for k in group))
+        yield number, id_[a:b][several], id_[a:b][label[several]]
 
 
 def cluster_known(df: DataFrame, max_d: float, conflicts: DataFrame | None = None, overlaps: DataFrame | None = None,
@@ -161,22 +160,21 @@ def cluster_known(df: DataFrame, max_d: float, conflicts: DataFrame | None = Non
     def follow(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         kind = {k: part for k, part in pdf.groupby("kind")}
         own = IdSets(kind[2][["member", "root", "seen"]].itertuples(index=False, name=None) if 2 in kind else ())
-        frames: dict[int, list] = {}
-        if 0 in kind:
-            part = kind[0].astype({"us": "int64"})
-            for r in part.assign(id=part["id"].astype(object).where(part["id"].notna(), None)).itertuples(index=False):
-                frames.setdefault(int(r.frame), []).append(r)
-        order, begin = sorted(frames), key[1] * length
-        if not order or order[-1] < begin:  # frames before a block without rows
+        begin = key[1] * length
+        rows = kind[0].astype({"frame": "int64", "us": "int64"}) if 0 in kind else None
+        if rows is None or rows["frame"].max() < begin:  # frames before a block without rows
             return pd.DataFrame([], columns=_NAMES)
-        early, late = ([(f, frames[f]) for f in order if (f < begin) == first] for first in (True, False))
+        early, late = rows[rows["frame"] < begin], rows[rows["frame"] >= begin]
         for _ in cluster_frames_in_order(early, own, max_d, keep_us, frame_us):
             pass
-        out = [(*key, 3, None, None, *r) for r in own.rows()] if early else []
-        out += [(*key, 0, v, c, None, None, None) for _, v, c in cluster_frames_in_order(late, own, max_d, keep_us, frame_us)]
-        out += [(*key, 1, None, None, *r) for r in own.rows()]
-        made = pd.DataFrame(out, columns=_NAMES)
-        return made.astype({"seen": "Int64"}) if len(made) else made
+        out = [(3, *r) for r in own.rows()] if len(early) else []
+        found = [v[1:] for v in cluster_frames_in_order(late, own, max_d, keep_us, frame_us) if len(v[1])]
+        out += [(1, *r) for r in own.rows()]
+        state = pd.DataFrame(out, columns=["kind", "member", "root", "seen"]).assign(id=None, cluster=None)
+        ids, clusters = (np.concatenate([v[n] for v in found]) if found else [] for n in (0, 1))
+        pairs = pd.DataFrame({"id": ids, "cluster": clusters}).astype(object).assign(kind=0, member=None, root=None, seen=None)
+        made = pd.concat([v for v in (state, pairs) if len(v)], ignore_index=True) if len(state) + len(pairs) else state
+        return made.assign(site=key[0], block=key[1])[_NAMES].astype({"seen": "Int64"})
 
     def run(rows: DataFrame, state: DataFrame) -> DataFrame:
         group = rows.unionByName(state.withColumn("kind", F.lit(2)), allowMissingColumns=True)

@@ -43,6 +43,34 @@ def test_sparse_linkage_is_the_dense_one():
         assert complete_linkage(n, pairs, 5) == dense_linkage(n, pairs, 5)
 
 
+def test_growing_reach_links_as_all_pairs_do(monkeypatch):
+    rng = np.random.default_rng(3)
+    for k in range(80):
+        n, kinds = int(rng.integers(2, 160)), int(rng.integers(2, 7))
+        x, y = rng.uniform(0, 30, (2, n)).round(k % 3)  # many ties
+        kind, may = rng.integers(0, kinds, n), rng.random((kinds, kinds)) < 0.8
+        may = may & may.T & ~np.eye(kinds, dtype=bool)
+        able, who = rng.random(n) < 0.95, np.sort(rng.integers(0, 3 * n, n))
+        d = np.sqrt((x[:, None] - x) ** 2 + (y[:, None] - y) ** 2)
+        same = np.array([(i, j) for i, j in rng.integers(0, n, (6, 2)) if i < j and may[kind[i], kind[j]]], np.int64).reshape(-1, 2)
+        same = np.unique(same, axis=0).T
+        near = {(i, j): d[i, j] for i in range(n) for j in range(i + 1, n)
+                if d[i, j] <= 5 and may[kind[i], kind[j]] and able[i] and able[j] and who[i] != who[j]}
+        near |= {(i, j): 0.0 for i, j in same.T.tolist()}
+        got = assign.linked_places(x, y, kind, may, able, who, same, 5.0)
+        assert got.tolist() == complete_linkage(n, [(i, j, v) for (i, j), v in near.items()], 5.0)
+
+
+def test_a_crowded_frame_makes_few_pairs(monkeypatch):
+    rng = np.random.default_rng(6)
+    x, y = rng.uniform(0, 100, (2, 3000))
+    made = []
+    monkeypatch.setattr(assign, "near_arrays", lambda *a, f=assign.near_arrays: (made.append(len((r := f(*a))[0])), r)[1])
+    none = np.zeros((2, 0), np.int64)
+    label = assign.linked_places(x, y, rng.integers(0, 5, 3000), ~np.eye(5, dtype=bool), np.ones(3000, bool), np.arange(3000), none, 20.0)
+    assert sum(made) < 200_000 and len(np.unique(label)) < 1000  # of all places within reach some 900,000 are made
+
+
 def test_one_frame_of_thousands():
     rng = np.random.default_rng(2)
     x, y = rng.uniform(0, 2000, (2, 5000))
